@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pose  # noqa: F401
+from . import people, pose  # noqa: F401
 from . import registry
 
 
