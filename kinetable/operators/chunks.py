@@ -197,3 +197,84 @@ def walk_first_passage(
             F.max("_end").alias("_last"),
         )
     )
+
+
+def running_max_before(
+    df: DataFrame, keys: Sequence[str], idx: str, value: Column, name: str, size: int = CHUNK_ROWS
+) -> DataFrame:
+    """Largest value of the earlier rows of the key (NULL on the first), two-level."""
+    keys = list(keys)
+    w = by_chunk(keys, idx).rowsBetween(W.unboundedPreceding, -1)
+    cut = chunked(df, idx, size).withColumn("_v", value)
+    past = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = (
+        cut.groupBy(*keys, "_chunk")
+        .agg(F.max("_v").alias("_t"))
+        .select(*keys, "_chunk", F.max("_t").over(past).alias("_c"))
+    )
+    return (
+        cut.withColumn("_in", F.max("_v").over(w))
+        .join(carry, [*keys, "_chunk"])
+        .withColumn(name, F.greatest("_in", "_c"))
+        .drop("_chunk", "_v", "_in", "_c")
+    )
+
+
+def reflected_walk(
+    df: DataFrame, keys: Sequence[str], idx: str, step: Column, name: str, size: int = CHUNK_ROWS
+) -> DataFrame:
+    """``c <- max(0, c + step)`` along each key, two-level and exact (steps must not be NULL)."""
+    keys = list(keys)
+    walked = walk_in_chunk(chunked(df, idx, size), [*keys, "_chunk"], idx, step)
+    ends = walked.groupBy(*keys, "_chunk").agg(
+        F.max_by("_s", idx).alias("_end_s"), F.max_by("_lo", idx).alias("_end_lo")
+    )
+    upto = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)
+    prev = W.partitionBy(*keys).orderBy("_chunk")
+    carry = (
+        ends.withColumn("_t", F.sum("_end_s").over(upto))
+        .withColumn("_out", F.col("_t") + F.max(F.col("_end_lo") - F.col("_t")).over(upto))
+        .select(*keys, "_chunk", F.coalesce(F.lag("_out").over(prev), F.lit(0)).alias("_carry"))
+    )
+    return (
+        walked.join(carry, [*keys, "_chunk"])
+        .withColumn(name, F.greatest(F.col("_lo"), F.col("_carry") + F.col("_s")))
+        .drop("_chunk", "_d", "_s", "_lo", "_carry")
+    )
+
+
+def exact_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], width: float
+) -> DataFrame:
+    """Linearly interpolated percentiles by rank.
+
+    ``percentile`` keeps every distinct value of a group in one buffer; here values are ranked
+    inside value ranges of ``width`` and only the rows next to each wanted rank remain.
+    """
+    keys = list(keys)
+    known = df.where(F.col(value).isNotNull()).select(*keys, value)
+    ranked = dense_index(known, keys, [value], F.floor(F.col(value) / width), "_rank")
+    totals = known.groupBy(*keys).agg(F.count("*").alias("_n"))
+    wanted = totals.select(
+        *keys,
+        "_n",
+        F.inline(
+            F.array(*[
+                F.struct(F.lit(n).alias("_point"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("_pos"))
+                for n, q in points.items()
+            ])
+        ),
+    ).select(
+        *keys, "_n", "_point",
+        F.inline(
+            F.array(
+                F.struct(F.floor("_pos").alias("_rank"), (1.0 - (F.col("_pos") - F.floor("_pos"))).alias("_w")),
+                F.struct((F.floor("_pos") + 1).alias("_rank"), (F.col("_pos") - F.floor("_pos")).alias("_w")),
+            )
+        ),
+    ).where("_w > 0")
+    return (
+        ranked.join(wanted, [*keys, "_rank"])
+        .groupBy(*keys, F.col("_n").alias("n"))
+        .agg(*[F.sum(F.when(F.col("_point") == n, F.col("_w") * F.col(value))).alias(n) for n in points])
+    )
