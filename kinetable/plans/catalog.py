@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import people, pose, sequences  # noqa: F401
+from . import datasets, people, pose, sequences  # noqa: F401
 from . import registry
 
 

@@ -59,6 +59,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Derived doubles are compared at six digits; ``+ 0.0`` folds negative zero."""
-    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Derived doubles are compared at six digits; ``+ 0.0`` folds negative zero.
+
+    ``nudge`` moves values that sit exactly on a rounding tie, where the two engines differ.
+    """
+    return df.withColumns({c: F.round(F.col(c) + F.lit(nudge), digits) + F.lit(0.0) for c in columns})

@@ -224,22 +224,22 @@ def _(spark, sf):
 cte("legacy_t", "SELECT session_id, frame_idx, joint, CASE WHEN ok THEN x/640.0E0 ELSE 0 END AS x, CASE WHEN ok THEN y/480.0E0 ELSE 0 END AS y, CASE WHEN ok THEN c ELSE 0 END AS c FROM seenkp_t")
 
 
-@query("legacy_features", f"SELECT session_id, frame_idx, joint, {_r('x', 'y', 'c', d=9)} FROM legacy_t")
+@query("legacy_features", f"SELECT session_id, frame_idx, joint, {', '.join(f'ROUND({v} + 1E-11, 9) AS {v}' for v in 'xyc')} FROM legacy_t")
 def _(spark, sf):
-    return rounded(S.FEATURE_SETS["legacy"](fx.keypoints(spark, sf)), "x", "y", "c", digits=9)
+    return rounded(S.FEATURE_SETS["legacy"](fx.keypoints(spark, sf)), "x", "y", "c", digits=9, nudge=1e-11)
 
 
 @query(
     "resample_sequence",
     f"""WITH n AS (SELECT session_id, joint, MAX(frame_idx) AS last FROM legacy_t GROUP BY ALL),
  t AS (SELECT session_id, joint, CAST(k AS INTEGER) AS step, k*last/15.0E0 AS pos, last FROM n, (SELECT UNNEST(RANGE(16)) AS k))
-SELECT t.session_id, t.joint, step, {', '.join(f'ROUND(a.{v}*(1 - (pos - FLOOR(pos))) + b.{v}*(pos - FLOOR(pos)), 9) AS {v}' for v in 'xyc')}
+SELECT t.session_id, t.joint, step, {', '.join(f'ROUND(a.{v}*(1 - (pos - FLOOR(pos))) + b.{v}*(pos - FLOOR(pos)) + 1E-11, 9) AS {v}' for v in 'xyc')}
 FROM t JOIN legacy_t a ON a.session_id = t.session_id AND a.joint = t.joint AND a.frame_idx = FLOOR(pos)
  JOIN legacy_t b ON b.session_id = t.session_id AND b.joint = t.joint AND b.frame_idx = LEAST(FLOOR(pos) + 1, last)""",
 )
 def _(spark, sf):
     rows = S.FEATURE_SETS["legacy"](fx.keypoints(spark, sf))
-    return rounded(S.resample_sequence(rows, ["x", "y", "c"], 16, ["session_id", "joint"]), "x", "y", "c", digits=9)
+    return rounded(S.resample_sequence(rows, ["x", "y", "c"], 16, ["session_id", "joint"]), "x", "y", "c", digits=9, nudge=1e-11)
 
 
 @query(
