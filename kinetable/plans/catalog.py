@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import datasets, people, pose, sequences  # noqa: F401
+from . import candidates, datasets, people, pose, sequences, views  # noqa: F401
 from . import registry
 
 

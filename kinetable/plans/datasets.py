@@ -205,13 +205,10 @@ def _(spark, sf):
 _nat = r"array_to_string(list_transform(regexp_extract_all(upper(s), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN chr(1) || lpad(length(regexp_replace(t, '^0+([0-9])', '\1'))::VARCHAR, 4, '0') || regexp_replace(t, '^0+([0-9])', '\1') ELSE t END), '')"
 
 
-@query("natural_order", f"SELECT page_id, ROW_NUMBER() OVER (ORDER BY {_nat}, s, page_id) - 1 AS pos FROM (SELECT page_id, url AS s FROM pages)")
+@query("natural_order", f"SELECT page_id, {_nat} AS sort_key FROM (SELECT page_id, url AS s FROM pages)")
 def _(spark, sf):
-    from ..operators.chunks import dense_index
-
-    keyed = table(spark, sf, "pages").select("page_id", "url", S.natural_key(F.col("url")).alias("k"), F.lit(0).alias("one"))
-    # buckets are prefixes of the key, so they are ordered like it
-    return dense_index(keyed, ["one"], ["k", "url", "page_id"], F.left("k", F.lit(12)), "pos").select("page_id", "pos")
+    keyed = table(spark, sf, "pages").select("page_id", "url", S.natural_key(F.col("url")).alias("sort_key"))
+    return D.order_frames(keyed, "sort_key", "url", "page_id").drop("url")
 
 
 @query("path_parts", r"""SELECT page_id, SPLIT_PART(u, '/', -1) AS file, regexp_replace(SPLIT_PART(u, '/', -1), '\.[^.]*$', '') AS stem,
