@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import frames
+from ..scratch import written
 from .chunks import by_chunk, core, halo, last_positions, spread_to_chunks
 from .detect import (
     FALL_CANDIDATE, FALLEN, FALLING, NORMAL, UNKNOWN, RuleConfig, evidence_inputs, fall_score, first_fallen,
@@ -71,6 +72,7 @@ def causal_fall_states(
 ) -> DataFrame:
     """State, latch and evidence of every frame, one exchange of the frames."""
     config = config or RuleConfig()
+    geometry = written(geometry, "geometry")
     gap, radius = frames(fps, 0.3), frames(fps, 0.15)
     speed, drop = frames(fps, 0.4), frames(fps, 1.0)
     window = frames(fps, config.evidence_window_seconds)

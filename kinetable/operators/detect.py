@@ -12,6 +12,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import finite_max, frames
+from ..scratch import written
 from .chunks import core, spread_to_chunks, walk_first_passage, walk_in_chunk
 from .geometry import frame_geometry
 from .timeseries import features_with_halo
@@ -127,7 +128,7 @@ def fall_evidence(
     keypoints: DataFrame, fps: float, frame_height: int, config: RuleConfig, threshold: float = 0.2
 ) -> DataFrame:
     """Core rows with inputs, score, predicates and pre-fall state, partitioned by (session, chunk)."""
-    geometry = frame_geometry(keypoints, threshold)
+    geometry = written(frame_geometry(keypoints, threshold), "geometry")
     series = features_with_halo(geometry, fps, frame_height, evidence_reach(fps, config))
     scored = fall_score(evidence_inputs(series), threshold_columns(config))
     return core(evidence(scored, fps, config))
@@ -184,7 +185,7 @@ def threshold_sweep(
     partitioning those rows already have.
     """
     head = configs[0]
-    geometry = frame_geometry(keypoints, threshold)
+    geometry = written(frame_geometry(keypoints, threshold), "geometry")
     series = evidence_inputs(features_with_halo(geometry, fps, frame_height, evidence_reach(fps, head)))
     options = F.array(
         *[

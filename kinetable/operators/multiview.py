@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..scratch import written
+
 POINT = ("session_id", "frame_idx", "joint")
 
 
@@ -155,6 +157,8 @@ def iterative_outlier_removal(obs: DataFrame, floor: float = 5.0) -> tuple[DataF
     Survivors are always ``error <= threshold`` of the same table, so a round is one aggregate
     with a pushed filter; only the mean comes back to the driver and no lineage builds up.
     """
+    obs = written(obs, "observations")
+
     def mean(df):
         return df.agg(F.avg("error")).first()[0]
 

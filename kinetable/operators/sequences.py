@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..scratch import written
 from .chunks import (
     by_chunk, core, dense_index, exact_percentiles, halo, last_positions, reflected_walk, running_last,
     running_max_before,
@@ -33,6 +34,7 @@ def _body_frame(keypoints: DataFrame) -> DataFrame:
         return F.max(F.when(seen & (F.col("joint") == joint), F.col(axis)))
 
     x, y = F.when(seen, F.col("x")), F.when(seen, F.col("y"))
+    keypoints = written(keypoints, "keypoints")
     frames = keypoints.groupBy("session_id", "frame_idx").agg(
         F.sqrt(F.pow(at("x", 1) - at("x", 8), 2) + F.pow(at("y", 1) - at("y", 8), 2)).alias("torso"),
         at("x", 8).alias("px"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import frames
+from ..scratch import written
 from .chunks import by_chunk, core, halo, last_positions, spread_to_chunks
 from .geometry import frame_geometry
 
@@ -155,4 +156,4 @@ def extract_features(
     """Keypoints to one row per frame with every feature series and the session baselines."""
     if fps <= 0:
         raise ValueError(f"fps must be positive, got {fps}")
-    return core(features_with_halo(frame_geometry(keypoints, threshold), fps, frame_height)).drop("_chunk")
+    return core(features_with_halo(written(frame_geometry(keypoints, threshold), "geometry"), fps, frame_height)).drop("_chunk")

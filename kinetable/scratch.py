@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -23,3 +23,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint root."""
     return f"{checkpoint_root(spark).rstrip('/')}/kinetable/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Materialise a table that several branches of a plan read.
+
+    Files in the shared folder survive lost executors, keep column pruning and filter pushdown,
+    and end the lineage, so the branches do not recompute what is below.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
