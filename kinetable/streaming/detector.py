@@ -35,7 +35,7 @@ class LiveConfig:
     calibration_seconds: float = 2.0
     auto_clear_seconds: float = 0.0
     fall_hold_seconds: float = 0.0
-    idle_ms: int = 3_600_000
+    idle_ms: int | None = None  # forget sessions idle this long; a live setting, it keeps the query awake
 
 
 def probe_fps(times: list[float], fallback: float) -> float:
@@ -92,9 +92,9 @@ class FallProcessor(StatefulProcessor):
                     out.append({"session_id": key[0], "frame_idx": r["frame_idx"], **got})
             queue, memory = [], machine.dump()
         self.memory.update((fps, json.dumps(queue), memory))
-        if timerValues.getCurrentProcessingTimeInMs() >= 0:
+        if self.config.idle_ms is not None:
             for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+                self.handle.deleteTimer(old)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.config.idle_ms)
         yield pd.DataFrame(out, columns=COLUMNS)
 
@@ -115,5 +115,7 @@ def detect_stream(frames: DataFrame, config: LiveConfig) -> DataFrame:
     return (
         frames.select(*INPUT_COLUMNS)
         .groupBy("session_id")
-        .transformWithStateInPandas(FallProcessor(config), OUTPUT, "append", "processingTime")
+        .transformWithStateInPandas(
+            FallProcessor(config), OUTPUT, "append", "none" if config.idle_ms is None else "processingTime"
+        )
     )
