@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import candidates, datasets, people, pose, sequences, stream, views  # noqa: F401
+from . import candidates, datasets, io, people, pose, sequences, stream, views  # noqa: F401
 from . import registry
 
 
