@@ -188,13 +188,13 @@ def _(spark, sf):
 
 @query(
     "people_to_keypoints",
-    """WITH p AS (SELECT session_id, frame_idx, person_idx, SUM(c)/51 AS person_score FROM people_t WHERE c > 0 AND joint < 18 GROUP BY ALL)
+    """WITH p AS (SELECT session_id, frame_idx, person_idx, SUM(c)/51 AS person_score FROM people_t WHERE c > 0 GROUP BY ALL)
 SELECT p.session_id, p.frame_idx, p.person_idx, CAST(j AS INTEGER) AS part, ROUND(person_score, 6) AS person_score, ROUND(COALESCE(x*2, 0), 6) AS x,
   ROUND(COALESCE(y*2, 0), 6) + 0.0E0 AS y, ROUND(COALESCE(c, 0), 6) AS c
-FROM p CROSS JOIN (SELECT UNNEST(RANGE(25)) AS j) LEFT JOIN people_t k ON k.session_id = p.session_id AND k.frame_idx = p.frame_idx AND k.person_idx = p.person_idx AND k.joint = j AND k.c > 0 AND joint < 18""",
+FROM p CROSS JOIN (SELECT UNNEST(RANGE(25)) AS j) LEFT JOIN people_t k ON k.session_id = p.session_id AND k.frame_idx = p.frame_idx AND k.person_idx = p.person_idx AND k.joint = j AND k.c > 0""",
 )
 def _(spark, sf):
-    seen = fx.people(spark, sf).where("c > 0 AND joint < 18").withColumnRenamed("joint", "part")
+    seen = fx.people(spark, sf).where("c > 0").withColumnRenamed("joint", "part")
     keys = list(P.PERSON)
     total = seen.groupBy(*keys).agg(F.sum("c").alias("score"))
     parts = seen.select(*keys, "part", F.col("person_idx").alias("cand_idx")).join(total, keys)

@@ -13,14 +13,13 @@ from .registry import query, rounded, table
 from .stream import drained
 
 _rows = """SELECT p.session_id, p.frame_idx, p.person_idx, CAST(j AS INTEGER) AS joint, ROUND(COALESCE(x, 0), 6) AS x, ROUND(COALESCE(y, 0), 6) + 0.0E0 AS y, ROUND(COALESCE(c, 0), 6) AS c
-FROM (SELECT DISTINCT session_id, frame_idx, person_idx FROM people_t WHERE person_idx < 2) p CROSS JOIN (SELECT UNNEST(RANGE(19)) AS j)
+FROM (SELECT DISTINCT session_id, frame_idx, person_idx FROM people_t) p CROSS JOIN (SELECT UNNEST(RANGE(19)) AS j)
 LEFT JOIN people_t k ON k.session_id = p.session_id AND k.frame_idx = p.frame_idx AND k.person_idx = p.person_idx AND k.joint = j"""
 
 
 def frame_files(spark, sf) -> str:
     path = new_folder(spark, "people-json")
-    ppl = fx.people(spark, sf).where("person_idx < 2")
-    Wr.write_people_json(Wr.people_json(ppl, 19), path)
+    Wr.write_people_json(Wr.people_json(fx.people(spark, sf), 19), path)
     return path
 
 
@@ -42,7 +41,7 @@ def _(spark, sf):
     return named(drained(R.stream_people_json(spark, frame_files(spark, sf), 19), "json-stream"))
 
 
-@query("sink_people_json", """SELECT session_id, frame_idx, COUNT(DISTINCT person_idx) AS n_people, COUNT(*) FILTER (c > 0) AS n_seen FROM people_t WHERE person_idx < 2 GROUP BY ALL""")
+@query("sink_people_json", """SELECT session_id, frame_idx, COUNT(DISTINCT person_idx) AS n_people, COUNT(*) FILTER (c > 0) AS n_seen FROM people_t GROUP BY ALL""")
 def _(spark, sf):
     raw = spark.read.schema(R.PEOPLE_SCHEMA).json(frame_files(spark, sf))
     part = F.split("name", "_")
@@ -127,7 +126,7 @@ def _(spark, sf):
     )
     table(spark, sf, "supplier").select(doc.alias("value")).write.text(path)
     p = F.col("p")
-    return R.read_camera_xml(spark, path).select("serial", p[0].alias("p0"), (p[2] + F.col("serial").cast("double")).alias("p2"), p[3].alias("p3"), p[7].alias("p7"), p[11].alias("p11"))
+    return R.read_camera_xml(spark, path, packed=True).select("serial", p[0].alias("p0"), (p[2] + F.col("serial").cast("double")).alias("p2"), p[3].alias("p3"), p[7].alias("p7"), p[11].alias("p11"))
 
 
 @query("src_listing")

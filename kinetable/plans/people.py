@@ -68,11 +68,11 @@ _map = ",".join(f"({s},{d})" for s, d in P.PARTS_17_TO_25.items()) + ",(5,1),(6,
    FROM people_t JOIN m ON joint = src WHERE c > 0 AND x IS NOT NULL GROUP BY ALL)
 SELECT p.session_id, p.frame_idx, p.person_idx, CAST(j AS INTEGER) AS joint, ROUND(x, 6) AS x, ROUND(y, 6) AS y, ROUND(COALESCE(c, 0), 6) AS c
 FROM p CROSS JOIN (SELECT UNNEST(RANGE(25)) AS j) LEFT JOIN w ON w.session_id = p.session_id AND w.frame_idx = p.frame_idx
-  AND w.person_idx = p.person_idx AND dst = j WHERE p.person_idx = 0""",
+  AND w.person_idx = p.person_idx AND dst = j""",
 )
 def _(spark, sf):
-    first = fx.people(spark, sf).where("person_idx = 0")
-    return rounded(P.remap_skeleton(first.where("joint < 17")), "x", "y", "c")
+    # the figure's first 17 joints stand for the 17-part source
+    return rounded(P.remap_skeleton(fx.people(spark, sf).where("joint < 17")), "x", "y", "c")
 
 
 @query(
@@ -218,7 +218,7 @@ def _(spark, sf):
     "backproject_affine",
     """SELECT k.session_id, k.frame_idx, k.person_idx, joint, ROUND(box_w/368*x + 0.1E0*y + box_x, 6) + 0.0E0 AS x,
   ROUND(box_h/368*y + box_y, 6) + 0.0E0 AS y FROM people_t k JOIN hands_t h ON h.session_id = k.session_id AND h.frame_idx = k.frame_idx
-   AND h.person_idx = k.person_idx AND side = 'left' AND box_w > 0 WHERE joint < 8""",
+   AND h.person_idx = k.person_idx AND side = 'left' AND box_w > 0""",
 )
 def _(spark, sf):
     ppl = fx.people(spark, sf)
@@ -227,7 +227,7 @@ def _(spark, sf):
         *P.PERSON, (F.col("box_w") / 368).alias("m00"), F.lit(0.1).alias("m01"), F.col("box_x").alias("m02"),
         zero.alias("m10"), (F.col("box_h") / 368).alias("m11"), F.col("box_y").alias("m12"),
     )
-    return rounded(P.backproject_affine(ppl.where("joint < 8").drop("c"), affine, P.PERSON), "x", "y")
+    return rounded(P.backproject_affine(ppl.drop("c"), affine, P.PERSON), "x", "y")
 
 
 @query(
