@@ -52,15 +52,15 @@ def dense_index(
 
 
 def halo(
-    df: DataFrame, idx: str, before: int, after: int, size: int = CHUNK_ROWS
+    df: DataFrame, idx: str, before: int, after: int, size: int | None = None
 ) -> DataFrame:
     """Add ``_chunk``/``_core`` and copy border rows to the chunks whose rows look at them."""
     i = F.col(idx)
-    lo = F.floor((i - F.lit(after)) / F.lit(size))
-    hi = F.floor((i + F.lit(before)) / F.lit(size))
+    lo = F.floor((i - F.lit(after)) / F.lit(size or CHUNK_ROWS))
+    hi = F.floor((i + F.lit(before)) / F.lit(size or CHUNK_ROWS))
     return (
         df.withColumn("_chunk", F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)))
-        .withColumn("_core", F.col("_chunk") == F.floor(i / F.lit(size)))
+        .withColumn("_core", F.col("_chunk") == F.floor(i / F.lit(size or CHUNK_ROWS)))
     )
 
 
@@ -69,21 +69,21 @@ def core(df: DataFrame) -> DataFrame:
     return df.where("_core").drop("_core")
 
 
-def chunked(df: DataFrame, idx: str, size: int = CHUNK_ROWS) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(size)))
+def chunked(df: DataFrame, idx: str, size: int | None = None) -> DataFrame:
+    return df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(size or CHUNK_ROWS)))
 
 
 def by_chunk(keys: Sequence[str], idx: str, *extra: str) -> W:
     return W.partitionBy(*keys, "_chunk", *extra).orderBy(idx)
 
 
-def spread_to_chunks(per_key: DataFrame, last_idx: str, size: int = CHUNK_ROWS) -> DataFrame:
+def spread_to_chunks(per_key: DataFrame, last_idx: str, size: int | None = None) -> DataFrame:
     """One row per chunk of the key, so that a per-key value joins on ``(key, _chunk)``.
 
     The frame side is already partitioned that way by its windows: no exchange, and a hot key
     meets its value in as many tasks as it has chunks.
     """
-    top = F.floor(F.col(last_idx) / F.lit(size))
+    top = F.floor(F.col(last_idx) / F.lit(size or CHUNK_ROWS))
     return per_key.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), top))).drop(
         last_idx
     )
@@ -94,7 +94,7 @@ def last_positions(df: DataFrame, keys: Sequence[str], idx: str) -> DataFrame:
 
 
 def running_last(
-    df: DataFrame, keys: Sequence[str], idx: str, values: dict[str, Column], size: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], idx: str, values: dict[str, Column], size: int | None = None
 ) -> DataFrame:
     """``last(value, ignorenulls)`` up to and including each row, for any session length."""
     keys = list(keys)
@@ -116,7 +116,7 @@ def running_last(
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], idx: str, values: dict[str, Column], size: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], idx: str, values: dict[str, Column], size: int | None = None
 ) -> DataFrame:
     """Inclusive running sums per key, two-level."""
     keys = list(keys)
@@ -200,7 +200,7 @@ def walk_first_passage(
 
 
 def running_max_before(
-    df: DataFrame, keys: Sequence[str], idx: str, value: Column, name: str, size: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], idx: str, value: Column, name: str, size: int | None = None
 ) -> DataFrame:
     """Largest value of the earlier rows of the key (NULL on the first), two-level."""
     keys = list(keys)
@@ -221,7 +221,7 @@ def running_max_before(
 
 
 def reflected_walk(
-    df: DataFrame, keys: Sequence[str], idx: str, step: Column, name: str, size: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], idx: str, step: Column, name: str, size: int | None = None
 ) -> DataFrame:
     """``c <- max(0, c + step)`` along each key, two-level and exact (steps must not be NULL)."""
     keys = list(keys)
