@@ -137,7 +137,7 @@ def _(spark, sf):
 
 
 @query("stream_assemble_views", """SELECT session_id, frame_idx, CAST(event_id % 4 + 1 AS INTEGER) AS n_views, STRING_AGG(v::VARCHAR, ',' ORDER BY v) AS views
-FROM frames_t JOIN (SELECT UNNEST(RANGE(4)) AS v) ON v <= event_id % 4 WHERE (event_id*(v + 1)) % 11 <> 0 AND ts < (SELECT MAX(ts) - INTERVAL 10 SECONDS FROM frames_t WHERE NOT ((event_id % 11) = 0 AND event_id % 4 < 1))
+FROM frames_t JOIN (SELECT UNNEST(RANGE(4)) AS v) ON v <= event_id % 4 WHERE (event_id*(v + 1)) % 11 <> 0 AND ts < (SELECT MAX(ts) - INTERVAL 10 SECONDS FROM frames_t WHERE event_id % 11 <> 0)
 GROUP BY ALL HAVING COUNT(*) = event_id % 4 + 1""")
 def _(spark, sf):
     e = F.col("event_id")
