@@ -17,27 +17,27 @@ KEYPOINTS = T.StructType(
 
 # Part names by skeleton, in index order.
 PART_NAMES = {
-    "body_25": (
+    "parts25": (
         "Nose Neck RShoulder RElbow RWrist LShoulder LElbow LWrist MidHip RHip RKnee RAnkle LHip LKnee LAnkle "
         "REye LEye REar LEar LBigToe LSmallToe LHeel RBigToe RSmallToe RHeel"
     ).split(),
-    "body_18": (
+    "parts18": (
         "Nose Neck RShoulder RElbow RWrist LShoulder LElbow LWrist RHip RKnee RAnkle LHip LKnee LAnkle "
         "REye LEye REar LEar"
     ).split(),
-    "body_15": (
+    "parts15": (
         "Head Neck RShoulder RElbow RWrist LShoulder LElbow LWrist RHip RKnee RAnkle LHip LKnee LAnkle Chest"
     ).split(),
 }
 
 # Limb pairs by skeleton, in index order.
 PART_PAIRS = {
-    "body_25": (
+    "parts25": (
         (1, 8), (1, 2), (1, 5), (2, 3), (3, 4), (5, 6), (6, 7), (8, 9), (9, 10), (10, 11), (8, 12), (12, 13),
         (13, 14), (1, 0), (0, 15), (15, 17), (0, 16), (16, 18), (2, 17), (5, 18), (14, 19), (19, 20), (14, 21),
         (11, 22), (22, 23), (11, 24),
     ),
-    "body_18": (
+    "parts18": (
         (1, 2), (1, 5), (2, 3), (3, 4), (5, 6), (6, 7), (1, 8), (8, 9), (9, 10), (1, 11), (11, 12), (12, 13),
         (1, 0), (0, 14), (14, 16), (0, 15), (15, 17), (2, 16), (5, 17),
     ),

@@ -19,36 +19,42 @@ def valid_joint(threshold: float) -> Column:
     return F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("c") >= threshold)
 
 
-def weighted_mean(axis: str, joints, threshold: float) -> Column:
-    pick = F.when(F.col("joint").isin(*joints) & valid_joint(threshold), F.col("c"))
-    return F.sum(F.col(axis) * pick) / F.sum(pick)
-
-
 def frame_geometry(keypoints: DataFrame, threshold: float = 0.2) -> DataFrame:
     """Head, hip and shoulder points, torso angle, box aspect and body height of every frame.
 
     One hash aggregation on (session, frame): partial sums are built before the exchange, so the
-    rows that travel are frames, not joints.
+    rows that travel are frames, not joints.  Confidence-weighted coordinates are prepared per row
+    first; the aggregates then stay plain sums over joint groups, small enough to be compiled.
     """
+    ok = valid_joint(threshold)
+    body = F.col("joint").isin(*BODY_JOINTS)
+    rows = keypoints.select(
+        "session_id", "frame_idx", "joint", F.coalesce(F.col("c") >= threshold, F.lit(False)).alias("_seen"),
+        F.when(ok, F.col("c")).alias("_w"), F.when(ok, F.col("x") * F.col("c")).alias("_xw"), F.when(ok, F.col("y") * F.col("c")).alias("_yw"),
+        F.when(ok & body, F.col("x")).alias("_bx"), F.when(ok & body, F.col("y")).alias("_by"),
+        F.when(body & F.col("y").isNotNull() & (F.col("c") >= threshold), F.col("y")).alias("_ty"),
+    )
+
+    def mean(weighted, joints):
+        pick = F.col("joint").isin(*joints)
+        return F.sum(F.when(pick, F.col(weighted))) / F.sum(F.when(pick, F.col("_w")))
+
+    def point(weighted, spec):
+        return F.coalesce(*[mean(weighted, joints) for joints in spec])
 
-    def point(axis, spec):
-        return F.coalesce(*[weighted_mean(axis, joints, threshold) for joints in spec])
-
-    body = F.when(F.col("joint").isin(*BODY_JOINTS) & valid_joint(threshold), F.lit(1))
-    tall = F.when(F.col("joint").isin(*BODY_JOINTS) & F.col("y").isNotNull() & (F.col("c") >= threshold), F.lit(1))
-    g = keypoints.groupBy("session_id", "frame_idx").agg(
-        F.max(F.coalesce(F.col("c") >= threshold, F.lit(False))).alias("detected"),
-        point("x", HEAD).alias("head_x"),
-        point("y", HEAD).alias("head_y"),
-        point("x", HIP).alias("hip_x"),
-        point("y", HIP).alias("hip_y"),
-        point("x", SHOULDER).alias("shoulder_x"),
-        point("y", SHOULDER).alias("shoulder_y"),
-        F.count(body).alias("_n"),
-        (F.max(F.col("x") * body) - F.min(F.col("x") * body)).alias("_w"),
-        (F.max(F.col("y") * body) - F.min(F.col("y") * body)).alias("_h"),
-        F.count(tall).alias("_nt"),
-        (F.max(F.col("y") * tall) - F.min(F.col("y") * tall)).alias("_ht"),
+    g = rows.groupBy("session_id", "frame_idx").agg(
+        F.max("_seen").alias("detected"),
+        point("_xw", HEAD).alias("head_x"),
+        point("_yw", HEAD).alias("head_y"),
+        point("_xw", HIP).alias("hip_x"),
+        point("_yw", HIP).alias("hip_y"),
+        point("_xw", SHOULDER).alias("shoulder_x"),
+        point("_yw", SHOULDER).alias("shoulder_y"),
+        F.count("_bx").alias("_n"),
+        (F.max("_bx") - F.min("_bx")).alias("_w"),
+        (F.max("_by") - F.min("_by")).alias("_h"),
+        F.count("_ty").alias("_nt"),
+        (F.max("_ty") - F.min("_ty")).alias("_ht"),
     )
     dx = F.abs(F.col("shoulder_x") - F.col("hip_x"))
     dy = F.abs(F.col("shoulder_y") - F.col("hip_y"))

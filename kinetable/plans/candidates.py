@@ -199,7 +199,7 @@ def _(spark, sf):
     total = seen.groupBy(*keys).agg(F.sum("c").alias("score"))
     parts = seen.select(*keys, "part", F.col("person_idx").alias("cand_idx")).join(total, keys)
     spots = seen.select("session_id", "frame_idx", "part", F.col("person_idx").alias("cand_idx"), "x", "y", "c")
-    out = G.people_to_keypoints(parts, spots, keys, 25, len(model.PART_PAIRS["body_25"]), 2.0)
+    out = G.people_to_keypoints(parts, spots, keys, 25, len(model.PART_PAIRS["parts25"]), 2.0)
     return rounded(out, "person_score", "x", "y", "c")
 
 

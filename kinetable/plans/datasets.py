@@ -245,13 +245,13 @@ def _(spark, sf):
     return rounded(table(spark, sf, "events").select("event_id", C.wrap_2pi(v).alias("zero_two_pi"), C.wrap_pi(v).alias("plus_minus_pi")), "zero_two_pi", "plus_minus_pi")
 
 
-_names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(model.PART_NAMES["body_25"]))
+_names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(model.PART_NAMES["parts25"]))
 
 
 @query("part_lookup", f"""SELECT session_id, frame_idx, joint, name, name LIKE 'L%' AS is_left, ROUND(c, 6) AS c
 FROM kp_t JOIN (VALUES {_names}) AS t(part, name) ON joint = part WHERE name IN ('Nose', 'LWrist', 'RWrist', 'MidHip')""")
 def _(spark, sf):
-    parts = model.skeleton_parts(spark).where("model = 'body_25'").select(F.col("part").alias("joint"), "name")
+    parts = model.skeleton_parts(spark).where("model = 'parts25'").select(F.col("part").alias("joint"), "name")
     out = fx.keypoints(spark, sf).join(parts, "joint").where(F.col("name").isin("Nose", "LWrist", "RWrist", "MidHip"))
     return rounded(out.select("session_id", "frame_idx", "joint", "name", F.col("name").startswith("L").alias("is_left"), "c"), "c")
 
