@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets, subword  # noqa: F401
+from . import quality, secrets, subword  # noqa: F401
 from .common import ORACLES, QUERIES
 
 
