@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, quality, secrets, substrings, subword  # noqa: F401
+from . import decontaminate, embeddings, neardup, quality, secrets, substrings, subword  # noqa: F401
 from .common import ORACLES, QUERIES
 
 
