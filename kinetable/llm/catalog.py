@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, licenses, maintext, neardup, quality, secrets, substrings, subword  # noqa: F401
+from . import decontaminate, embeddings, licenses, maintext, neardup, quality, secrets, substrings, subword, warc  # noqa: F401
 from .common import ORACLES, QUERIES
 
 
