@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinetable.scratch import new_folder, written
 
-__all__ = ["QUERIES", "ORACLES", "query", "table", "written", "new_folder", "two_columns", "blobs", "lowered_words", "mix64", "bytes_of", "ALNUM", "ascii_lower"]
+__all__ = ["QUERIES", "ORACLES", "query", "table", "written", "new_folder", "two_columns", "blobs", "lowered_words", "mix64", "slices", "free_name", "ALNUM", "ascii_lower"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,8 +67,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def bytes_of(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.array([a.tobytes() for a in arrays], pa.binary())
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import blobs, lowered_words, query, slices, table, two_columns, written
+from .common import blobs, free_name, lowered_words, query, slices, table, two_columns, written
 
 WINDOW = 10
 #: Bytes of text in a segment, at most but for longer documents.
@@ -270,9 +270,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     Only ids of contaminated documents are joined; rows with a null id are judged by their text's hash.
     """
-    keyed = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    bad = summarised(decontaminate(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, window)).where("contaminated")
-    return keyed.join(bad.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
+    row = free_name(docs, "_row")
+    keyed = docs.withColumn(row, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    bad = summarised(decontaminate(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark, window)).where("contaminated")
+    return keyed.join(bad.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(*docs.columns)
 
 
 SQL = r"""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import blobs, mix64, query, slices, table, two_columns, written
+from .common import blobs, free_name, mix64, query, slices, table, two_columns, written
 from .components import components
 
 ROWS = 4
@@ -271,8 +271,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` but for those linked, directly or over others, to a document with a smaller id."""
-    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    row = free_name(docs, "_row")
+    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias(row)).distinct()
+    return docs.withColumn(row, F.col("doc_id").cast("long")).join(written(gone, "dropped"), row, "left_anti").select(*docs.columns)
 
 
 SQL = r"""
