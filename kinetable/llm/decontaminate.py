@@ -66,7 +66,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None, key: str = "doc_id", t
     ``offsets[i]:offsets[i + 1]`` of ``postings`` are the places of ``terms[i]`` (sorted), counted through the segment's
     documents one after the other.  Narrow; the wanted terms are broadcast, or all are indexed if ``terms`` is None.
     """
-    wanted = None
+    wanted, segment = None, SEGMENT
     if terms is not None:
         wanted = docs.sparkSession.sparkContext.broadcast({r.term for r in terms.toLocalIterator()})
 
@@ -74,7 +74,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None, key: str = "doc_id", t
         keep = wanted.value if wanted is not None else None
         known: dict[bytes, int] = {}
         ids: dict[int, int] = {}
-        for batch in slices(batches, "_text", SEGMENT):
+        for batch in slices(batches, "_text", segment):
             if len(known) > 500_000:
                 known.clear()
                 ids.clear()

@@ -97,7 +97,7 @@ INTERVALS = "id long, label long, dim int, lo array<double>, hi array<double>, i
 
 def intervals(classes: DataFrame, axes: np.ndarray, eps: float, count: int) -> DataFrame:
     """The grid order, cut into intervals: one row each, with the box of its projections."""
-    width, k = axes.shape
+    (width, k), size = axes.shape, INTERVAL
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,8 +118,8 @@ def intervals(classes: DataFrame, axes: np.ndarray, eps: float, count: int) -> D
             edges = np.flatnonzero((np.diff(label) != 0) | (np.diff(dim) != 0)) + 1
             rows = []
             for a, z in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
-                for s in range(a, z, INTERVAL):
-                    e = min(z, s + INTERVAL)
+                for s in range(a, z, size):
+                    e = min(z, s + size)
                     place = np.frombuffer(b"".join(batch.column("place")[s:e].to_pylist())).reshape(e - s, k)
                     ids, n = batch.column("rep")[s:e].to_numpy(), batch.column("n")[s:e].to_numpy()
                     rows.append({
@@ -155,30 +155,30 @@ class Sequence:
         self.places = np.frombuffer(places).reshape(len(self.ids), -1)
 
 
-def _join(p: Sequence, q: Sequence, a: slice, b: slice, same: bool, eps: float, cosine: float, out: list) -> None:
+def _join(p: Sequence, q: Sequence, a: slice, b: slice, same: bool, eps: float, cosine: float, leaf: int, out: list) -> None:
     """Append the links between two parts of sequences, halving the parts while their boxes are near."""
     x, y = p.places[a], q.places[b]
     gap = np.maximum(0, np.maximum(x.min(axis=0) - y.max(axis=0), y.min(axis=0) - x.max(axis=0)))
     if gap @ gap > eps * eps * (1 + 1e-9) + 1e-12:
         return
-    if len(x) <= LEAF and len(y) <= LEAF:
+    if len(x) <= leaf and len(y) <= leaf:
         hit = (p.vecs[a] @ q.vecs[b].T) / (p.norms[a][:, None] * q.norms[b][None, :]) >= cosine
         if same and a.start == b.start:
             hit = np.triu(hit, 1)
         i, j = np.nonzero(hit)
         out.append((i + a.start, j + b.start))
         return
-    for u in _halves(a):
-        for v in _halves(b):
+    for u in _halves(a, leaf):
+        for v in _halves(b, leaf):
             if not same or u.start <= v.start:
-                _join(p, q, u, v, same, eps, cosine, out)
+                _join(p, q, u, v, same, eps, cosine, leaf, out)
 
 
-def _halves(s: slice) -> list[slice]:
+def _halves(s: slice, leaf: int) -> list[slice]:
     n = s.stop - s.start
-    if n <= LEAF:
+    if n <= leaf:
         return [s]
-    middle = s.start + LEAF * ((n + LEAF - 1) // LEAF // 2)
+    middle = s.start + leaf * ((n + leaf - 1) // leaf // 2)
     return [slice(s.start, middle), slice(middle, s.stop)]
 
 
@@ -196,7 +196,7 @@ def _reached(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarra
 
 def links_between(pairs: DataFrame, cut: DataFrame, eps: float, cosine: float) -> DataFrame:
     """Per joined pair of intervals and vector with links there: its number of linked vectors and the smallest id reached."""
-    body = ["ids", "counts", "vecs", "places"]
+    body, leaf = ["ids", "counts", "vecs", "places"], LEAF
     both = pairs.join(cut.select(F.col("id").alias("x"), *[F.col(c).alias(f"x_{c}") for c in body]), "x")
     both = both.join(cut.select(F.col("id").alias("y"), *[F.col(c).alias(f"y_{c}") for c in body]), "y")
 
@@ -207,7 +207,7 @@ def links_between(pairs: DataFrame, cut: DataFrame, eps: float, cosine: float) -
                 p = Sequence(*(batch.column(f"x_{c}")[row].as_py() for c in body))
                 q = p if same else Sequence(*(batch.column(f"y_{c}")[row].as_py() for c in body))
                 found: list = []
-                _join(p, q, slice(0, len(p.ids)), slice(0, len(q.ids)), same, eps, cosine, found)
+                _join(p, q, slice(0, len(p.ids)), slice(0, len(q.ids)), same, eps, cosine, leaf, found)
                 i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
                 if not len(i):
                     continue

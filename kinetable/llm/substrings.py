@@ -86,6 +86,7 @@ class Shape:
         expected = max(1, size // 6)
         self.window, self.depth = window, depth
         self.chunks = max(1, math.ceil(size / CHUNK))
+        self.slice_bits = SLICE_BITS
         self.cell_bits = max(SLICE_BITS, (CELLS * expected - 1).bit_length())
         self.bucket_bits = max(1, (expected // BUCKET).bit_length())
 
@@ -123,7 +124,8 @@ class Chunk:
     def sketch(self) -> list[tuple[int, bytes, bytes]]:
         """(slice, cells, whether two documents of the chunk count there)."""
         out = []
-        per_row = 1 << (self.shape.cell_bits - SLICE_BITS)
+        bits_ = self.shape.slice_bits
+        per_row = 1 << (self.shape.cell_bits - bits_)
         for row in range(self.shape.depth):
             cell = self.cells(row)
             order = np.argsort(cell, kind="stable")
@@ -132,20 +134,21 @@ class Chunk:
             other = np.append(False, (c[1:] == c[:-1]) & (d[1:] != d[:-1])) if len(c) else np.zeros(0, bool)
             twice = np.add.reduceat(other, first) > 0 if len(c) else other
             c = c[first]
-            part = c >> SLICE_BITS
+            part = c >> bits_
             cuts = np.searchsorted(part, np.unique(part)).tolist() + [len(c)]
             for a, b in itertools.pairwise(cuts):
-                out.append((int(part[a]) + row * per_row, pack(c[a:b] & ((1 << SLICE_BITS) - 1)), bits(twice[a:b])))
+                out.append((int(part[a]) + row * per_row, pack(c[a:b] & ((1 << bits_) - 1)), bits(twice[a:b])))
         return out
 
     def repeated(self, masks: dict[int, bytes]) -> np.ndarray:
         """Windows whose every counter stands at two or more."""
         hot = np.ones(len(self.h), bool)
-        per_row = 1 << (self.shape.cell_bits - SLICE_BITS)
+        bits_ = self.shape.slice_bits
+        per_row = 1 << (self.shape.cell_bits - bits_)
         for row in range(self.shape.depth):
             cell = self.cells(row)
             known = np.unique(cell)
-            part = known >> SLICE_BITS
+            part = known >> bits_
             parts, cuts = np.unique(part, return_index=True)
             ends = np.append(cuts[1:], len(known))
             good = [known[a:b][flags(masks[p + row * per_row], b - a)] for p, a, b in zip(parts.tolist(), cuts.tolist(), ends.tolist(), strict=True)]
@@ -184,7 +187,7 @@ def keep_first_windows(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "slice": pa.array(part, pa.int64()), "cells": pa.array(cells, pa.binary()), "twice": pa.array(twice, pa.binary())})
 
     def add_up(key: tuple, sketches: pa.Table) -> pa.Table:
-        counts = np.zeros(1 << SLICE_BITS, np.uint8)
+        counts = np.zeros(1 << shape.slice_bits, np.uint8)
         cells = [unpack(x) for x in sketches.column("cells").to_pylist()]
         for c, twice in zip(cells, sketches.column("twice").to_pylist(), strict=True):
             counts[c] = np.minimum(counts[c] + 1 + flags(twice, len(c)), 2)

@@ -1,0 +1,49 @@
+import random
+import re
+from hashlib import sha256
+
+from kinetable.llm import secrets as S
+
+ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def base_spans(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def test_base_rules_are_regular_expressions():
+    scanner, rng = S.Scanner(), random.Random(1)
+    parts = ["token", "Secret", "=", ":", " ", '"', "abc", "AKIA", "ABCD0123", "0123456789abcdef", "api_key", "API_KEY", ".-", "\n", "passwd", "é🙂", "a" * 20, "ghp_", "eyJ", "."]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        data = text.encode()
+        assert [x for x in S.code_points(data, scanner.spans(data)) if x[1] < 3] == base_spans(text)
+
+
+def test_own_rules():
+    scanner = S.Scanner()
+    text = "é ghp_" + "a1B2" * 9 + " xoxb-123456789012-abcdef " + "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl_signature-x sk_live_" + "0aZ" * 6 + " -----BEGIN RSA PRIVATE KEY-----"
+    kinds = [scanner.rules[k].kind for _, k, _ in scanner.spans(text.encode())]
+    assert kinds == ["github", "slack", "jwt", "stripe", "pem"]
+
+
+def test_minimised_automaton_has_no_equal_states():
+    dfa = S.Scanner([S.Rule("a", "ab|cb"), S.Rule("b", "[0-9]{3,}")]).combined
+    assert len({(m, tuple(t)) for m, t in zip(dfa.marks, dfa.transitions)}) == len(dfa.transitions)
+
+
+def test_scan_and_redaction(spark, docs, empty):
+    extra = spark.createDataFrame([(1, "token = abcdefgh1 and " + "ab" * 20), (2, None), (2, ""), (None, "é secret: 'ABCDEFGHIJ'"), (3, "token=abc")], "doc_id long, text string")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in S.digests(S.scan_secrets(extra)).collect()))
+    nothing = sha256(b"").hexdigest()
+    one, two = "assign:0:17,hex:22:62", "assign:2:21"
+    assert got == [
+        (False, 1, 1, 0, 1, sha256(one.encode()).hexdigest(), one), (False, 2, 0, 0, 0, nothing, ""), (False, 2, 0, 0, 0, nothing, ""),
+        (False, 3, 0, 0, 0, nothing, ""), (True, 0, 1, 0, 0, sha256(two.encode()).hexdigest(), two),
+    ]
+    assert sorted(str(r.text) for r in S.redact_secrets(extra).collect()) == sorted(["[secret] and [secret]", "None", "", "é [secret]'", "token=abc"])
+    assert S.scan_secrets(docs).count() == docs.count() and S.scan_secrets(empty).count() == 0
+    assert S.redact_secrets(docs).schema == docs.schema
