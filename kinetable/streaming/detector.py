@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.detect import RuleConfig
-from .machine import SIGNALS, FallMachine
+from .rule import SIGNALS, Frame, LiveRule, Memory, forced, released
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = (
@@ -20,6 +20,7 @@ OUTPUT = (
 )
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 PROBE_FRAMES = 15
+LATE = "LATE"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -49,10 +50,12 @@ def probe_fps(times: list[float], fallback: float) -> float:
 
 
 class FallProcessor(StatefulProcessor):
-    """One value per session: the machine's memory, or the probe buffer before it starts.
+    """One value per session: the rule's memory, or the probe buffer before it starts.
 
-    Rows are frames (``control`` NULL) and alarm commands (``force`` / ``reset``) that take effect
-    after the frame of the same index.  Idle sessions are forgotten by a timer.
+    Rows are frames (``control`` NULL) and commands that take effect after the frame of the same index: ``force`` and
+    ``reset`` the alarm, ``end`` the session.  A session that ends (by command, or by the idle timer) before its rate
+    could be measured is decided at the rate that its few frames tell, else at the fallback rate; nothing is lost.
+    Frames that come after later ones were decided are given out as they are, with state LATE, and change nothing.
     """
 
     def __init__(self, config: LiveConfig) -> None:
@@ -60,47 +63,62 @@ class FallProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.memory = handle.getValueState("memory", "fps double, buffer string, machine string")
+        self.memory = handle.getValueState("memory", "fps double, buffer string, machine string, newest bigint")
 
-    def _machine(self, fps: float, memory: str | None) -> FallMachine:
+    def _load(self):
+        return self.memory.get() if self.memory.exists() else (self.config.fps, "[]", None, -1)
+
+    def _decide(self, key, fps: float, memory: str | None, newest: int, queue: list[dict]):
         c = self.config
-        return FallMachine(
-            fps, c.frame_height, c.rule, c.calibration_seconds, c.auto_clear_seconds, c.fall_hold_seconds, memory
-        )
+        rule = LiveRule(fps, c.frame_height, c.rule, c.calibration_seconds, c.auto_clear_seconds, c.fall_hold_seconds)
+        m, out = Memory.load(memory) if memory else Memory(), []
+        for r in queue:
+            if r["control"] == "force":
+                m = forced(m)
+            elif r["control"] == "reset":
+                m = released(m)
+            elif r["control"] is None and r["frame_idx"] <= newest:
+                out.append({"session_id": key[0], "frame_idx": r["frame_idx"], "state": LATE, "fall_latched": m.alarmed, "detected": bool(r["detected"])})
+            elif r["control"] is None:
+                m, got = rule.step(m, Frame(bool(r["detected"]), {s: r[s] for s in SIGNALS}, r["body_height"]))
+                out.append({"session_id": key[0], "frame_idx": r["frame_idx"], **got})
+                newest = r["frame_idx"]
+        return m.dump(), newest, out
+
+    def _rate(self, queue: list[dict], ended: bool) -> float | None:
+        times = [r["seconds"] for r in queue if r["control"] is None]
+        if len(times) >= PROBE_FRAMES or ended:
+            return probe_fps(times[:PROBE_FRAMES], self.config.fallback_fps)
+        return None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fps, buffer, memory = self.memory.get() if self.memory.exists() else (self.config.fps, "[]", None)
-        waiting = json.loads(buffer)
+        fps, buffer, memory, newest = self._load()
         arrived = pd.concat(list(rows)).astype(object)
         arrived = arrived.where(arrived.notna(), None)
         arrived["_after"] = arrived["control"].notna()
-        queue = waiting + arrived.sort_values(["frame_idx", "_after"]).to_dict("records")
-        if fps is None:
-            frames = [r for r in queue if r["control"] is None]
-            if len(frames) >= PROBE_FRAMES:
-                fps = probe_fps([r["seconds"] for r in frames[:PROBE_FRAMES]], self.config.fallback_fps)
-        out = []
+        queue = json.loads(buffer) + arrived.sort_values(["frame_idx", "_after"]).to_dict("records")
+        ended = any(r["control"] == "end" for r in queue)
+        fps, out = fps or self._rate(queue, ended), []
         if fps is not None:
-            machine = self._machine(fps, memory)
-            for r in queue:
-                if r["control"] == "force":
-                    machine.force_fallen()
-                elif r["control"] == "reset":
-                    machine.reset_alarm()
-                else:
-                    got = machine.step(bool(r["detected"]), {s: r[s] for s in SIGNALS}, r["body_height"])
-                    out.append({"session_id": key[0], "frame_idx": r["frame_idx"], **got})
-            queue, memory = [], machine.dump()
-        self.memory.update((fps, json.dumps(queue), memory))
+            memory, newest, out = self._decide(key, fps, memory, newest, queue)
+            queue = []
+        if ended:
+            self.memory.clear()
+        else:
+            self.memory.update((fps, json.dumps(queue), memory, newest))
         if self.config.idle_ms is not None:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.config.idle_ms)
+            if not ended:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.config.idle_ms)
         yield pd.DataFrame(out, columns=COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fps, buffer, memory, newest = self._load()
+        queue = json.loads(buffer)
         self.memory.clear()
-        yield pd.DataFrame([], columns=COLUMNS)
+        out = self._decide(key, fps or self._rate(queue, True), memory, newest, queue)[2] if queue else []
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass

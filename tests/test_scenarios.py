@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinetable.operators import detect, multiview, people, sequences
 from kinetable.operators.geometry import frame_geometry
-from kinetable.streaming.machine import FallMachine
+from kinetable.streaming.rule import Frame, LiveRule, Memory, forced, released
 
 
 def figure(count, start, length):
@@ -51,53 +51,52 @@ def test_static_pose_has_no_speed(spark):
 
 
 def test_latch_and_frozen_baseline(signals):
-    m = FallMachine(15.0, 480)
-    frames = signals(figure(600, 75, 15))
-    base = None
-    for i, f in enumerate(frames):
-        out = m.step(*f)
+    rule, m, base = LiveRule(15.0, 480), Memory(), None
+    for i, f in enumerate(signals(figure(600, 75, 15))):
+        m, out = rule.step(m, Frame(*f))
         if i == 40:
-            base = (m.m["height"], m.m["hip"])
-    assert out["state"] == "FALLEN" and m.m["first_fallen"] < 150
-    assert (m.m["height"], m.m["hip"]) == base
-    m.reset_alarm()
-    assert not m.m["latched"] and m.m["state"] == "NORMAL"
+            base = (m.body, m.hip)
+    assert out["state"] == "FALLEN" and m.first_alarm < 150
+    assert (m.body, m.hip) == base
+    m = released(m)
+    assert not m.alarmed and m.state == "NORMAL"
 
 
 @pytest.mark.parametrize("hold,count,latched", [(5.0, 200, False), (0.0, 600, True)])
 def test_hold(signals, hold, count, latched):
-    m = FallMachine(10.0, 480, fall_hold_seconds=hold)
+    rule, m = LiveRule(10.0, 480, fall_hold_seconds=hold), Memory()
     for f in signals(figure(count, 50, 10)):
-        m.step(*f)
-    assert m.m["latched"] is latched
+        m, _ = rule.step(m, Frame(*f))
+    assert m.alarmed is latched
 
 
 def test_forced_alarm_and_dropout(signals):
     frames = signals(figure(60, 1000, 10))
-    m = FallMachine(10.0, 480)
+    rule, m = LiveRule(10.0, 480), Memory()
     for f in frames[:40]:
-        m.step(*f)
-    nothing = (False, dict.fromkeys(frames[0][1]), None)
-    assert m.step(*nothing)["state"] == "NORMAL"
+        m, _ = rule.step(m, Frame(*f))
+    nothing = Frame(False, dict.fromkeys(frames[0][1]), None)
+    m, out = rule.step(m, nothing)
+    assert out["state"] == "NORMAL"
     for _ in range(10):
-        out = m.step(*nothing)
+        m, out = rule.step(m, nothing)
     assert out["state"] == "UNKNOWN"
-    m.force_fallen()
-    assert m.step(*frames[41])["state"] == "FALLEN"
+    assert rule.step(forced(m), Frame(*frames[41]))[1]["state"] == "FALLEN"
 
 
 def test_no_alarm_while_calibrating(signals):
-    m = FallMachine(10.0, 480)
-    assert not any(m.step(*f)["fall_latched"] for f in signals(figure(19, 5, 5)))
+    rule, m = LiveRule(10.0, 480), Memory()
+    for f in signals(figure(19, 5, 5)):
+        m, out = rule.step(m, Frame(*f))
+        assert not out["fall_latched"]
 
 
 def test_memory_survives_and_stays_small(signals):
-    frames = signals(figure(120, 50, 10))
-    one, two = FallMachine(10.0, 480), FallMachine(10.0, 480)
-    for f in frames:
-        a = one.step(*f)
-        two = FallMachine(10.0, 480, memory=two.dump())
-        assert a == two.step(*f)
+    rule, one, two = LiveRule(10.0, 480), Memory(), Memory()
+    for f in signals(figure(120, 50, 10)):
+        one, a = rule.step(one, Frame(*f))
+        two, b = rule.step(Memory.load(two.dump()), Frame(*f))
+        assert a == b
     assert len(two.dump()) < 3000
 
 
@@ -181,7 +180,7 @@ def test_errors():
     with pytest.raises(ValueError):
         sequences.resample_sequence(None, ["x"], 0)
     with pytest.raises(ValueError):
-        FallMachine(0.0, 480)
+        LiveRule(0.0, 480)
 
 
 def test_confusion_counts(spark):
