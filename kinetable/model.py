@@ -17,17 +17,19 @@ KEYPOINTS = T.StructType(
 
 # Part names by skeleton, in index order.
 PART_NAMES = {
-    "parts25": (
-        "Nose Neck RShoulder RElbow RWrist LShoulder LElbow LWrist MidHip RHip RKnee RAnkle LHip LKnee LAnkle "
-        "REye LEye REar LEar LBigToe LSmallToe LHeel RBigToe RSmallToe RHeel"
-    ).split(),
-    "parts18": (
-        "Nose Neck RShoulder RElbow RWrist LShoulder LElbow LWrist RHip RKnee RAnkle LHip LKnee LAnkle "
-        "REye LEye REar LEar"
-    ).split(),
-    "parts15": (
-        "Head Neck RShoulder RElbow RWrist LShoulder LElbow LWrist RHip RKnee RAnkle LHip LKnee LAnkle Chest"
-    ).split(),
+    "parts25": [
+        "Nose", "Neck", "RShoulder", "RElbow", "RWrist", "LShoulder", "LElbow", "LWrist", "MidHip", "RHip", "RKnee",
+        "RAnkle", "LHip", "LKnee", "LAnkle", "REye", "LEye", "REar", "LEar", "LBigToe", "LSmallToe", "LHeel",
+        "RBigToe", "RSmallToe", "RHeel",
+    ],
+    "parts18": [
+        "Nose", "Neck", "RShoulder", "RElbow", "RWrist", "LShoulder", "LElbow", "LWrist", "RHip", "RKnee", "RAnkle",
+        "LHip", "LKnee", "LAnkle", "REye", "LEye", "REar", "LEar",
+    ],
+    "parts15": [
+        "Head", "Neck", "RShoulder", "RElbow", "RWrist", "LShoulder", "LElbow", "LWrist", "RHip", "RKnee", "RAnkle",
+        "LHip", "LKnee", "LAnkle", "Chest",
+    ],
 }
 
 # Limb pairs by skeleton, in index order.

@@ -120,7 +120,8 @@ def limb_scores(
     """Mean alignment of the field along each candidate limb.
 
     ``field`` is (frame_idx, pair_idx, cy, cx, fx, fy).  The samples of a limb look their cells up
-    by an equi-join and are summed again per limb.
+    by an equi-join and are summed again per limb; cells that the field lacks count as no alignment, so every limb has
+    a score, also one whose ends coincide (0).
     """
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     limb = ends.withColumn("_len", F.sqrt(dx * dx + dy * dy)).withColumn(
@@ -131,12 +132,12 @@ def limb_scores(
         *keys,
         clamp(half_up(F.col("ax") + F.col("_k") * (dx / F.col("_n"))), 0, width - 1).cast("int").alias("cx"),
         clamp(half_up(F.col("ay") + F.col("_k") * (dy / F.col("_n"))), 0, height - 1).cast("int").alias("cy"),
-        (dx / F.col("_len")).alias("_ux"),
-        (dy / F.col("_len")).alias("_uy"),
+        F.try_divide(dx, F.col("_len")).alias("_ux"),
+        F.try_divide(dy, F.col("_len")).alias("_uy"),
     )
     dot = F.col("_ux") * F.col("fx") + F.col("_uy") * F.col("fy")
     good = F.when(dot > threshold, dot)
-    summed = sampled.join(field, ["frame_idx", "pair_idx", "cy", "cx"]).groupBy(*keys).agg(
+    summed = sampled.join(field, ["frame_idx", "pair_idx", "cy", "cx"], "left").groupBy(*keys).agg(
         F.sum(good).alias("_sum"), F.count(good).alias("_good")
     )
     close = (height * width) ** 0.5 / 150
@@ -305,7 +306,7 @@ def merge_stray_faces(faces: DataFrame, keep_iou: float = 0.3, few_iou: float =
     )
     area = lambda t: (F.col(f"x1_{t}") - F.col(f"x0_{t}")) * (F.col(f"y1_{t}") - F.col(f"y0_{t}"))
     inter = F.col("_iw") * F.col("_ih")
-    best = pairs.withColumn("iou", inter / (area("a") + area("b") - inter)).groupBy(
+    best = pairs.withColumn("iou", F.try_divide(inter, area("a") + area("b") - inter)).groupBy(
         "frame_idx", F.col("person_idx_a").alias("stray_person")
     ).agg(F.max_by("person_idx_b", F.struct("iou", -F.col("person_idx_b"))).alias("person_idx"), F.max("iou").alias("iou"))
     return best.join(n_valid, "frame_idx").where(

@@ -18,33 +18,43 @@ def _with_previous_role(turns: DataFrame) -> DataFrame:
 def validate_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, error) for every broken turn."""
     error = (
-        F.when(F.col("role").isNull() | ~F.col("role").isin(*ROLES), "invalid role")
-        .when(F.col("text").isNull() | ~F.col("text").rlike(r"\S"), "content must be non-empty")
+        F.when(F.col("role").isNull() | ~F.col("role").isin(*ROLES), "unknown role")
+        .when(F.col("text").isNull() | ~F.col("text").rlike(r"\S"), "no text")
         .when((F.col("role") == "assistant") & ~F.coalesce(F.col("_before") == "user", F.lit(False)),
-              "assistant must immediately follow user")
+              "answer without a question before it")
     )
     return _with_previous_role(turns).select("conv_id", "turn", error.alias("error")).where("error IS NOT NULL")
 
 
 def empty_conversations(conversations: DataFrame, turns: DataFrame) -> DataFrame:
     return conversations.join(turns, "conv_id", "left_anti").select(
-        "conv_id", F.lit(None).cast("bigint").alias("turn"), F.lit("messages must be a non-empty list").alias("error")
+        "conv_id", F.lit(None).cast("bigint").alias("turn"), F.lit("no turns").alias("error")
     )
 
 
+def valid_conversations(turns: DataFrame) -> DataFrame:
+    """The turns of conversations without a broken turn."""
+    broken = validate_turns(turns).select("conv_id").distinct()
+    return turns.join(broken, "conv_id", "left_anti")
+
+
 def expand_assistant_turns(turns: DataFrame) -> DataFrame:
-    """One sample per assistant turn: all turns before it as prompt, the turn itself as completion.
+    """One sample per assistant turn of a valid conversation: all turns before it as prompt, the turn itself as completion.
+
+    Turns count from 0; a system turn may stand before them at -1.  A prompt holds all earlier turns by its meaning, so
+    samples grow with the square of the turns of a conversation.
 
     Turns are packed into blocks of a few dozen; a sample asks for its blocks by an equi-join on
     (conversation, block) and is put together from them.  No task sees a whole conversation unless
     it is the prompt of one sample.
     """
+    turns = valid_conversations(turns)
     rows = _with_previous_role(turns)
     targets = rows.where((F.col("role") == "assistant") & (F.col("_before") == "user")).select(
         "conv_id", F.col("turn").alias("target"), F.col("text").alias("completion")
     )
     asked = targets.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("target") - 1) / F.lit(BLOCK))))
+        "_chunk", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.floor((F.col("target") - 1) / F.lit(BLOCK))))
     )
     blocks = (
         chunked(turns, "turn", BLOCK)

@@ -59,7 +59,7 @@ def halo(
     lo = F.floor((i - F.lit(after)) / F.lit(size or CHUNK_ROWS))
     hi = F.floor((i + F.lit(before)) / F.lit(size or CHUNK_ROWS))
     return (
-        df.withColumn("_chunk", F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)))
+        df.withColumn("_chunk", F.explode(F.sequence(lo, hi)))
         .withColumn("_core", F.col("_chunk") == F.floor(i / F.lit(size or CHUNK_ROWS)))
     )
 

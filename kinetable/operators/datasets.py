@@ -85,10 +85,10 @@ def duplicate_variants(responses: DataFrame, question: str, variant: str) -> Dat
 
 
 def pivot_variants(responses: DataFrame, question: str, variant: str, text: str, variants: Sequence[str]) -> DataFrame:
-    """One row per question, one column per variant label."""
+    """One row per question, one column per variant label; of several answers the smallest text (see ``duplicate_variants``)."""
     if len(set(variants)) != len(variants):
         raise ValueError("duplicate variant labels")
-    return responses.groupBy(question).pivot(variant, list(variants)).agg(F.first(text))
+    return responses.groupBy(question).pivot(variant, list(variants)).agg(F.min(text))
 
 
 def order_frames(rows: DataFrame, *keys: str | Column) -> DataFrame:

@@ -181,22 +181,24 @@ def threshold_sweep(
 ) -> DataFrame:
     """First fallen frame of every session under every config.
 
-    The feature series are computed once; the configs fan out on the finished rows, inside the
-    partitioning those rows already have.
+    The feature series are computed once, with the reach of the longest windows; the configs fan out on the finished
+    rows, inside the partitioning those rows already have.  Configs with equal windows share their window pass.
     """
-    head = configs[0]
     geometry = written(frame_geometry(keypoints, threshold), "geometry")
-    series = evidence_inputs(features_with_halo(geometry, fps, frame_height, evidence_reach(fps, head)))
-    options = F.array(
-        *[
-            F.struct(F.lit(i).alias("config_id"), *[F.lit(asdict(c)[t]).alias(t) for t in THRESHOLDS])
-            for i, c in enumerate(configs)
-        ]
+    reach = max(evidence_reach(fps, c) for c in configs)
+    series = evidence_inputs(features_with_halo(geometry, fps, frame_height, reach)).select(
+        "session_id", "_chunk", "_core", "frame_idx", "detected", "speed", "drop", "angle", "aspect", "low_hip"
     )
-    fanned = series.select(
-        "session_id", "_chunk", "_core", "frame_idx", "detected", "speed", "drop", "angle", "aspect", "low_hip",
-        F.inline(options),
-    )
-    scored = fall_score(fanned, {t: F.col(t) for t in THRESHOLDS})
-    found = core(evidence(scored, fps, head, ["config_id"]))
-    return first_fallen(found, fps, head, ["config_id"]).drop("_last")
+    by_windows: dict[tuple[float, ...], list[int]] = {}
+    for i, c in enumerate(configs):
+        by_windows.setdefault((c.evidence_window_seconds, c.confirmation_seconds, c.missing_confirmation_seconds), []).append(i)
+    if len(by_windows) > 1:
+        series = written(series, "series")
+    swept = None
+    for members in by_windows.values():
+        options = [F.struct(F.lit(i).alias("config_id"), *[F.lit(asdict(configs[i])[t]).alias(t) for t in THRESHOLDS]) for i in members]
+        scored = fall_score(series.select("*", F.inline(F.array(*options))), {t: F.col(t) for t in THRESHOLDS})
+        shared = configs[members[0]]
+        found = first_fallen(core(evidence(scored, fps, shared, ["config_id"])), fps, shared, ["config_id"]).drop("_last")
+        swept = found if swept is None else swept.unionByName(found)
+    return swept

@@ -37,7 +37,7 @@ def frame_geometry(keypoints: DataFrame, threshold: float = 0.2) -> DataFrame:
 
     def mean(weighted, joints):
         pick = F.col("joint").isin(*joints)
-        return F.sum(F.when(pick, F.col(weighted))) / F.sum(F.when(pick, F.col("_w")))
+        return F.try_divide(F.sum(F.when(pick, F.col(weighted))), F.sum(F.when(pick, F.col("_w"))))
 
     def point(weighted, spec):
         return F.coalesce(*[mean(weighted, joints) for joints in spec])

@@ -48,7 +48,7 @@ def min_views(valid: DataFrame, n_cameras: int, minimum: int = 0) -> DataFrame:
 def projected(df: DataFrame, px: str = "px", py: str = "py", pz: str = "pz") -> tuple[Column, Column]:
     p, x, y, z = F.col("p"), F.col(px), F.col(py), F.col(pz)
     row = lambda r: p[4 * r] * x + p[4 * r + 1] * y + p[4 * r + 2] * z + p[4 * r + 3]
-    return row(0) / row(2), row(1) / row(2)
+    return F.try_divide(row(0), row(2)), F.try_divide(row(1), row(2))
 
 
 def with_reprojection_error(obs: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def with_mean_error(points: DataFrame) -> DataFrame:
     def err(v):
         p = v["p"]
         row = lambda r: p[4 * r] * F.col("px") + p[4 * r + 1] * F.col("py") + p[4 * r + 2] * F.col("pz") + p[4 * r + 3]
-        return F.sqrt(F.pow(row(0) / row(2) - v["x"], 2) + F.pow(row(1) / row(2) - v["y"], 2))
+        return F.sqrt(F.pow(F.try_divide(row(0), row(2)) - v["x"], 2) + F.pow(F.try_divide(row(1), row(2)) - v["y"], 2))
 
     total = F.aggregate("views", F.lit(0.0), lambda acc, v: acc + err(v))
     return points.withColumn("error", total / F.size("views"))
@@ -152,26 +152,26 @@ def reject_outlier_points(points: DataFrame, limit: float) -> DataFrame:
 
 
 def iterative_outlier_removal(obs: DataFrame, floor: float = 5.0) -> tuple[DataFrame, list[float]]:
-    """Drop observations above max(2 x mean error, floor) until the mean is stable.
+    """Drop observations above max(2 x mean error, floor) until no more are dropped.
 
     Survivors are always ``error <= threshold`` of the same table, so a round is one aggregate
     with a pushed filter; only the mean comes back to the driver and no lineage builds up.
     """
     obs = written(obs, "observations")
 
-    def mean(df):
-        return df.agg(F.avg("error")).first()[0]
+    def measured(df):
+        return df.agg(F.avg("error").alias("mean"), F.count("error").alias("n")).first()
 
-    kept, current, used = obs, mean(obs), []
+    kept, (current, n), used = obs, measured(obs), []
     while current is not None:
         limit = max(2 * current, floor)
         limit = min(limit, used[-1]) if used else limit
         used.append(limit)
         kept = obs.where(F.col("error") <= limit)
-        after = mean(kept)
-        if after == current:
+        current, after = measured(kept)
+        if after == n:  # counts are exact, means of equal rows need not be
             break
-        current = after
+        n = after
     return kept, used
 
 

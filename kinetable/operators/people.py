@@ -144,7 +144,7 @@ SCALE_MODES = ("input", "net_output", "output", "unit", "unit_fixed", "signed",
 def scale_keypoints(
     df: DataFrame, mode: str, width: str, height: str, to_output: float, net_to_output: float
 ) -> DataFrame:
-    """Map x, y by the row's mode; unit ranges divide by size - 1."""
+    """Map x, y by the row's mode; unit ranges divide by size - 1 (NULL at size 1)."""
     m, w, h = F.col(mode), F.col(width) - 1.0, F.col(height) - 1.0
     long = F.greatest(w, h)
 
@@ -152,10 +152,10 @@ def scale_keypoints(
         return (
             F.when(m == "output", F.lit(to_output))
             .when(m == "net_output", F.lit(1.0 / net_to_output))
-            .when(m == "unit", 1.0 / across)
-            .when(m == "unit_fixed", 1.0 / long)
-            .when(m == "signed", 2.0 / across)
-            .when(m == "signed_fixed", 2.0 / long)
+            .when(m == "unit", F.try_divide(F.lit(1.0), across))
+            .when(m == "unit_fixed", F.try_divide(F.lit(1.0), long))
+            .when(m == "signed", F.try_divide(F.lit(2.0), across))
+            .when(m == "signed_fixed", F.try_divide(F.lit(2.0), long))
             .when(m == "input", F.lit(1.0))
             .otherwise(F.raise_error(F.concat(F.lit("unknown scale mode "), m)).cast("double"))
         )

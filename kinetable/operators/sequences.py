@@ -305,7 +305,7 @@ def latency_summary(frames: DataFrame, value: str, seconds: Column) -> DataFrame
     """Warm-up, median and 95th percentile of the rest, and average rate of each session."""
     whole = frames.groupBy("session_id").agg(
         F.min_by(value, "frame_idx").alias("warmup"),
-        (F.count("*") / (F.max(seconds) - F.min(seconds))).alias("average_fps"),
+        F.try_divide(F.count("*"), F.max(seconds) - F.min(seconds)).alias("average_fps"),
         F.count("*").alias("frames"),
     )
     steady = frames.where("frame_idx > 0")

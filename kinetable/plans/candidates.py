@@ -92,7 +92,7 @@ cte(
      SELECT a.frame_idx, pair_idx, a.cand_idx AS cand_a, b.cand_idx AS cand_b, a.score AS a_score, b.score AS b_score, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy
      FROM qcand_t a JOIN (VALUES {','.join(f'({i},{a},{b})' for i, (a, b) in enumerate(PAIRS))}) t(pair_idx, pa, pb) ON a.part = pa
       JOIN qcand_t b ON b.frame_idx = a.frame_idx AND b.part = pb)), (SELECT UNNEST(RANGE(25)) AS k) WHERE k < n) q
-   JOIN grid_t gx ON gx.frame_idx = q.frame_idx AND gx.cy = my AND gx.cx = mx JOIN grid_t gy ON gy.frame_idx = q.frame_idx AND gy.cy = mx AND gy.cx = my) p
+   LEFT JOIN grid_t gx ON gx.frame_idx = q.frame_idx AND gx.cy = my AND gx.cx = mx AND gx.v > 0.1E0 LEFT JOIN grid_t gy ON gy.frame_idx = q.frame_idx AND gy.cy = mx AND gy.cx = my) p
  GROUP BY ALL)""",
 )
 
@@ -113,7 +113,7 @@ def limbs(spark, sf):
     g = fx.grid(spark, sf)
     across = g.select("frame_idx", F.col("cx").alias("cy"), F.col("cy").alias("cx"), F.col("v").alias("fy"))
     ids = F.array(*[F.lit(i) for i in range(len(PAIRS))])
-    field = g.join(across, ["frame_idx", "cy", "cx"]).select(
+    field = g.where("v > 0.1").join(across, ["frame_idx", "cy", "cx"]).select(  # cells below are missing
         "frame_idx", F.explode(ids).alias("pair_idx"), "cy", "cx", F.col("v").alias("fx"), "fy"
     )
     ends = G.candidate_pairs(quadrant_candidates(spark, sf), PAIRS)

@@ -121,20 +121,26 @@ def broken_turns(spark, sf):
     )
 
 
-@query("validate_turns", r"""SELECT conv_id, turn, error FROM (SELECT *, CASE WHEN role NOT IN ('system', 'user', 'assistant') THEN 'invalid role'
-  WHEN NOT regexp_matches(text, '\S') THEN 'content must be non-empty'
-  WHEN role = 'assistant' AND COALESCE(LAG(role) OVER (PARTITION BY conv_id ORDER BY turn), '') <> 'user' THEN 'assistant must immediately follow user' END AS error
- FROM badturns_t) WHERE error IS NOT NULL""")
+ERRORS_SQL = r"""SELECT conv_id, turn, error FROM (SELECT *, CASE WHEN role NOT IN ('system', 'user', 'assistant') THEN 'unknown role'
+  WHEN NOT regexp_matches(text, '\S') THEN 'no text'
+  WHEN role = 'assistant' AND COALESCE(LAG(role) OVER (PARTITION BY conv_id ORDER BY turn), '') <> 'user' THEN 'answer without a question before it' END AS error
+ FROM badturns_t) WHERE error IS NOT NULL"""
+cte("turnerrors_t", ERRORS_SQL)
+cte("allturns_t", """SELECT conv_id, turn, role, text FROM badturns_t UNION ALL SELECT DISTINCT conv_id, -1, 'system', 'Answer briefly.' FROM badturns_t""")
+
+
+@query("validate_turns", "SELECT * FROM turnerrors_t")
 def _(spark, sf):
     return chat.validate_turns(broken_turns(spark, sf))
 
 
 @query("expand_assistant_turns", """SELECT conv_id, turn, completion, n AS prompt_turns, prompt FROM (
  SELECT conv_id, turn, text AS completion, role, LAG(role) OVER w AS before, COUNT(*) OVER p AS n, STRING_AGG(role || ': ' || text, chr(10)) OVER p AS prompt
- FROM badturns_t WINDOW w AS (PARTITION BY conv_id ORDER BY turn), p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ FROM allturns_t WHERE conv_id NOT IN (SELECT conv_id FROM turnerrors_t)
+ WINDOW w AS (PARTITION BY conv_id ORDER BY turn), p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 WHERE role = 'assistant' AND before = 'user'""")
 def _(spark, sf):
-    out = chat.expand_assistant_turns(broken_turns(spark, sf))
+    out = chat.expand_assistant_turns(chat.prepend_system(broken_turns(spark, sf), "Answer briefly."))
     lines = F.transform("prompt", lambda t: F.concat(t["role"], F.lit(": "), t["text"]))
     return out.select(
         "conv_id", "turn", "completion", F.size("prompt").cast("bigint").alias("prompt_turns"), F.array_join(lines, "\n").alias("prompt")

@@ -81,8 +81,9 @@ cte(
 )
 cte(
     "configs_t",
-    """SELECT * FROM (VALUES (0, 0.55E0, 0.30E0, 48.0E0, 0.85E0, 0.28E0), (1, 0.40E0, 0.20E0, 40.0E0, 0.70E0, 0.20E0),
-  (2, 0.80E0, 0.40E0, 55.0E0, 1.00E0, 0.35E0)) AS t(config_id, sp, dr, an, asp, lo)""",
+    """SELECT * FROM (VALUES (0, 0.55E0, 0.30E0, 48.0E0, 0.85E0, 0.28E0, 15, 5, 5), (1, 0.40E0, 0.20E0, 40.0E0, 0.70E0, 0.20E0, 15, 5, 5),
+  (2, 0.80E0, 0.40E0, 55.0E0, 1.00E0, 0.35E0, 15, 5, 5), (3, 0.55E0, 0.30E0, 48.0E0, 0.85E0, 0.28E0, 30, 15, 8),
+  (4, 0.55E0, 0.30E0, 48.0E0, 0.85E0, 0.28E0, 5, 2, 3)) AS t(config_id, sp, dr, an, asp, lo, ev, conf, gonef)""",
 )
 cte(
     "scored_t",
@@ -94,7 +95,7 @@ FROM inputs_t CROSS JOIN configs_t""",
 cte(
     "recent_t",
     """SELECT *, recent AND detected AND horizontal AND low AS lying FROM (
-  SELECT *, COALESCE(frame_idx - LAST_VALUE(CASE WHEN motion THEN frame_idx END IGNORE NULLS) OVER w <= 15, FALSE) AS recent
+  SELECT *, COALESCE(frame_idx - LAST_VALUE(CASE WHEN motion THEN frame_idx END IGNORE NULLS) OVER w <= ev, FALSE) AS recent
   FROM scored_t WINDOW w AS (PARTITION BY config_id, session_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
 )
 cte(
@@ -113,7 +114,7 @@ WINDOW w AS (PARTITION BY config_id, session_id, isl ORDER BY frame_idx ROWS BET
 )
 cte(
     "fallen_t",
-    """SELECT config_id, session_id, MIN(frame_idx) FILTER (recent AND (cand >= 5 OR gone >= 5)) AS first_fallen_frame,
+    """SELECT config_id, session_id, MIN(frame_idx) FILTER (recent AND (cand >= conf OR gone >= gonef)) AS first_fallen_frame,
   MIN(frame_idx) FILTER (motion) AS first_falling_frame, MAX(score) AS max_score,
   COALESCE(MAX(GREATEST(hip_speed, head_speed)), 0) AS max_downward_speed, COALESCE(MAX(torso_angle), 0) AS max_torso_angle,
   COALESCE(MAX(bbox_aspect), 0) AS max_bbox_aspect FROM walk_t GROUP BY config_id, session_id""",
@@ -241,6 +242,8 @@ SWEEP = [
     detect.RuleConfig(),
     detect.RuleConfig(0.40, 0.20, 40.0, 0.70, 0.20),
     detect.RuleConfig(0.80, 0.40, 55.0, 1.00, 0.35),
+    detect.RuleConfig(evidence_window_seconds=3.0, confirmation_seconds=1.5, missing_confirmation_seconds=0.8),
+    detect.RuleConfig(evidence_window_seconds=0.5, confirmation_seconds=0.2, missing_confirmation_seconds=0.3),
 ]
 
 

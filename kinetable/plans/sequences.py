@@ -110,17 +110,18 @@ def _(spark, sf):
     return rounded(best, "threshold", "w_pose", "w_engineered")
 
 
-LOGITS = [f"z{i}" for i in range(10)]
+#: All elements of the vectors; a label is one of the first ten classes.
+LOGITS = [f"z{i}" for i in range(64)]
 
 
 def logits(spark, sf):
     e = F.col("embedding")
     return table(spark, sf, "embeddings").select(
-        "vec_id", "label", *[e[i].cast("double").alias(f"z{i}") for i in range(10)]
+        "vec_id", "label", *[e[i].cast("double").alias(z) for i, z in enumerate(LOGITS)]
     )
 
 
-cte("logits_t", "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS z{i}" for i in range(10)) + " FROM embeddings")
+cte("logits_t", "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {z}" for i, z in enumerate(LOGITS)) + " FROM embeddings")
 _own = "([" + ",".join(LOGITS) + "])[label + 1]"
 
 

@@ -111,7 +111,10 @@ def _(spark, sf):
 def _(spark, sf):
     live = detector.LiveConfig(frame_height=fx.HEIGHT, fps=None)
     frames = live_frames(spark, sf).withColumn("seconds", F.col("frame_idx") / (5.0 + F.col("session_id") % 10))
-    return drained(detector.detect_stream(replay(frames, "probe"), live), "probed")
+    frames = frames.where("session_id % 4 <> 0 OR frame_idx < 9")  # every fourth session is shorter than the probe
+    ends = frames.groupBy("session_id").agg(F.max("frame_idx").alias("frame_idx"))
+    ends = ends.select("session_id", "frame_idx", *[F.lit("end" if c == "control" else None).cast(t).alias(c) for c, t in frames.dtypes if c not in ("session_id", "frame_idx")])
+    return drained(detector.detect_stream(replay(frames.unionByName(ends), "probe"), live), "probed")
 
 
 @query("stream_alarm_control")
@@ -126,12 +129,14 @@ def _(spark, sf):
 
 
 @query("stream_reorder", """SELECT session_id, event_id AS payload_id, frame_idx, CAST(v AS INTEGER) AS view_idx,
-  ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY frame_idx, v) - 1 AS seq, FALSE AS late FROM frames_t JOIN (SELECT UNNEST(RANGE(4)) AS v) ON v <= event_id % 4""")
+  ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY frame_idx, v) - 1 AS seq, FALSE AS late FROM frames_t JOIN (SELECT UNNEST(RANGE(4)) AS v) ON v <= event_id % 4 WHERE frame_idx % 17 <> 5""")
 def _(spark, sf):
     views = fx.frames(spark, sf).select(
         "session_id", "frame_idx", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 4).cast("int"))).alias("view_idx"),
         (F.col("event_id") % 4 + 1).cast("int").alias("n_views"), F.col("event_id").cast("string").alias("payload"),
-    ).orderBy(F.xxhash64("payload", "view_idx"))
+    ).where("frame_idx % 17 <> 5").orderBy(F.xxhash64("payload", "view_idx"))  # some frames never come
+    ends = views.select("session_id").distinct().select("session_id", *[F.lit(None).cast(t).alias(c) for c, t in views.dtypes if c != "session_id"])
+    views = views.unionByName(ends)
     out = drained(flows.reorder_stream(replay(views, "shuffled")), "ordered")
     return out.select("session_id", F.col("payload").cast("bigint").alias("payload_id"), "frame_idx", "view_idx", "seq", "late")
 
