@@ -49,7 +49,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|lang|hidden)(?:\s*=\s*("[^"]*"|'[^']
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<drop>{'|'.join(DROPPED)})\b(?:[^>]*/>|[^>]*(?:>|\Z).*?(?:</(?P=drop)\s*(?:>|\Z)|\Z))"
-    r"""|<(?P<close>/?)(?P<tag>[a-z][^\s/><]*)(?P<attrs>(?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>"""
+    r"""|<(?P<close>/?)(?P<tag>[a-z][^\s/><]*)(?P<attrs>(?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>"""
     r"|</?[a-z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )

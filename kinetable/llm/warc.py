@@ -162,9 +162,8 @@ def _read_at(data: bytes, at: int) -> tuple[list[Record], int]:
 
 def _next(data: bytes, at: int) -> int:
     """Next place behind ``at`` at which a version line or a member may begin, or the end."""
-    lines = data.find(b"\nWARC/1.", at)
-    member = data.find(MEMBER, at + 1)
-    return min([x for x in (lines + 1 if lines >= 0 else -1, member) if x >= 0], default=len(data))
+    places = [data.find(sign, at + 1) for sign in (b"WARC/1.", MEMBER)]
+    return min([x for x in places if x >= 0], default=len(data))
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
