@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.columns import clamp, half_up
 from .chunks import by_chunk, core, halo
 
-CELL_KEYS = ("frame_idx", "part")
+FRAME = ("session_id", "frame_idx")
+CELL_KEYS = (*FRAME, "part")
 
 
 def grid_peaks(grid: DataFrame, width: int, height: int, threshold: float, max_peaks: int) -> DataFrame:
@@ -104,14 +105,14 @@ def candidate_pairs(candidates: DataFrame, pairs: Sequence[tuple[int, int]]) ->
     Parts hold at most the peak limit of candidates, so a frame's pairs are bounded by it.
     """
     a = candidates.select(
-        "frame_idx", F.col("cand_idx").alias("cand_a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("score").alias("a_score"),
+        *FRAME, F.col("cand_idx").alias("cand_a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("score").alias("a_score"),
         F.inline(F.try_element_at(_pair_map(pairs), F.col("part"))),
     )
     b = candidates.select(
-        "frame_idx", F.col("part").alias("part_b"), F.col("cand_idx").alias("cand_b"), F.col("x").alias("bx"), F.col("y").alias("by"),
+        *FRAME, F.col("part").alias("part_b"), F.col("cand_idx").alias("cand_b"), F.col("x").alias("bx"), F.col("y").alias("by"),
         F.col("score").alias("b_score"),
     )
-    return a.join(b, ["frame_idx", "part_b"]).drop("part_b")
+    return a.join(b, [*FRAME, "part_b"]).drop("part_b")
 
 
 def limb_scores(
@@ -119,7 +120,7 @@ def limb_scores(
 ) -> DataFrame:
     """Mean alignment of the field along each candidate limb.
 
-    ``field`` is (frame_idx, pair_idx, cy, cx, fx, fy).  The samples of a limb look their cells up
+    ``field`` is (session_id, frame_idx, pair_idx, cy, cx, fx, fy).  The samples of a limb look their cells up
     by an equi-join and are summed again per limb; cells that the field lacks count as no alignment, so every limb has
     a score, also one whose ends coincide (0).
     """
@@ -127,7 +128,7 @@ def limb_scores(
     limb = ends.withColumn("_len", F.sqrt(dx * dx + dy * dy)).withColumn(
         "_n", clamp(half_up(F.sqrt(5.0 * F.greatest(F.abs(dx), F.abs(dy)))), 5, 25).cast("int")
     )
-    keys = ["frame_idx", "pair_idx", "cand_a", "cand_b", "a_score", "b_score", "_len", "_n"]
+    keys = [*FRAME, "pair_idx", "cand_a", "cand_b", "a_score", "b_score", "_len", "_n"]
     sampled = limb.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(
         *keys,
         clamp(half_up(F.col("ax") + F.col("_k") * (dx / F.col("_n"))), 0, width - 1).cast("int").alias("cx"),
@@ -137,7 +138,7 @@ def limb_scores(
     )
     dot = F.col("_ux") * F.col("fx") + F.col("_uy") * F.col("fy")
     good = F.when(dot > threshold, dot)
-    summed = sampled.join(field, ["frame_idx", "pair_idx", "cy", "cx"], "left").groupBy(*keys).agg(
+    summed = sampled.join(field, [*FRAME, "pair_idx", "cy", "cx"], "left").groupBy(*keys).agg(
         F.sum(good).alias("_sum"), F.count(good).alias("_good")
     )
     close = (height * width) ** 0.5 / 150
@@ -147,7 +148,7 @@ def limb_scores(
         .when(F.col("_len") < close, F.lit(default + 1e-6))
         .otherwise(F.lit(0.0))
     )
-    return summed.select("frame_idx", "pair_idx", "cand_a", "cand_b", "a_score", "b_score", score.alias("score"))
+    return summed.select(*FRAME, "pair_idx", "cand_a", "cand_b", "a_score", "b_score", score.alias("score"))
 
 
 def limb_match_greedy(scores: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def limb_match_greedy(scores: DataFrame) -> DataFrame:
 
     One bounded list per (frame, limb type) is folded inside the row by ``aggregate``.
     """
-    keys = ["frame_idx", "pair_idx"]
+    keys = [*FRAME, "pair_idx"]
     listed = scores.where("score > 1e-6").groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("score", "cand_a", "cand_b")), asc=False).alias("_c")
     )
@@ -171,7 +172,7 @@ def limb_match_greedy(scores: DataFrame) -> DataFrame:
 def limb_rank_global(scores: DataFrame) -> DataFrame:
     """All limbs of a frame by total score, best first."""
     total = F.col("score") + 0.1 * F.col("a_score") + 0.1 * F.col("b_score")
-    w = W.partitionBy("frame_idx").orderBy(*[F.desc(c) for c in ("total", "score", "pair_idx", "cand_a", "cand_b")])
+    w = W.partitionBy(*FRAME).orderBy(*[F.desc(c) for c in ("total", "score", "pair_idx", "cand_a", "cand_b")])
     return (
         scores.where("score > 1e-6")
         .withColumn("total", total)
@@ -185,7 +186,7 @@ def assemble_people(limbs: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataF
     Spark gathers and orders one frame's limbs (bounded by the candidate limit) into a row; the
     order-dependent merge runs over Arrow batches of frames.  Returns one row per person part.
     """
-    frames = limbs.where("score > 1e-6").groupBy("frame_idx").agg(
+    frames = limbs.where("score > 1e-6").groupBy(*FRAME).agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
@@ -201,13 +202,13 @@ def assemble_people(limbs: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for frame, frame_limbs in zip(batch["frame_idx"], batch["limbs"]):
+            for session, frame, frame_limbs in zip(batch["session_id"], batch["frame_idx"], batch["limbs"]):
                 for person, (parts, score) in enumerate(_merge_limbs(frame_limbs, ends)):
-                    rows += [(frame, person, part, cand, float(score), len(parts)) for part, cand in sorted(parts.items())]
-            yield pd.DataFrame(rows, columns=["frame_idx", "person_idx", "part", "cand_idx", "score", "n_parts"])
+                    rows += [(session, frame, person, part, cand, float(score), len(parts)) for part, cand in sorted(parts.items())]
+            yield pd.DataFrame(rows, columns=[*FRAME, "person_idx", "part", "cand_idx", "score", "n_parts"])
 
     return frames.mapInPandas(
-        run, "frame_idx bigint, person_idx int, part int, cand_idx int, score double, n_parts int"
+        run, "session_id bigint, frame_idx bigint, person_idx int, part int, cand_idx int, score double, n_parts int"
     )
 
 
@@ -294,22 +295,22 @@ def people_to_keypoints(
 def merge_stray_faces(faces: DataFrame, keep_iou: float = 0.3, few_iou: float = 0.01) -> DataFrame:
     """Attach faces without a body to the overlapping face of a person.
 
-    ``faces`` is one row per face: frame_idx, person_idx, stray, box_x, box_y, box_w, box_h.
-    Returns (frame_idx, stray person, person, iou) for the strays that merge.
+    ``faces`` is one row per face: session_id, frame_idx, person_idx, stray, box_x, box_y, box_w, box_h.
+    Returns (session_id, frame_idx, stray person, person, iou) for the strays that merge.
     """
     from .people import overlapping_pairs
 
     real = faces.where("box_w > 0 AND box_h > 0")
-    n_valid = faces.groupBy("frame_idx").agg(F.count_if(~F.col("stray")).alias("_valid"))
+    n_valid = faces.groupBy(*FRAME).agg(F.count_if(~F.col("stray")).alias("_valid"))
     pairs = overlapping_pairs(
-        real.where("stray"), real.where("NOT stray"), ["frame_idx"], ["person_idx"], ["person_idx"]
+        real.where("stray"), real.where("NOT stray"), list(FRAME), ["person_idx"], ["person_idx"]
     )
     area = lambda t: (F.col(f"x1_{t}") - F.col(f"x0_{t}")) * (F.col(f"y1_{t}") - F.col(f"y0_{t}"))
     inter = F.col("_iw") * F.col("_ih")
     best = pairs.withColumn("iou", F.try_divide(inter, area("a") + area("b") - inter)).groupBy(
-        "frame_idx", F.col("person_idx_a").alias("stray_person")
+        *FRAME, F.col("person_idx_a").alias("stray_person")
     ).agg(F.max_by("person_idx_b", F.struct("iou", -F.col("person_idx_b"))).alias("person_idx"), F.max("iou").alias("iou"))
-    return best.join(n_valid, "frame_idx").where(
+    return best.join(n_valid, list(FRAME)).where(
         (F.col("iou") > keep_iou) | ((F.col("iou") > few_iou) & (F.col("_valid") < 3))
     ).drop("_valid")
 
@@ -333,4 +334,4 @@ def candidate_lists(candidates: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(entry)),
         lambda e: F.struct(e["cand_idx"].alias("cand_idx"), e["x"].alias("x"), e["y"].alias("y"), e["score"].alias("score")),
     )
-    return candidates.groupBy("frame_idx", "part").agg(ordered.alias("candidates"))
+    return candidates.groupBy(*CELL_KEYS).agg(ordered.alias("candidates"))

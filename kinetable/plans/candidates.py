@@ -20,11 +20,11 @@ def _r(*names, d=6):
 _n8 = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
 cte(
     "peaks_t",
-    f"""SELECT frame_idx, part, cy, cx, v, ROW_NUMBER() OVER (PARTITION BY frame_idx, part ORDER BY cy, cx) - 1 AS peak_idx FROM (
- SELECT g.frame_idx, g.part, g.cy, g.cx, g.v,
+    f"""SELECT session_id, frame_idx, part, cy, cx, v, ROW_NUMBER() OVER (PARTITION BY session_id, frame_idx, part ORDER BY cy, cx) - 1 AS peak_idx FROM (
+ SELECT g.session_id, g.frame_idx, g.part, g.cy, g.cx, g.v,
   BOOL_AND(g.v > n.v) FILTER (n.v IS NOT NULL) AS strict, BOOL_AND(g.v >= n.v) FILTER (n.v IS NOT NULL) AS loose
  FROM grid_t g CROSS JOIN (VALUES {','.join(str(o) for o in _n8)}) o(dy, dx)
- LEFT JOIN grid_t n ON n.frame_idx = g.frame_idx AND n.cy = g.cy + dy AND n.cx = g.cx + dx GROUP BY ALL)
+ LEFT JOIN grid_t n ON n.session_id = g.session_id AND n.frame_idx = g.frame_idx AND n.cy = g.cy + dy AND n.cx = g.cx + dx GROUP BY ALL)
 WHERE v > 0.1E0 AND CASE WHEN cx BETWEEN 2 AND 5 AND cy BETWEEN 2 AND 5 THEN strict WHEN cx IN (1, 6) OR cy IN (1, 6) THEN loose ELSE FALSE END
 QUALIFY peak_idx < 4""",
 )
@@ -34,28 +34,28 @@ def peaks(spark, sf):
     return G.grid_peaks(fx.grid(spark, sf), SIZE, SIZE, 0.1, 4)
 
 
-@query("grid_peaks", "SELECT frame_idx, part, cy, cx, CAST(peak_idx AS INTEGER) AS peak_idx, ROUND(v, 6) AS v FROM peaks_t")
+@query("grid_peaks", "SELECT session_id, frame_idx, part, cy, cx, CAST(peak_idx AS INTEGER) AS peak_idx, ROUND(v, 6) AS v FROM peaks_t")
 def _(spark, sf):
     return rounded(peaks(spark, sf), "v")
 
 
-@query("refine_peaks", """SELECT p.frame_idx, p.part, CAST(peak_idx AS INTEGER) AS peak_idx, ROUND(p.v, 6) AS score, ROUND(SUM(g.cx*g.v)/SUM(g.v) + 0.5E0, 6) AS x,
+@query("refine_peaks", """SELECT p.session_id, p.frame_idx, p.part, CAST(peak_idx AS INTEGER) AS peak_idx, ROUND(p.v, 6) AS score, ROUND(SUM(g.cx*g.v)/SUM(g.v) + 0.5E0, 6) AS x,
   ROUND(SUM(g.cy*g.v)/SUM(g.v) + 0.5E0, 6) AS y
-FROM peaks_t p JOIN grid_t g ON g.frame_idx = p.frame_idx AND ABS(g.cy - p.cy) <= 3 AND ABS(g.cx - p.cx) <= 3 AND g.v > 0 GROUP BY p.frame_idx, p.part, peak_idx, p.v""")
+FROM peaks_t p JOIN grid_t g ON g.session_id = p.session_id AND g.frame_idx = p.frame_idx AND ABS(g.cy - p.cy) <= 3 AND ABS(g.cx - p.cx) <= 3 AND g.v > 0 GROUP BY p.session_id, p.frame_idx, p.part, peak_idx, p.v""")
 def _(spark, sf):
     return rounded(G.refine_peaks(peaks(spark, sf), fx.grid(spark, sf)), "score", "x", "y")
 
 
-@query("part_argmax", """SELECT frame_idx, part, cy, cx, ROUND(v, 6) AS score FROM (
- SELECT *, ROW_NUMBER() OVER (PARTITION BY frame_idx, part ORDER BY v DESC, cy, cx) AS rn FROM grid_t) WHERE rn = 1""")
+@query("part_argmax", """SELECT session_id, frame_idx, part, cy, cx, ROUND(v, 6) AS score FROM (
+ SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, frame_idx, part ORDER BY v DESC, cy, cx) AS rn FROM grid_t) WHERE rn = 1""")
 def _(spark, sf):
     return rounded(G.part_argmax(fx.grid(spark, sf)), "score")
 
 
-@query("merge_scales", "SELECT frame_idx // 2 AS frame, cy, cx, ROUND(AVG(v), 6) + 0.0E0 AS v FROM grid_t GROUP BY ALL")
+@query("merge_scales", "SELECT session_id, frame_idx // 2 AS frame, cy, cx, ROUND(AVG(v), 6) + 0.0E0 AS v FROM grid_t GROUP BY ALL")
 def _(spark, sf):
     g = fx.grid(spark, sf).withColumn("frame", F.floor(F.col("frame_idx") / 2))
-    return rounded(G.merge_scales(g, ["frame"]), "v")
+    return rounded(G.merge_scales(g, ["session_id", "frame"]), "v")
 
 
 @query("best_of_scales", """SELECT session_id, frame_idx, person_idx AS best_scale, ROUND(m, 6) AS mean_c FROM (
@@ -65,10 +65,10 @@ def _(spark, sf):
     return rounded(G.best_of_scales(fx.people(spark, sf), ["session_id", "frame_idx"], "person_idx"), "mean_c")
 
 
-@query("scale_grid", """SELECT frame_idx, cy, cx, ROUND(2*LEAST(GREATEST(v, 0), 1) - 1, 6) + 0.0E0 AS part_signed, FLOOR(255*LEAST(GREATEST(v, 0), 1) + 0.5E0) AS part_byte,
+@query("scale_grid", """SELECT session_id, frame_idx, cy, cx, ROUND(2*LEAST(GREATEST(v, 0), 1) - 1, 6) + 0.0E0 AS part_signed, FLOOR(255*LEAST(GREATEST(v, 0), 1) + 0.5E0) AS part_byte,
   ROUND(0.5E0*(LEAST(GREATEST(v, -1), 1) + 1), 6) AS field_unit, FLOOR(128.5E0*LEAST(GREATEST(v, -1), 1) + 128.5E0 + 0.5E0) AS field_byte FROM grid_t""")
 def _(spark, sf):
-    g = fx.grid(spark, sf).select("frame_idx", "cy", "cx", F.col("v").alias("raw"), "v")
+    g = fx.grid(spark, sf).select("session_id", "frame_idx", "cy", "cx", F.col("v").alias("raw"), "v")
     for name, mode, kind in (("part_signed", "signed", "part"), ("part_byte", "byte", "part"), ("field_unit", "unit", "field"), ("field_byte", "byte", "field")):
         g = G.scale_grid(g.withColumn("v", F.col("raw")), mode, kind).withColumn(name, F.col("v"))
     return rounded(g.drop("v", "raw"), "part_signed", "field_unit")
@@ -78,21 +78,21 @@ def _(spark, sf):
 # limb is the raster and its transpose.
 cte(
     "qcand_t",
-    """SELECT frame_idx, (cy // 4)*2 + cx // 4 AS part, CAST(ROW_NUMBER() OVER (PARTITION BY frame_idx, (cy // 4)*2 + cx // 4 ORDER BY cy, cx) - 1 AS INTEGER) AS cand_idx,
+    """SELECT session_id, frame_idx, (cy // 4)*2 + cx // 4 AS part, CAST(ROW_NUMBER() OVER (PARTITION BY session_id, frame_idx, (cy // 4)*2 + cx // 4 ORDER BY cy, cx) - 1 AS INTEGER) AS cand_idx,
   CAST(cx AS DOUBLE) AS x, CAST(cy AS DOUBLE) AS y, v AS score FROM grid_t WHERE v > 0.12E0""",
 )
 cte(
     "limb_t",
-    f"""SELECT frame_idx, pair_idx, cand_a, cand_b, a_score, b_score, CASE WHEN len <= 1E-6 THEN 0 WHEN good/CAST(n AS DOUBLE) > 0.4E0 THEN s/good
+    f"""SELECT session_id, frame_idx, pair_idx, cand_a, cand_b, a_score, b_score, CASE WHEN len <= 1E-6 THEN 0 WHEN good/CAST(n AS DOUBLE) > 0.4E0 THEN s/good
   WHEN len < SQRT(64)/150 THEN 0.05E0 + 1E-6 ELSE 0 END AS score FROM (
- SELECT p.frame_idx, pair_idx, cand_a, cand_b, a_score, b_score, len, n, SUM(d) FILTER (d > 0.05E0) AS s, COUNT(*) FILTER (d > 0.05E0) AS good FROM (
+ SELECT p.session_id, p.frame_idx, pair_idx, cand_a, cand_b, a_score, b_score, len, n, SUM(d) FILTER (d > 0.05E0) AS s, COUNT(*) FILTER (d > 0.05E0) AS good FROM (
   SELECT q.*, (dx/len)*gx.v + (dy/len)*gy.v AS d FROM (
    SELECT *, CAST(LEAST(GREATEST(FLOOR(ax + k*(dx/n) + 0.5E0), 0), 7) AS INTEGER) AS mx, CAST(LEAST(GREATEST(FLOOR(ay + k*(dy/n) + 0.5E0), 0), 7) AS INTEGER) AS my FROM (
     SELECT *, SQRT(dx*dx + dy*dy) AS len, CAST(LEAST(GREATEST(FLOOR(SQRT(5*GREATEST(ABS(dx), ABS(dy))) + 0.5E0), 5), 25) AS INTEGER) AS n FROM (
-     SELECT a.frame_idx, pair_idx, a.cand_idx AS cand_a, b.cand_idx AS cand_b, a.score AS a_score, b.score AS b_score, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy
+     SELECT a.session_id, a.frame_idx, pair_idx, a.cand_idx AS cand_a, b.cand_idx AS cand_b, a.score AS a_score, b.score AS b_score, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy
      FROM qcand_t a JOIN (VALUES {','.join(f'({i},{a},{b})' for i, (a, b) in enumerate(PAIRS))}) t(pair_idx, pa, pb) ON a.part = pa
-      JOIN qcand_t b ON b.frame_idx = a.frame_idx AND b.part = pb)), (SELECT UNNEST(RANGE(25)) AS k) WHERE k < n) q
-   LEFT JOIN grid_t gx ON gx.frame_idx = q.frame_idx AND gx.cy = my AND gx.cx = mx AND gx.v > 0.1E0 LEFT JOIN grid_t gy ON gy.frame_idx = q.frame_idx AND gy.cy = mx AND gy.cx = my) p
+      JOIN qcand_t b ON b.session_id = a.session_id AND b.frame_idx = a.frame_idx AND b.part = pb)), (SELECT UNNEST(RANGE(25)) AS k) WHERE k < n) q
+   LEFT JOIN grid_t gx ON gx.session_id = q.session_id AND gx.frame_idx = q.frame_idx AND gx.cy = my AND gx.cx = mx AND gx.v > 0.1E0 LEFT JOIN grid_t gy ON gy.session_id = q.session_id AND gy.frame_idx = q.frame_idx AND gy.cy = mx AND gy.cx = my) p
  GROUP BY ALL)""",
 )
 
@@ -102,25 +102,25 @@ def quadrant_candidates(spark, sf):
 
     part = (F.floor(F.col("cy") / 4) * 2 + F.floor(F.col("cx") / 4)).cast("int")
     bright = fx.grid(spark, sf).where("v > 0.12").withColumn("part", part)
-    w = W.partitionBy("frame_idx", "part").orderBy("cy", "cx")
+    w = W.partitionBy("session_id", "frame_idx", "part").orderBy("cy", "cx")
     return bright.select(
-        "frame_idx", "part", (F.row_number().over(w) - 1).alias("cand_idx"), F.col("cx").cast("double").alias("x"),
+        "session_id", "frame_idx", "part", (F.row_number().over(w) - 1).alias("cand_idx"), F.col("cx").cast("double").alias("x"),
         F.col("cy").cast("double").alias("y"), F.col("v").alias("score"),
     )
 
 
 def limbs(spark, sf):
     g = fx.grid(spark, sf)
-    across = g.select("frame_idx", F.col("cx").alias("cy"), F.col("cy").alias("cx"), F.col("v").alias("fy"))
+    across = g.select("session_id", "frame_idx", F.col("cx").alias("cy"), F.col("cy").alias("cx"), F.col("v").alias("fy"))
     ids = F.array(*[F.lit(i) for i in range(len(PAIRS))])
-    field = g.where("v > 0.1").join(across, ["frame_idx", "cy", "cx"]).select(  # cells below are missing
-        "frame_idx", F.explode(ids).alias("pair_idx"), "cy", "cx", F.col("v").alias("fx"), "fy"
+    field = g.where("v > 0.1").join(across, ["session_id", "frame_idx", "cy", "cx"]).select(  # cells below are missing
+        "session_id", "frame_idx", F.explode(ids).alias("pair_idx"), "cy", "cx", F.col("v").alias("fx"), "fy"
     )
     ends = G.candidate_pairs(quadrant_candidates(spark, sf), PAIRS)
     return G.limb_scores(ends, field, SIZE, SIZE, 0.05, 0.4, 0.05)
 
 
-LIMB = "frame_idx, pair_idx, cand_a, cand_b"
+LIMB = "session_id, frame_idx, pair_idx, cand_a, cand_b"
 
 
 @query("limb_scores", f"SELECT {LIMB}, ROUND(score, 6) + 0.0E0 AS score FROM limb_t")
@@ -130,19 +130,19 @@ def _(spark, sf):
 
 @query(
     "limb_match_greedy",
-    """WITH RECURSIVE r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY frame_idx, pair_idx ORDER BY score DESC, cand_a DESC, cand_b DESC) AS rn FROM limb_t WHERE score > 1E-6),
- walk AS (SELECT frame_idx, pair_idx, CAST(0 AS BIGINT) AS rn, CAST([] AS INTEGER[]) AS ua, CAST([] AS INTEGER[]) AS ub, FALSE AS taken, 0 AS cand_a, 0 AS cand_b, 0.0E0 AS score
-   FROM (SELECT DISTINCT frame_idx, pair_idx FROM r)
-  UNION ALL SELECT r.frame_idx, r.pair_idx, r.rn, CASE WHEN ok THEN list_append(ua, r.cand_a) ELSE ua END, CASE WHEN ok THEN list_append(ub, r.cand_b) ELSE ub END, ok, r.cand_a, r.cand_b, r.score
-   FROM walk w JOIN r ON r.frame_idx = w.frame_idx AND r.pair_idx = w.pair_idx AND r.rn = w.rn + 1,
+    """WITH RECURSIVE r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, frame_idx, pair_idx ORDER BY score DESC, cand_a DESC, cand_b DESC) AS rn FROM limb_t WHERE score > 1E-6),
+ walk AS (SELECT session_id, frame_idx, pair_idx, CAST(0 AS BIGINT) AS rn, CAST([] AS INTEGER[]) AS ua, CAST([] AS INTEGER[]) AS ub, FALSE AS taken, 0 AS cand_a, 0 AS cand_b, 0.0E0 AS score
+   FROM (SELECT DISTINCT session_id, frame_idx, pair_idx FROM r)
+  UNION ALL SELECT r.session_id, r.frame_idx, r.pair_idx, r.rn, CASE WHEN ok THEN list_append(ua, r.cand_a) ELSE ua END, CASE WHEN ok THEN list_append(ub, r.cand_b) ELSE ub END, ok, r.cand_a, r.cand_b, r.score
+   FROM walk w JOIN r ON r.session_id = w.session_id AND r.frame_idx = w.frame_idx AND r.pair_idx = w.pair_idx AND r.rn = w.rn + 1,
     LATERAL (SELECT NOT list_contains(ua, r.cand_a) AND NOT list_contains(ub, r.cand_b) AS ok))
-SELECT frame_idx, pair_idx, cand_a, cand_b, ROUND(score, 6) AS score FROM walk WHERE taken""",
+SELECT session_id, frame_idx, pair_idx, cand_a, cand_b, ROUND(score, 6) AS score FROM walk WHERE taken""",
 )
 def _(spark, sf):
     return rounded(G.limb_match_greedy(limbs(spark, sf)), "score")
 
 
-@query("limb_rank_global", f"""SELECT {LIMB}, ROUND(total, 6) AS total, CAST(ROW_NUMBER() OVER (PARTITION BY frame_idx ORDER BY total DESC, score DESC, pair_idx DESC, cand_a DESC, cand_b DESC) AS INTEGER) AS rank
+@query("limb_rank_global", f"""SELECT {LIMB}, ROUND(total, 6) AS total, CAST(ROW_NUMBER() OVER (PARTITION BY session_id, frame_idx ORDER BY total DESC, score DESC, pair_idx DESC, cand_a DESC, cand_b DESC) AS INTEGER) AS rank
 FROM (SELECT *, score + 0.1E0*a_score + 0.1E0*b_score AS total FROM limb_t WHERE score > 1E-6)""")
 def _(spark, sf):
     return rounded(G.limb_rank_global(limbs(spark, sf)).drop("score", "a_score", "b_score"), "total")
@@ -205,17 +205,17 @@ def _(spark, sf):
 
 cte(
     "facebox_t",
-    """SELECT l_orderkey AS frame_idx, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) - 1 AS INTEGER) AS person_idx,
+    """SELECT l_orderkey % 2 AS session_id, l_orderkey // 2 AS frame_idx, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) - 1 AS INTEGER) AS person_idx,
   l_returnflag = 'R' AS stray, CAST(l_partkey % 60 AS DOUBLE) AS box_x, CAST(l_suppkey % 60 AS DOUBLE) AS box_y, 20.0E0 + l_quantity AS box_w, 25.0E0 + l_quantity AS box_h FROM lineitem""",
 )
 
 
 @query(
     "merge_stray_faces",
-    """SELECT frame_idx, stray_person, person_idx, ROUND(iou, 6) AS iou FROM (
- SELECT a.frame_idx, a.person_idx AS stray_person, b.person_idx, iou, ROW_NUMBER() OVER (PARTITION BY a.frame_idx, a.person_idx ORDER BY iou DESC, b.person_idx) AS rn,
-  (SELECT COUNT(*) FROM facebox_t f WHERE f.frame_idx = a.frame_idx AND NOT f.stray) AS n_valid
- FROM facebox_t a JOIN facebox_t b ON a.frame_idx = b.frame_idx AND a.stray AND NOT b.stray,
+    """SELECT session_id, frame_idx, stray_person, person_idx, ROUND(iou, 6) AS iou FROM (
+ SELECT a.session_id, a.frame_idx, a.person_idx AS stray_person, b.person_idx, iou, ROW_NUMBER() OVER (PARTITION BY a.session_id, a.frame_idx, a.person_idx ORDER BY iou DESC, b.person_idx) AS rn,
+  (SELECT COUNT(*) FROM facebox_t f WHERE f.session_id = a.session_id AND f.frame_idx = a.frame_idx AND NOT f.stray) AS n_valid
+ FROM facebox_t a JOIN facebox_t b ON a.session_id = b.session_id AND a.frame_idx = b.frame_idx AND a.stray AND NOT b.stray,
   LATERAL (SELECT LEAST(a.box_x + a.box_w, b.box_x + b.box_w) - GREATEST(a.box_x, b.box_x) AS iw, LEAST(a.box_y + a.box_h, b.box_y + b.box_h) - GREATEST(a.box_y, b.box_y) AS ih),
   LATERAL (SELECT iw*ih/(a.box_w*a.box_h + b.box_w*b.box_h - iw*ih) AS iou) WHERE iw > 0 AND ih > 0) WHERE rn = 1 AND (iou > 0.3E0 OR (iou > 0.01E0 AND n_valid < 3))""",
 )
@@ -224,27 +224,27 @@ def _(spark, sf):
 
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
     faces = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("frame_idx"), (F.row_number().over(w) - 1).alias("person_idx"), (F.col("l_returnflag") == "R").alias("stray"),
+        (F.col("l_orderkey") % 2).alias("session_id"), F.floor(F.col("l_orderkey") / 2).alias("frame_idx"), (F.row_number().over(w) - 1).alias("person_idx"), (F.col("l_returnflag") == "R").alias("stray"),
         (F.col("l_partkey") % 60).cast("double").alias("box_x"), (F.col("l_suppkey") % 60).cast("double").alias("box_y"),
         (20.0 + F.col("l_quantity")).alias("box_w"), (25.0 + F.col("l_quantity")).alias("box_h"),
     )
     return rounded(G.merge_stray_faces(faces), "iou")
 
 
-@query("sort_candidates", "SELECT frame_idx, part, cand_idx, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY frame_idx, part ORDER BY score DESC, cand_idx) - 1 AS INTEGER) AS pos FROM cand_t")
+@query("sort_candidates", "SELECT session_id, frame_idx, part, cand_idx, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY session_id, frame_idx, part ORDER BY score DESC, cand_idx) - 1 AS INTEGER) AS pos FROM cand_t")
 def _(spark, sf):
     lists = G.candidate_lists(fx.candidates(spark, sf))
-    out = lists.select("frame_idx", "part", F.posexplode("candidates").alias("pos", "e")).select(
-        "frame_idx", "part", "e.cand_idx", "e.score", "pos"
+    out = lists.select("session_id", "frame_idx", "part", F.posexplode("candidates").alias("pos", "e")).select(
+        "session_id", "frame_idx", "part", "e.cand_idx", "e.score", "pos"
     )
     return rounded(out, "score")
 
 
-@query("candidate_lists", """SELECT frame_idx, part, COUNT(*) AS n, STRING_AGG(cand_idx || ':' || CAST(CAST(x AS INTEGER) AS VARCHAR) || ',' || CAST(CAST(y AS INTEGER) AS VARCHAR), ' ' ORDER BY score DESC, cand_idx) AS candidates
+@query("candidate_lists", """SELECT session_id, frame_idx, part, COUNT(*) AS n, STRING_AGG(cand_idx || ':' || CAST(CAST(x AS INTEGER) AS VARCHAR) || ',' || CAST(CAST(y AS INTEGER) AS VARCHAR), ' ' ORDER BY score DESC, cand_idx) AS candidates
 FROM cand_t GROUP BY ALL""")
 def _(spark, sf):
     lists = G.candidate_lists(fx.candidates(spark, sf))
     text = F.transform(
         "candidates", lambda e: F.concat(e["cand_idx"].cast("string"), F.lit(":"), e["x"].cast("int").cast("string"), F.lit(","), e["y"].cast("int").cast("string"))
     )
-    return lists.select("frame_idx", "part", F.size("candidates").cast("bigint").alias("n"), F.array_join(text, " ").alias("candidates"))
+    return lists.select("session_id", "frame_idx", "part", F.size("candidates").cast("bigint").alias("n"), F.array_join(text, " ").alias("candidates"))

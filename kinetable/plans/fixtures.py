@@ -114,12 +114,13 @@ def clip_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    """8x8 raster per embedding: (frame_idx, part, cy, cx, v)."""
+    """8x8 raster per embedding: (session_id, frame_idx, part, cy, cx, v); two sessions share the frame numbers."""
     return (
         table(spark, sf, "embeddings")
         .select("vec_id", "label", F.posexplode("embedding").alias("pos", "v"))
         .select(
-            F.col("vec_id").alias("frame_idx"),
+            (F.col("vec_id") % 2).alias("session_id"),
+            F.floor(F.col("vec_id") / 2).alias("frame_idx"),
             F.col("label").alias("part"),
             F.floor(F.col("pos") / 8).cast("int").alias("cy"),
             (F.col("pos") % 8).alias("cx"),
@@ -129,18 +130,19 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Part candidates: one frame per order, part = line number modulo 4, ragged lists."""
+    """Part candidates: one frame per order, part = line number modulo 4, ragged lists; two sessions share the frame numbers."""
     li = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("frame_idx"),
+        (F.col("l_orderkey") % 2).alias("session_id"), F.floor(F.col("l_orderkey") / 2).alias("frame_idx"),
         ((F.col("l_linenumber") - 1) % 4).alias("part"),
         "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice",
     )
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("frame_idx", "part").orderBy(
+    w = W.partitionBy("session_id", "frame_idx", "part").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"
     )
     return li.select(
+        "session_id",
         "frame_idx",
         "part",
         (F.row_number().over(w) - 1).alias("cand_idx"),
@@ -197,12 +199,12 @@ cte(
 )
 cte(
     "grid_t",
-    """SELECT vec_id AS frame_idx, label AS part, CAST(k // 8 AS INTEGER) AS cy, CAST(k % 8 AS INTEGER) AS cx,
+    """SELECT vec_id % 2 AS session_id, vec_id // 2 AS frame_idx, label AS part, CAST(k // 8 AS INTEGER) AS cy, CAST(k % 8 AS INTEGER) AS cx,
   CAST(embedding[k + 1] AS DOUBLE) AS v FROM embeddings, (SELECT UNNEST(RANGE(64)) AS k) r""",
 )
 cte(
     "cand_t",
-    """SELECT l_orderkey AS frame_idx, (l_linenumber - 1) % 4 AS part,
+    """SELECT l_orderkey % 2 AS session_id, l_orderkey // 2 AS frame_idx, (l_linenumber - 1) % 4 AS part,
   CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey, (l_linenumber - 1) % 4
     ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) - 1 AS INTEGER) AS cand_idx,
   CAST(l_partkey % 64 AS DOUBLE) AS x, CAST(l_suppkey % 48 AS DOUBLE) AS y,
