@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import frames
 from ..scratch import written
-from .chunks import by_chunk, core, halo, last_positions, spread_to_chunks
+from .chunks import by_chunk, core, halo, join_per_key, last_positions, spread_to_chunks
 from .detect import (
     FALL_CANDIDATE, FALLEN, FALLING, NORMAL, UNKNOWN, RuleConfig, evidence_inputs, fall_score, first_fallen,
     recent_motion, threshold_columns,
@@ -51,11 +51,11 @@ def frozen_baseline(geometry: DataFrame, fps: float, frame_height: int, seconds:
     closes = geometry.groupBy("session_id").agg(
         F.greatest(F.lit(frames(fps, seconds) - 1), F.min(F.when(F.col("body_height").isNotNull(), F.col("frame_idx")))).alias("calibrated_at"),
         F.count("body_height").alias("_seen"),
-    ).where("_seen > 0").drop("_seen")
+    ).where("_seen > 0").drop("_seen").withColumn("_last", F.col("calibrated_at"))  # no later chunk matters
     slim = geometry.select("session_id", "frame_idx", "body_height", *SERIES)
     opening = core(causal_series(halo(slim, "frame_idx", gap + radius, 0), fps)).drop("_chunk")
     return (
-        opening.join(closes, "session_id")
+        join_per_key(opening, closes, ["session_id"], "frame_idx")
         .where(F.col("frame_idx") <= F.col("calibrated_at"))
         .groupBy("session_id", "calibrated_at")
         .agg(F.percentile("body_height", 0.5).alias("_h"), F.percentile("hip_y", 0.5).alias("_hip"))

@@ -89,6 +89,14 @@ def spread_to_chunks(per_key: DataFrame, last_idx: str, size: int | None = None)
     )
 
 
+def join_per_key(df: DataFrame, per_key: DataFrame, keys: Sequence[str], idx: str, last_idx: str = "_last") -> DataFrame:
+    """Rows with their key's value; the join is on (key, chunk), so the rows of a hot key meet it in many tasks.
+
+    ``per_key`` has one row per key with the key's last position in ``last_idx`` (dropped).
+    """
+    return chunked(df, idx).join(spread_to_chunks(per_key, last_idx), [*keys, "_chunk"]).drop("_chunk")
+
+
 def last_positions(df: DataFrame, keys: Sequence[str], idx: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(idx).alias("_last"))
 
@@ -249,7 +257,8 @@ def exact_percentiles(
     """Linearly interpolated percentiles by rank.
 
     ``percentile`` keeps every distinct value of a group in one buffer; here values are ranked
-    inside value ranges of ``width`` and only the rows next to each wanted rank remain.
+    inside value ranges of ``width`` and only the rows next to each wanted rank remain.  Choose the width well below the
+    spread of a key's values: a range is sorted in one task, and a key may fill as many ranges as it likes.
     """
     keys = list(keys)
     known = df.where(F.col(value).isNotNull()).select(*keys, value)

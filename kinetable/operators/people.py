@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import half_up
+from ..scratch import written
+from .chunks import join_per_key
 
 PERSON = ("session_id", "frame_idx", "person_idx")
 FRAME = ("session_id", "frame_idx")
@@ -293,7 +295,8 @@ def infer_frame_size(keypoints: DataFrame, default: tuple[int, int] = (640, 480)
 
 
 def usable_sequences(rows: DataFrame, minimum: int = 15, key: str = "session_id") -> DataFrame:
-    long = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= minimum)
+    """Rows of keys with enough rows; the keys are counted in the tasks first, and written, so that the join reads two plain inputs."""
+    long = written(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= minimum).select(key), "usable")
     return rows.join(long, key, "left_semi")
 
 
@@ -309,7 +312,8 @@ def progress_sample(rows: DataFrame, totals: DataFrame, every: float, idx: str =
     """First, last and every k-th frame; ``every`` below 1 is a fraction of the session."""
     i, n = F.col(idx), F.col("n_frames")
     k = F.greatest(F.floor(n * every + 0.5), F.lit(1)) if every < 1 else F.lit(int(every + 0.5))
-    return rows.join(totals.select("session_id", "n_frames"), "session_id").where(
+    totals = totals.select("session_id", "n_frames", (F.col("n_frames") - 1).alias("_to"))
+    return join_per_key(rows, totals, ["session_id"], idx, "_to").where(
         (i == 0) | (i >= n - 1) | (F.pmod(i + 1, k) == 0)
     )
 

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..scratch import written
 from .chunks import (
-    by_chunk, core, dense_index, exact_percentiles, halo, last_positions, reflected_walk, running_last,
-    running_max_before,
+    by_chunk, core, dense_index, exact_percentiles, halo, join_per_key, last_positions, reflected_walk, running_last, running_max_before,
 )
 
 
@@ -34,19 +33,18 @@ def _body_frame(keypoints: DataFrame) -> DataFrame:
         return F.max(F.when(seen & (F.col("joint") == joint), F.col(axis)))
 
     x, y = F.when(seen, F.col("x")), F.when(seen, F.col("y"))
-    keypoints = written(keypoints, "keypoints")
     frames = keypoints.groupBy("session_id", "frame_idx").agg(
         F.sqrt(F.pow(at("x", 1) - at("x", 8), 2) + F.pow(at("y", 1) - at("y", 8), 2)).alias("torso"),
         at("x", 8).alias("px"),
         at("y", 8).alias("py"),
         F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias("span"),
     )
+    frames = written(frames, "body-frames")  # one narrow row per frame; all medians read these
+    last = written(last_positions(frames, ["session_id"], "frame_idx"), "last-positions")
     # The early fifth of a session is known from its last position; the join is on the small side.
-    early = last_positions(keypoints, ["session_id"], "frame_idx").select(
-        "session_id", F.greatest(F.bround((F.col("_last") + 1) * 0.2), F.lit(1.0)).alias("_early")
-    )
+    early = last.select("session_id", "_last", F.greatest(F.bround((F.col("_last") + 1) * 0.2), F.lit(1.0)).alias("_early"))
     is_early = F.col("frame_idx") < F.col("_early")
-    stacked = frames.join(early, "session_id").select(
+    stacked = join_per_key(frames, early, ["session_id"], "frame_idx").select(
         "session_id",
         F.inline(
             F.array(
@@ -57,7 +55,7 @@ def _body_frame(keypoints: DataFrame) -> DataFrame:
             )
         ),
     ).where("v IS NOT NULL")
-    med = exact_percentiles(stacked, ["session_id", "series"], "v", {"m": 0.5}, 16.0)
+    med = exact_percentiles(stacked, ["session_id", "series"], "v", {"m": 0.5}, 0.25)
 
     def one(name):
         return F.max(F.when(F.col("series") == name, F.col("m")))
@@ -65,25 +63,28 @@ def _body_frame(keypoints: DataFrame) -> DataFrame:
     known = med.groupBy("session_id").agg(
         one("torso").alias("torso"), one("px").alias("px"), one("py").alias("py"), one("span").alias("span")
     )
-    # Sessions without an early pelvis fall back to the median of all their visible joints.
-    lost = last_positions(keypoints, ["session_id"], "frame_idx").select("session_id").join(
-        known.where("px IS NOT NULL"), "session_id", "left_anti"
-    )
-    spare = keypoints.where(seen).join(lost, "session_id", "left_semi").select(
-        "session_id",
-        F.inline(
-            F.array(
-                F.struct(F.lit("ax").alias("series"), F.col("x").alias("v")),
-                F.struct(F.lit("ay").alias("series"), F.col("y").alias("v")),
-            )
-        ),
-    )
-    spare = exact_percentiles(spare, ["session_id", "series"], "v", {"m": 0.5}, 16.0).groupBy("session_id").agg(
-        one("ax").alias("ax"), one("ay").alias("ay")
-    )
-    all_ids = last_positions(keypoints, ["session_id"], "frame_idx").select("session_id")
-    return all_ids.join(known, "session_id", "left").join(spare, "session_id", "left").select(
-        "session_id",
+    known = written(known, "body-medians")
+    found = last.join(known, "session_id", "left")
+    # Sessions without an early pelvis fall back to the median of all their visible joints; most tables have none.
+    lost = found.where("px IS NULL").select("session_id", "_last")
+    if not lost.isEmpty():
+        spare = join_per_key(keypoints.where(seen), lost, ["session_id"], "frame_idx").select(
+            "session_id",
+            F.inline(
+                F.array(
+                    F.struct(F.lit("ax").alias("series"), F.col("x").alias("v")),
+                    F.struct(F.lit("ay").alias("series"), F.col("y").alias("v")),
+                )
+            ),
+        )
+        spare = exact_percentiles(spare, ["session_id", "series"], "v", {"m": 0.5}, 0.25).groupBy("session_id").agg(
+            one("ax").alias("ax"), one("ay").alias("ay")
+        )
+        found = found.join(spare, "session_id", "left")
+    else:
+        found = found.withColumns({c: F.lit(None).cast("double") for c in ("ax", "ay")})
+    return found.select(
+        "session_id", "_last",
         F.coalesce("px", "ax", F.lit(0.0)).alias("_ox"),
         F.coalesce("py", "ay", F.lit(0.0)).alias("_oy"),
         F.greatest(F.coalesce("torso", "span", F.lit(1.0)), F.lit(1e-3)).alias("_scale"),
@@ -98,9 +99,9 @@ def pose_features(keypoints: DataFrame) -> DataFrame:
         v = (F.col(axis) - F.col(origin)) / F.col("_scale")
         return F.when(F.col("_seen"), F.least(F.greatest(v, F.lit(-8.0)), F.lit(8.0))).otherwise(F.lit(0.0))
 
+    body = written(_body_frame(keypoints), "body-frame")
     return (
-        keypoints.withColumn("_seen", seen)
-        .join(_body_frame(keypoints), "session_id")
+        join_per_key(keypoints.withColumn("_seen", seen), body, ["session_id"], "frame_idx")
         .withColumns({"x": norm("x", "_ox"), "y": norm("y", "_oy"),
                       "c": F.when(F.col("_seen"), F.col("c")).otherwise(F.lit(0.0))})
         .drop("_seen", "_ox", "_oy", "_scale")
@@ -194,7 +195,7 @@ def sliding_clips(rows: DataFrame, length: int, every: int) -> DataFrame:
     first_end = F.ceil((i + 1) / F.lit(every)) * every - 1
     last_end = F.floor(F.least(i + F.lit(length), F.col("_last") + 1) / F.lit(every)) * every - 1
     return (
-        rows.join(last_positions(rows, ["session_id"], "frame_idx"), "session_id")
+        join_per_key(rows, last_positions(rows, ["session_id"], "frame_idx").withColumn("_to", F.col("_last")), ["session_id"], "frame_idx", "_to")
         .withColumns({"_a": first_end, "_b": last_end})
         .where("_a <= _b")
         .withColumn("clip_end", F.explode(F.sequence("_a", "_b", F.lit(every).cast("bigint"))))
@@ -220,7 +221,7 @@ def estimate_fps(
     wide = halo(frames.select("session_id", "frame_idx", seconds.alias("_t")), "frame_idx", 1, 0)
     gap = F.col("_t") - F.lag("_t").over(by_chunk(["session_id"], "frame_idx"))
     gaps = core(wide.withColumn("_gap", gap)).where((F.col("_gap") > 0.001) & (F.col("_gap") < longest))
-    med = exact_percentiles(gaps, ["session_id"], "_gap", {"_m": 0.5}, 0.05).drop("n")
+    med = exact_percentiles(gaps, ["session_id"], "_gap", {"_m": 0.5}, 0.0005).drop("n")
     return (
         last_positions(frames, ["session_id"], "frame_idx")
         .join(med, "session_id", "left")
@@ -311,7 +312,7 @@ def latency_summary(frames: DataFrame, value: str, seconds: Column) -> DataFrame
     steady = frames.where("frame_idx > 0")
     lone = whole.where("frames = 1").select("session_id", F.col("warmup").alias(value))
     steady = steady.select("session_id", value).unionByName(lone)
-    q = exact_percentiles(steady, ["session_id"], value, {"median": 0.5, "p95": 0.95}, 5.0).drop("n")
+    q = exact_percentiles(steady, ["session_id"], value, {"median": 0.5, "p95": 0.95}, 0.05).drop("n")
     return whole.join(q, "session_id")
 
 
@@ -337,7 +338,7 @@ def augment_sequences(keypoints: DataFrame, steps: int, seed: int) -> DataFrame:
         u, v = _uniform(*key, F.lit(seed + k)), _uniform(*key, F.lit(seed + k + 1))
         return 0.01 * F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2.0 * 3.141592653589793 * v)
 
-    cut = keypoints.join(plan, "session_id").where(
+    cut = join_per_key(keypoints, plan.withColumn("_to", F.col("_n") - 1), ["session_id"], "frame_idx", "_to").where(
         (F.col("frame_idx") >= F.col("_start")) & (F.col("frame_idx") < F.col("_start") + F.col("_len"))
     )
     moved = cut.select(
