@@ -316,27 +316,26 @@ def _(spark, sf):
 
 @query(
     "merge_best_keypoint",
-    f"""SELECT session_id, frame_idx, joint, replaced, {_r('x', 'y', 'c')} FROM (
- SELECT a.session_id, a.frame_idx, a.joint, t AS replaced, CASE WHEN t THEN b.x ELSE a.x END AS x, CASE WHEN t THEN b.y ELSE a.y END AS y,
-  CASE WHEN t THEN b.c ELSE a.c END AS c
- FROM people_t a LEFT JOIN people_t b ON a.session_id = b.session_id AND a.frame_idx = b.frame_idx + 1 AND a.joint = b.joint AND b.person_idx = 0,
-  LATERAL (SELECT COALESCE(b.c - a.c > 0.05E0, FALSE) AS t) WHERE a.person_idx = 0)""",
+    f"""SELECT session_id, frame_idx, person_idx, joint, t AS replaced, {', '.join(f'ROUND(CASE WHEN t THEN new_{v} ELSE old_{v} END, 6) + 0.0E0 AS {v}' for v in 'xyc')} FROM (
+ SELECT a.session_id, a.frame_idx, a.person_idx, a.joint, a.x AS old_x, a.y AS old_y, a.c AS old_c, b.x AS new_x, b.y AS new_y, b.c AS new_c, COALESCE(b.c - a.c > 0.05E0, FALSE) AS t
+ FROM people_t a LEFT JOIN (SELECT *, frame_idx + 1 AS next FROM people_t) b
+  ON a.session_id = b.session_id AND a.frame_idx = b.next AND a.person_idx = b.person_idx AND a.joint = b.joint)""",
 )
 def _(spark, sf):
-    one = fx.people(spark, sf).where("person_idx = 0").drop("person_idx")
-    before = one.withColumn("frame_idx", F.col("frame_idx") + 1)
-    return rounded(P.merge_best_keypoint(one, before, ["session_id", "frame_idx", "joint"]), "x", "y", "c")
+    ppl = fx.people(spark, sf)
+    before = ppl.withColumn("frame_idx", F.col("frame_idx") + 1)
+    return rounded(P.merge_best_keypoint(ppl, before, [*P.PERSON, "joint"]), "x", "y", "c")
 
 
 @query(
     "blend_tracked",
-    f"""SELECT session_id, frame_idx, person_idx, joint, active, {_r('x', 'y')} FROM (
- SELECT o.session_id, o.frame_idx, o.person_idx, o.joint, o.c >= 0.6E0 AS active,
-  CASE WHEN p.session_id IS NULL THEN o.x WHEN o.c < 0.6E0 THEN px WHEN d < 5 THEN px WHEN d < 10 THEN FLOOR((px + ox)/2.0E0 + 0.5E0) ELSE ox END AS x,
-  CASE WHEN p.session_id IS NULL THEN o.y WHEN o.c < 0.6E0 THEN py WHEN d < 5 THEN py WHEN d < 10 THEN FLOOR((py + oy)/2.0E0 + 0.5E0) ELSE oy END AS y
- FROM people_t o LEFT JOIN people_t p ON o.session_id = p.session_id AND o.frame_idx = p.frame_idx + 1 AND o.person_idx = p.person_idx AND o.joint = p.joint,
-  LATERAL (SELECT ROUND_EVEN(p.x, 0) AS px, ROUND_EVEN(p.y, 0) AS py, FLOOR(o.x + 0.5E0) AS ox, FLOOR(o.y + 0.5E0) AS oy),
-  LATERAL (SELECT SQRT(POWER(px - ox, 2) + POWER(py - oy, 2)) AS d))""",
+    f"""SELECT session_id, frame_idx, person_idx, joint, c >= 0.6E0 AS active, {', '.join(
+        f"ROUND(CASE WHEN before IS NULL THEN {v} WHEN c < 0.6E0 THEN p{v} WHEN d < 5 THEN p{v} WHEN d < 10 THEN FLOOR((p{v} + o{v})/2.0E0 + 0.5E0) ELSE o{v} END, 6) + 0.0E0 AS {v}" for v in 'xy')}
+FROM (SELECT *, SQRT(POWER(px - ox, 2) + POWER(py - oy, 2)) AS d FROM (
+ SELECT o.session_id, o.frame_idx, o.person_idx, o.joint, o.x, o.y, o.c, p.next AS before, ROUND_EVEN(p.x, 0) AS px, ROUND_EVEN(p.y, 0) AS py,
+  FLOOR(o.x + 0.5E0) AS ox, FLOOR(o.y + 0.5E0) AS oy
+ FROM people_t o LEFT JOIN (SELECT *, frame_idx + 1 AS next FROM people_t) p
+  ON o.session_id = p.session_id AND o.frame_idx = p.next AND o.person_idx = p.person_idx AND o.joint = p.joint))""",
 )
 def _(spark, sf):
     ppl = fx.people(spark, sf)
