@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import written
@@ -44,3 +45,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = _with_least(large, "small")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), "small-star")
+
+
+def least_reached(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest id in the component of each of a task's nodes; ``i`` and ``j`` are the ends of its links."""
+    least = ids.copy()
+    while len(i):
+        before = least.copy()
+        low = np.minimum(least[i], least[j])
+        np.minimum.at(least, i, low)
+        np.minimum.at(least, j, low)
+        if (least == before).all():
+            break
+    return least

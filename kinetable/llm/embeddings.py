@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_128_digest
 
 from .common import query, table, written
-from .components import components
+from .components import components, least_reached
 
 COSINE = 0.98
 #: Projections, vectors in an interval and in a leaf, vectors in a sorted partition.
@@ -182,18 +182,6 @@ def _halves(s: slice, leaf: int) -> list[slice]:
     return [slice(s.start, middle), slice(middle, s.stop)]
 
 
-def _reached(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id in the component of each of n nodes."""
-    least = ids.copy()
-    while True:
-        before = least.copy()
-        low = np.minimum(least[i], least[j])
-        np.minimum.at(least, i, low)
-        np.minimum.at(least, j, low)
-        if (least == before).all():
-            return least
-
-
 def links_between(pairs: DataFrame, cut: DataFrame, eps: float, cosine: float) -> DataFrame:
     """Per joined pair of intervals and vector with links there: its number of linked vectors and the smallest id reached."""
     body, leaf = ["ids", "counts", "vecs", "places"], LEAF
@@ -215,7 +203,7 @@ def links_between(pairs: DataFrame, cut: DataFrame, eps: float, cosine: float) -
                 j = j if same else j + len(p.ids)
                 links = np.bincount(i, counts[j], len(ids)) + np.bincount(j, counts[i], len(ids))
                 at = np.flatnonzero(links)
-                least = _reached(len(ids), i, j, ids)
+                least = least_reached(ids, i, j)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at].astype(np.int64)), pa.array(least[at])], ["rep", "links", "least"])
 
     return both.select("x", "y", *[f"{s}_{c}" for s in "xy" for c in body]).mapInArrow(run, "rep long, links long, least long")

@@ -10,10 +10,11 @@ sketches of parts merge by maximum and two registers are equal with a probabilit
 3. Every member of a bucket is paired with the bucket's smallest id; pairs whose similarity, estimated from both
    sketches by maximum likelihood (set sizes known), stays ``MARGIN`` below the threshold are left out; the rest is
    verified on the full sets.  Verified links give components.
-4. Buckets that still hold several components are searched, block of members against block of members, for pairs of
-   different components with a sufficient estimate: first the likeliest of each two components, then the likeliest
-   ``MORE``, then all that are left.  Members of one component need no further comparison, so that a bucket of
-   thousands of near copies stays linear, and no link between components is lost.
+4. Buckets that still hold several components are searched, block of members against block of members, for members that
+   have a partner in another component with a sufficient estimate (in the first band that the two share).  Only their
+   texts are fetched, and all their pairs in a block are verified at a time, by counting common shingles as a product of
+   incidence matrices.  Members of one component need no comparison, and a block gives at most one row per
+   member (the smallest it reaches), so that neither pairs nor links of large groups are listed, and none is lost.
 
 Hot classes and buckets: classes and leaders are aggregated before they are shuffled and written, so joins on hot keys are
 plain ones that the engine splits; blocks bound what a task compares.
@@ -34,17 +35,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from .common import blobs, free_name, mix64, query, slices, table, two_columns, written
-from .components import components
+from .components import components, least_reached
 
 ROWS = 4
 A, B, Q = 20.0, 1.001, (1 << 16) - 2
 MISS = 1e-6
 #: Estimates err by 0.04 at the thresholds in use; this is six times that.
 MARGIN = 0.25
-#: Members of a bucket compared at a time, and the likeliest pairs tried in the second search.
-BLOCK, MORE = 512, 16
-#: Rows of buckets in a task of a search.
-DEAL = 20_000
+#: Registers are equal about as often as the estimate says (the base is near 1); where they are by this much less often
+#: than the least estimate asks for, its likelihood need not be maximised.
+NEAR_EQUAL = 0.1
+#: Members of a bucket in a block, shingles in a strip of the incidence matrix.
+BLOCK, STRIP = 512, 8192
+#: Rows of buckets in a task of the search, and of texts in a task of the verification.
+DEAL, TEXTS = 4_000, 1_000
 
 
 def bands_for(percent: int) -> int:
@@ -179,48 +183,98 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _search(members: DataFrame, bands: int, percent: int, most: int | None) -> DataFrame:
-    """Pairs of different components in the same bucket with a sufficient estimate; of each two components the ``most`` likeliest in a block."""
+def _blocks(key: np.ndarray, i: np.ndarray, j: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the two sides of every (key, i, j); the same rows twice where a block meets itself."""
+    order = np.lexsort((part, j, i, key))
+    new = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)))
+    for start, end in zip(new, np.append(new[1:], len(order)), strict=True):
+        rows = order[start:end]
+        if i[rows[0]] == j[rows[0]]:
+            yield rows, rows
+        else:
+            yield rows[part[rows] == i[rows[0]]], rows[part[rows] == j[rows[0]]]
+
+
+def _search(members: DataFrame, bands: int, percent: int) -> DataFrame:
+    """Members of buckets that have a likely partner of another component, by blocks of their bucket."""
     m = ROWS * bands
+    least = percent / 100 - MARGIN
     parts = members.withColumn("_parts", F.ceil(F.col("size") / BLOCK).cast("int"))
     parts = parts.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    parts = parts.select("key", F.least("_part", "_other").alias("i"), F.greatest("_part", "_other").alias("j"), "_part", "doc_id", "component", "n", "regs")
+    parts = parts.select("key", "band", F.least("_part", "_other").alias("i"), F.greatest("_part", "_other").alias("j"), "_part", "doc_id", "component", "n", "regs")
     deals = max(1, parts.count() // DEAL)
     parts = parts.withColumn("_deal", F.pmod(F.xxhash64("key", "i", "j"), F.lit(deals)))
 
     def run(group: pa.Table) -> pa.Table:
-        key, i, j, part, ids, comp = (group.column(c).to_numpy() for c in ("key", "i", "j", "_part", "doc_id", "component"))
+        key, i, j, part, ids, comp, band = (group.column(c).to_numpy() for c in ("key", "i", "j", "_part", "doc_id", "component", "band"))
         n = group.column("n").to_numpy().astype(float)
         regs = _regs(group.column("regs").combine_chunks(), m)
-        order = np.lexsort((part, j, i, key))
-        new = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)))
+        found = np.zeros(len(key), bool)
+        for left, right in _blocks(key, i, j, part):
+            strip = max(1, 65_536 // max(1, len(right)))
+            for a in range(0, len(left), strip):
+                x, y = np.repeat(left[a : a + strip], len(right)), np.tile(right, len(left[a : a + strip]))
+                fit = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+                x, y = x[fit], y[fit]
+                equal = regs[x] == regs[y]
+                close = equal.sum(1) >= m * (least - NEAR_EQUAL)
+                close &= equal.reshape(-1, bands, ROWS).all(axis=2).argmax(axis=1) == band[x]  # in the first shared band only
+                x, y = x[close], y[close]
+                good = estimate((regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1), (regs[x] == regs[y]).sum(1), n[x], n[y]) >= least
+                found[x[good]] = found[y[good]] = True
+        return group.select(["key", "i", "j", "_part", "doc_id", "component"]).filter(pa.array(found))
+
+    return parts.groupBy("_deal").applyInArrow(run, "key long, i int, j int, _part int, doc_id long, component long")
+
+
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right)]
+    names = np.intersect1d(*sides)
+    where = []
+    for sets, flat in zip((left, right), sides, strict=True):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(names, flat), max(0, len(names) - 1))
+        known = names[at] == flat if len(names) else np.zeros(len(flat), bool)
+        order = np.argsort(at[known], kind="stable")
+        where.append((row[known][order], at[known][order]))
+    for a in range(0, len(names), STRIP):
+        strips = []
+        for (row, at), sets in zip(where, (left, right), strict=True):
+            low, high = np.searchsorted(at, [a, a + STRIP])
+            strip = np.zeros((len(sets), min(STRIP, len(names) - a)), np.float32)
+            strip[row[low:high], at[low:high] - a] = 1
+            strips.append(strip)
+        out += strips[0] @ strips[1].T  # whole numbers far below 2^24
+    return out
+
+
+def _verified_blocks(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components within the blocks: each linked member with the smallest member that it reaches there."""
+    deals = max(1, rows.count() // TEXTS)
+    both = rows.join(texts.select(F.col("_id").alias("doc_id"), "_text"), "doc_id").withColumn("_deal", F.pmod(F.xxhash64("key", "i", "j"), F.lit(deals)))
+
+    def run(group: pa.Table) -> pa.Table:
+        key, i, j, part, ids, comp = (group.column(c).to_numpy() for c in ("key", "i", "j", "_part", "doc_id", "component"))
+        texts = group.column("_text").combine_chunks().cast(pa.binary())
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for start, end in zip(new, np.append(new[1:], len(order)), strict=True):
-            rows = order[start:end]
-            if i[rows[0]] == j[rows[0]]:
-                x, y = np.triu_indices(len(rows), 1)
-                x, y = rows[x], rows[y]
-            else:
-                left, right = rows[part[rows] == i[rows[0]]], rows[part[rows] == j[rows[0]]]
-                x, y = np.repeat(left, len(right)), np.tile(right, len(left))
-            fit = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
-            x, y = x[fit], y[fit]
-            for a in range(0, len(x), 16_384):
-                p, q = x[a : a + 16_384], y[a : a + 16_384]
-                likely_ = estimate((regs[p] > regs[q]).sum(1), (regs[p] < regs[q]).sum(1), (regs[p] == regs[q]).sum(1), n[p], n[q])
-                good = likely_ >= percent / 100 - MARGIN
-                p, q, likely_ = p[good], q[good], likely_[good]
-                if most is not None and len(p):
-                    low, high = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
-                    rank = np.lexsort((-likely_, high, low))
-                    fresh = np.append(True, (np.diff(low[rank]) != 0) | (np.diff(high[rank]) != 0))
-                    place = np.arange(len(rank)) - np.maximum.accumulate(np.where(fresh, np.arange(len(rank)), 0))
-                    p, q = p[rank[place < most]], q[rank[place < most]]
-                out.append((np.maximum(ids[p], ids[q]), np.minimum(ids[p], ids[q])))
+        for left, right in _blocks(key, i, j, part):
+            rows = np.unique(np.concatenate([left, right]))
+            sets = {r: shingles(texts[r].as_py(), width) for r in rows.tolist()}
+            one, two = [sets[r] for r in left.tolist()], [sets[r] for r in right.tolist()]
+            common = common_shingles(one, two).astype(np.int64)
+            sizes = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None, :]
+            linked = (100 * common >= percent * (sizes - common)) & (common > 0) & (comp[left][:, None] != comp[right][None, :])
+            x, y = np.nonzero(linked)
+            x, y = np.searchsorted(rows, left[x]), np.searchsorted(rows, right[y])
+            reached = least_reached(ids[rows], x, y)
+            some = np.flatnonzero(reached != ids[rows])
+            out.append((ids[rows][some], reached[some]))
         a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return parts.groupBy("_deal").applyInArrow(run, "a long, b long").distinct()
+    return both.groupBy("_deal").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,36 +285,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     classes = written(known.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(known.join(classes.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"]).select("doc_id", "n", "bands", "regs"), "class-sketches")
 
-    buckets = reps.select("doc_id", F.explode("bands").alias("key"))
+    buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     leaders = written(buckets.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_max"), F.count(F.lit(1)).alias("size")).where("b <> _max").drop("_max"), "leaders")
-    shared = written(buckets.join(leaders, "key").select("key", "size", "doc_id", "b"), "shared-buckets")
+    shared = written(buckets.join(leaders, "key").select("key", "band", "size", "doc_id", "b"), "shared-buckets")
     texts = two_columns(docs, key, text).join(shared.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_semi")
     texts = written(texts, "candidate-texts")
 
     pairs = shared.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    tested = [written(likely(pairs, reps, bands, percent), "tested")]
-    links = [written(verified(tested[0], texts, width, percent), "verified")]
-    found = written(components(links[0]), "components")
-    for most in (1, MORE, None):
-        labelled = shared.select("key", "size", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        labelled = written(labelled, "labelled-buckets")
-        mixed = written(labelled.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key"), "mixed")
-        members = labelled.join(mixed, "key").join(reps.select("doc_id", "n", "regs"), "doc_id")
-        pairs = _search(members, bands, percent, most)
-        for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = written(pairs, "tested")
-        tested.append(pairs)
-        if pairs.isEmpty():
-            if most is None or mixed.isEmpty():
-                break
-            continue
-        links.append(written(verified(pairs, texts, width, percent), "verified"))
-        if not links[-1].isEmpty():
-            every = links[0]
-            for x in links[1:]:
-                every = every.unionByName(x)
-            found = written(components(every), "components")
+    links = written(verified(likely(pairs, reps, bands, percent), texts, width, percent), "star-links")
+    found = written(components(links), "components")
+
+    labelled = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = written(labelled.drop("b"), "labelled-buckets")
+    mixed = written(labelled.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key"), "mixed")
+    members = labelled.join(mixed, "key").join(reps.select("doc_id", "n", "regs"), "doc_id")
+    rest = written(_verified_blocks(written(_search(members, bands, percent), "likely-members"), texts, width, percent), "block-links")
+    if not rest.isEmpty():
+        found = written(components(links.unionByName(rest)), "components")
 
     of_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_class = written(of_class.select("fp", F.coalesce("component", "rep").alias("component")), "class-components")

@@ -48,8 +48,8 @@ def test_matches_brute_force(docs, texts, width, percent):
 def test_chains_within_buckets_are_whole(spark, monkeypatch):
     """Each text is near the next, few are near the smallest; blocks of members are small."""
     monkeypatch.setattr(N, "BLOCK", 4)
-    monkeypatch.setattr(N, "MORE", 2)
     monkeypatch.setattr(N, "DEAL", 50)
+    monkeypatch.setattr(N, "TEXTS", 20)
     rng = random.Random(7)
     w = [f"{x}{k}" for k, x in enumerate(sentence(rng, 100).split())]
     rows = []
@@ -93,3 +93,10 @@ def test_components(spark, seed):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_common_shingles():
+    rng = random.Random(2)
+    left, right = [[np.array(sorted(rng.sample(range(60), rng.randint(0, 30))), np.uint64) for _ in range(n)] for n in (7, 5)]
+    assert N.common_shingles(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert N.common_shingles([], right).shape == (0, 5)
