@@ -154,7 +154,13 @@ def _(spark, sf):
     return out.select("session_id", "frame_idx", "n_views", F.array_join(F.transform("views", lambda v: v.cast("string")), ",").alias("views"))
 
 
-@query("stream_status_events")
+@query("stream_status_events", """WITH RECURSIVE w AS (
+ SELECT session_id, frame_idx, state, fall_latched, frame_idx/10.0E0 AS seconds, frame_idx/10.0E0 AS told, 'state_change' AS reason FROM cstates_t WHERE frame_idx = 0
+ UNION ALL SELECT c.session_id, c.frame_idx, c.state, c.fall_latched, c.frame_idx/10.0E0,
+  CASE WHEN c.state <> w.state OR c.frame_idx/10.0E0 - w.told >= 1 THEN c.frame_idx/10.0E0 ELSE w.told END,
+  CASE WHEN c.state <> w.state THEN 'state_change' WHEN c.frame_idx/10.0E0 - w.told >= 1 THEN 'heartbeat' END
+ FROM w JOIN cstates_t c ON c.session_id = w.session_id AND c.frame_idx = w.frame_idx + 1)
+SELECT session_id, frame_idx, seconds, state, state = 'FALLEN' AS fall_detected, fall_latched, reason FROM w WHERE reason IS NOT NULL""")
 def _(spark, sf):
     states = causal.causal_fall_states(frame_geometry(fx.keypoints(spark, sf)), fx.FPS, fx.HEIGHT)
     timed = states.select("session_id", "frame_idx", (F.col("frame_idx") / fx.FPS).alias("seconds"), "state", "fall_latched")

@@ -32,14 +32,20 @@ def world(spark, sf) -> DataFrame:
     )
 
 
-def observations(spark, sf) -> DataFrame:
-    """What each camera sees of each joint: the projection plus a repeatable disturbance."""
+def observations(spark, sf, disturbed: str = "all") -> DataFrame:
+    """What each camera sees of each joint: the projection plus a repeatable disturbance.
+
+    ``disturbed``: "all" views a little and some a lot, "one" view of every fifth point a lot, or "none".
+    """
     e, j, k = F.col("event_id"), F.col("joint"), F.col("camera_id")
     seen = world(spark, sf).withColumn("camera_id", F.explode(F.array(*[F.lit(i) for i in range(4)])))
     seen = seen.join(cameras(spark).select("camera_id", "p"), "camera_id")
     u, v = V.projected(seen)
     noise = ((e * (j + 1) * (k + 2)) % 7 - 3) * 0.25
     jump = F.when((e + j * k) % 41 == 0, F.lit(60.0)).otherwise(F.lit(0.0))
+    if disturbed != "all":
+        off = ((e + j) % 5 == 0) & (k == e % 4) if disturbed == "one" else F.lit(False)
+        noise, jump = F.lit(0.0), F.when(off, F.lit(60.0)).otherwise(F.lit(0.0))
     return seen.select(
         "session_id", "frame_idx", "event_id", "joint", "camera_id", "px", "py", "pz", "p", "c", (u + noise + jump).alias("x"), (v - noise).alias("y"),
     )
@@ -68,9 +74,18 @@ def _(spark, sf):
     return out.withColumn("views", F.array_join(F.transform("views", lambda v: v.cast("string")), ","))
 
 
-def valid(spark, sf):
+cte(
+    "clean3d_t",
+    """SELECT *, CASE WHEN zc = 0 THEN NULL ELSE 500*xc/zc + 320 END AS x, CASE WHEN zc = 0 THEN NULL ELSE 500*yc/zc + 240 END AS y, (event_id + joint) % 5 = 0 AND camera_id = event_id % 4 AS off FROM (
+ SELECT *, cs*px + sn*pz AS xc, py AS yc, -sn*px + cs*pz + 10 AS zc FROM (
+  SELECT session_id, frame_idx, event_id, joint, c, (x - 320)/100 AS px, (y - 260)/100 AS py, (joint % 5)/10.0E0 AS pz FROM figure_t WHERE x IS NOT NULL),
+  (VALUES (0, 1.0E0, 0.0E0), (1, 0.0E0, 1.0E0), (2, -1.0E0, 0.0E0), (3, 0.0E0, -1.0E0)) t(camera_id, cs, sn))""",
+)
+
+
+def valid(spark, sf, disturbed="all"):
     cams = cameras(spark).select("camera_id", "width", "height")
-    return V.valid_view_keypoints(observations(spark, sf), cams, 0.6)
+    return V.valid_view_keypoints(observations(spark, sf, disturbed), cams, 0.6)
 
 
 @query("valid_view_keypoints", f"SELECT session_id, frame_idx, joint, camera_id, ROUND(x, 6) AS x, ROUND(y, 6) AS y FROM obs3d_t WHERE {VALID_SQL}")
@@ -86,12 +101,31 @@ def _(spark, sf):
 POINTS = ["session_id", "frame_idx", "joint", "px", "py", "pz", "error"]
 
 
-@query("triangulate")
+_point = ", ".join(f"ROUND(ANY_VALUE({c}), 6) + 0.0E0 AS {c}" for c in ("px", "py", "pz"))
+
+
+@query("triangulate", f"""SELECT session_id, frame_idx, joint, {_point}, 0.0E0 AS error FROM clean3d_t WHERE {VALID_SQL}
+GROUP BY session_id, frame_idx, joint HAVING COUNT(*) >= 3""")
+def _(spark, sf):
+    """Undisturbed views must give the joint itself."""
+    solved = V.triangulate(valid(spark, sf, "none"), V.default_min_views(4))
+    return rounded(solved.select(*POINTS), *POINTS[3:])
+
+
+@query("triangulate_disturbed")
 def _(spark, sf):
     return V.triangulate(valid(spark, sf), V.default_min_views(4)).select(*POINTS)
 
 
-@query("drop_worst_view")
+@query("drop_worst_view", f"""SELECT session_id, frame_idx, joint, {_point}, 0.0E0 AS error, CAST(MAX(CASE WHEN off THEN camera_id END) AS INTEGER) AS dropped_view
+FROM (SELECT * REPLACE (CASE WHEN off THEN x + 60 ELSE x END AS x) FROM clean3d_t) WHERE {VALID_SQL} GROUP BY session_id, frame_idx, joint HAVING COUNT(*) = 4""")
+def _(spark, sf):
+    """Of four views with one disturbed, that one goes and the joint itself is left."""
+    solved = V.drop_worst_view(V.triangulate(valid(spark, sf, "one"), 4), V.max_acceptable_error(640, 480))
+    return rounded(solved.select(*POINTS, "dropped_view"), *POINTS[3:])
+
+
+@query("drop_worst_view_disturbed")
 def _(spark, sf):
     solved = V.triangulate(valid(spark, sf), V.default_min_views(4))
     return V.drop_worst_view(solved, V.max_acceptable_error(640, 480)).select(*POINTS, "dropped_view")
