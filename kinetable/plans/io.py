@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from ..scratch import new_folder
+from ..operators.detect import RuleConfig
+from ..scratch import new_folder, written
 from ..sources import readers as R, writers as Wr
 from . import fixtures as fx
 from .pose import metrics_sql, verdicts, M, _vg
@@ -170,15 +173,19 @@ def _(spark, sf):
     return spark.read.schema("session_id bigint, label string, category string, n_frames bigint").option("header", True).csv(path)
 
 
-@query("sink_report_json", metrics_sql("truth", "pred", "grp", _vg))
+@query("sink_report_json", f"""SELECT m.*, 0.3E0 AS min_drop, (SELECT COUNT(*) FROM (SELECT 1 FROM verdict_t WHERE config_id = 0 AND truth <> pred LIMIT 100)) AS n_errors,
+ (SELECT MIN(session_id) FROM verdict_t WHERE config_id = 0 AND truth <> pred) AS first_error FROM ({metrics_sql("truth", "pred", "grp", _vg)}) m""")
 def _(spark, sf):
     path = new_folder(spark, "report")
-    grouped = rounded(metrics.metrics_by_group(verdicts(spark, sf), "truth", "pred", "category"), *M)
-    rep = Wr.report(grouped, "category")
+    found = written(verdicts(spark, sf), "verdicts")
+    grouped = rounded(metrics.metrics_by_group(found, "truth", "pred", "category"), *M)
+    errors = metrics.first_n(found.where("truth <> pred"), ["session_id"], 100, "rank").select("rank", "session_id", "category", "truth", "pred")
+    rep = Wr.report(grouped, "category", asdict(RuleConfig()), errors)
     Wr.write_json(rep, path)
     back = spark.read.schema(rep.schema).json(path)
-    one = back.select(F.lit("overall").alias("grp"), "overall.*")
-    return one.unionByName(back.select(F.explode("by_category").alias("grp", "m")).select("grp", "m.*"))
+    more = [F.col("config.min_drop").alias("min_drop"), F.size("first_errors").cast("bigint").alias("n_errors"), F.get("first_errors", F.lit(0))["session_id"].alias("first_error")]
+    one = back.select(F.lit("overall").alias("grp"), "overall.*", *more)
+    return one.unionByName(back.select(F.explode("by_category").alias("grp", "m"), *more).select("grp", "m.*", "min_drop", "n_errors", "first_error"))
 
 
 @query("sink_detections", "SELECT CAST(session_id AS BIGINT) AS session_id, frame_idx, event_type, value FROM frames_t")

@@ -78,15 +78,19 @@ def write_summary_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
 
-def report(overall: DataFrame, group: str) -> DataFrame:
-    """One nested record from grouped metrics: the overall row and a map by group."""
+def report(overall: DataFrame, group: str, config: dict[str, float] | None = None, first_errors: DataFrame | None = None) -> DataFrame:
+    """One nested record: config, the overall row of grouped metrics, a map by group, and the first errors (a ranked, bounded table)."""
     values = F.struct(*[c for c in overall.columns if c != group])
-    return overall.agg(
-        F.max(F.when(F.col(group) == "overall", values)).alias("overall"),
-        F.map_from_entries(
-            F.sort_array(F.collect_list(F.when(F.col(group) != "overall", F.struct(F.col(group), values))))
-        ).alias("by_category"),
-    )
+    rows = overall.select(F.col(group).alias("_group"), values.alias("_values"))
+    fields = [
+        F.max(F.when(F.col("_group") == "overall", F.col("_values"))).alias("overall"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("_group") != "overall", F.struct("_group", "_values"))))).alias("by_category"),
+    ]
+    if first_errors is not None:
+        rows = rows.unionByName(first_errors.select(F.struct(*first_errors.columns).alias("_error")), allowMissingColumns=True)
+        fields.append(F.sort_array(F.collect_list("_error")).alias("first_errors"))
+    out = rows.agg(*fields)
+    return out.withColumn("config", F.struct(*[F.lit(v).alias(k) for k, v in config.items()])) if config else out
 
 
 def write_detections(rows: DataFrame, path: str, by: Sequence[str] = ("session_id",)) -> None:
