@@ -15,14 +15,18 @@ from .pose import metrics_sql, verdicts, M, _vg
 from .registry import query, rounded, table
 from .stream import drained
 
-_rows = """SELECT p.session_id, p.frame_idx, p.person_idx, CAST(j AS INTEGER) AS joint, ROUND(COALESCE(x, 0), 6) AS x, ROUND(COALESCE(y, 0), 6) + 0.0E0 AS y, ROUND(COALESCE(c, 0), 6) AS c
-FROM (SELECT DISTINCT session_id, frame_idx, person_idx FROM people_t) p CROSS JOIN (SELECT UNNEST(RANGE(19)) AS j)
-LEFT JOIN people_t k ON k.session_id = p.session_id AND k.frame_idx = p.frame_idx AND k.person_idx = p.person_idx AND k.joint = j"""
+_empty = "frame_idx % 13 = 7"  # frames in which nobody is seen
+_rows = f"""SELECT p.session_id, p.frame_idx, p.person_idx, CAST(j AS INTEGER) AS joint, ROUND(COALESCE(x, 0), 6) AS x, ROUND(COALESCE(y, 0), 6) + 0.0E0 AS y, ROUND(COALESCE(c, 0), 6) AS c
+FROM (SELECT DISTINCT session_id, frame_idx, person_idx FROM people_t WHERE NOT {_empty}) p CROSS JOIN (SELECT UNNEST(RANGE(19)) AS j)
+LEFT JOIN people_t k ON k.session_id = p.session_id AND k.frame_idx = p.frame_idx AND k.person_idx = p.person_idx AND k.joint = j
+UNION ALL SELECT session_id, frame_idx, NULL, CAST(j AS INTEGER), NULL, NULL, 0 FROM (SELECT DISTINCT session_id, frame_idx FROM people_t WHERE {_empty}), (SELECT UNNEST(RANGE(19)) AS j)"""
 
 
 def frame_files(spark, sf) -> str:
     path = new_folder(spark, "people-json")
-    Wr.write_people_json(Wr.people_json(fx.people(spark, sf), 19), path)
+    people = fx.people(spark, sf)
+    every = people.select("session_id", "frame_idx").distinct()
+    Wr.write_people_json(Wr.people_json(people.where(f"NOT ({_empty})"), 19, every=every), path)
     return path
 
 
@@ -44,7 +48,7 @@ def _(spark, sf):
     return named(drained(R.stream_people_json(spark, frame_files(spark, sf), 19), "json-stream"))
 
 
-@query("sink_people_json", """SELECT session_id, frame_idx, COUNT(DISTINCT person_idx) AS n_people, COUNT(*) FILTER (c > 0) AS n_seen FROM people_t GROUP BY ALL""")
+@query("sink_people_json", f"""SELECT session_id, frame_idx, COUNT(DISTINCT person_idx) FILTER (NOT {_empty}) AS n_people, COUNT(*) FILTER (c > 0 AND NOT {_empty}) AS n_seen FROM people_t GROUP BY ALL""")
 def _(spark, sf):
     raw = spark.read.schema(R.PEOPLE_SCHEMA).json(frame_files(spark, sf))
     part = F.split("name", "_")

@@ -32,11 +32,17 @@ def person_maps(people: DataFrame) -> DataFrame:
     )
 
 
-def people_json(people: DataFrame, parts: int = 25, candidates: DataFrame | None = None) -> DataFrame:
-    """Rows (session_id, name, value): the frame's JSON text, optionally with its part candidates."""
+def people_json(people: DataFrame, parts: int = 25, candidates: DataFrame | None = None, every: DataFrame | None = None) -> DataFrame:
+    """Rows (session_id, name, value): the frame's JSON text, optionally with its part candidates.
+
+    ``every`` lists all frames (session_id, frame_idx); those without people get an empty list.
+    """
     flat = person_maps(people).select(*FRAME, "person_idx", _flat(F.col("kps"), parts).alias("pose_keypoints_2d"))
     frames = flat.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("person_idx", "pose_keypoints_2d"))).alias("_p"))
-    body = F.transform("_p", lambda p: F.struct(p["pose_keypoints_2d"].alias("pose_keypoints_2d")))
+    if every is not None:
+        frames = every.select(*FRAME).join(frames, list(FRAME), "left")
+    people_of = F.coalesce("_p", F.array().cast(frames.schema["_p"].dataType))
+    body = F.transform(people_of, lambda p: F.struct(p["pose_keypoints_2d"].alias("pose_keypoints_2d")))
     fields = [F.lit(1.3).alias("version"), F.col("name"), body.alias("people")]
     if candidates is not None:
         triple = F.transform(F.col("candidates"), lambda e: F.array(e["x"], e["y"], e["score"]))

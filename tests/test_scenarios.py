@@ -148,11 +148,11 @@ def test_people_are_assembled(spark):
     from kinetable.operators.candidates import assemble_people
 
     rows = [
-        (0, 0, 0, 0, 0.9, 0.8, 0.9), (0, 1, 0, 0, 0.9, 0.7, 0.8),  # person 0: parts 0-1-2
-        (0, 0, 1, 1, 0.8, 0.5, 0.7),                               # person 1: parts 0-1
-        (0, 1, 1, 0, 0.1, 0.5, 0.1),                               # would join both: part sets overlap
+        (1, 0, 0, 0, 0, 0.9, 0.8, 0.9), (1, 0, 1, 0, 0, 0.9, 0.7, 0.8),  # person 0: parts 0-1-2
+        (1, 0, 0, 1, 1, 0.8, 0.5, 0.7),                                  # person 1: parts 0-1
+        (1, 0, 1, 1, 0, 0.1, 0.5, 0.1),                                  # would join both: part sets overlap
     ]
-    limbs = spark.createDataFrame(rows, "frame_idx bigint, pair_idx int, cand_a int, cand_b int, a_score double, b_score double, score double")
+    limbs = spark.createDataFrame(rows, "session_id bigint, frame_idx bigint, pair_idx int, cand_a int, cand_b int, a_score double, b_score double, score double")
     got = assemble_people(limbs, [(0, 1), (1, 2)]).orderBy("person_idx", "part").collect()
     assert [(r.person_idx, r.part, r.cand_idx) for r in got] == [(0, 0, 0), (0, 1, 0), (0, 2, 0), (1, 0, 1), (1, 1, 1)]
 
@@ -199,8 +199,8 @@ def test_per_file_people_json(spark, tmp_path):
         people_ = [{"pose_keypoints_2d": [float(i)] * 6}] if i else [{"pose_keypoints_2d": [1.0]}]
         (tmp_path / f"{i:012d}_keypoints.json").write_text(json.dumps({"version": 1.3, "people": people_}, indent=1))
     got = read_people_json(spark, str(tmp_path), 2).orderBy("name", "joint").collect()
-    assert [(r.name, r.joint, r.x) for r in got] == [
-        (f"{i:012d}_keypoints", j, float(i)) for i in (1, 2) for j in (0, 1)
+    assert [(r.name, r.joint, r.x, r.c) for r in got] == [
+        (f"{i:012d}_keypoints", j, float(i) if i else None, float(i)) for i in range(3) for j in (0, 1)
     ]
 
 
