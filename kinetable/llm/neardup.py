@@ -47,6 +47,8 @@ MARGIN = 0.25
 NEAR_EQUAL = 0.1
 #: Members of a bucket in a block, shingles in a strip of the incidence matrix.
 BLOCK, STRIP = 512, 8192
+#: Pairs whose registers are compared at a time.
+AT_ONCE = 65_536
 #: Rows of buckets in a task of the search, and of texts in a task of the verification.
 DEAL, TEXTS = 4_000, 1_000
 
@@ -210,18 +212,30 @@ def _search(members: DataFrame, bands: int, percent: int) -> DataFrame:
         n = group.column("n").to_numpy().astype(float)
         regs = _regs(group.column("regs").combine_chunks(), m)
         found = np.zeros(len(key), bool)
-        for left, right in _blocks(key, i, j, part):
-            strip = max(1, 65_536 // max(1, len(right)))
+
+        def judge(x: np.ndarray, y: np.ndarray) -> None:
+            fit = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+            x, y = x[fit], y[fit]
+            equal = regs[x] == regs[y]
+            close = equal.sum(1) >= m * (least - NEAR_EQUAL)
+            close &= equal.reshape(-1, bands, ROWS).all(axis=2).argmax(axis=1) == band[x]  # in the first shared band only
+            x, y = x[close], y[close]
+            good = estimate((regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1), (regs[x] == regs[y]).sum(1), n[x], n[y]) >= least
+            found[x[good]] = found[y[good]] = True
+
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        pairs = 0
+        for left, right in _blocks(key, i, j, part):  # many blocks are tiny, so pairs of several are judged at a time
+            strip = max(1, AT_ONCE // max(1, len(right)))
             for a in range(0, len(left), strip):
-                x, y = np.repeat(left[a : a + strip], len(right)), np.tile(right, len(left[a : a + strip]))
-                fit = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
-                x, y = x[fit], y[fit]
-                equal = regs[x] == regs[y]
-                close = equal.sum(1) >= m * (least - NEAR_EQUAL)
-                close &= equal.reshape(-1, bands, ROWS).all(axis=2).argmax(axis=1) == band[x]  # in the first shared band only
-                x, y = x[close], y[close]
-                good = estimate((regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1), (regs[x] == regs[y]).sum(1), n[x], n[y]) >= least
-                found[x[good]] = found[y[good]] = True
+                some = left[a : a + strip]
+                waiting.append((np.repeat(some, len(right)), np.tile(right, len(some))))
+                pairs += len(some) * len(right)
+                if pairs >= AT_ONCE:
+                    judge(*(np.concatenate(side) for side in zip(*waiting, strict=True)))
+                    waiting, pairs = [], 0
+        if waiting:
+            judge(*(np.concatenate(side) for side in zip(*waiting, strict=True)))
         return group.select(["key", "i", "j", "_part", "doc_id", "component"]).filter(pa.array(found))
 
     return parts.groupBy("_deal").applyInArrow(run, "key long, i int, j int, _part int, doc_id long, component long")
