@@ -8,42 +8,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetable.llm.common import table, written
+from kinetable.llm.common import ready, table, written
 from kinetable.llm.decontaminate import drop_contaminated
 from kinetable.llm.neardup import drop_near_duplicates
 from kinetable.llm.quality import keep_good, train
 from kinetable.llm.secrets import redact_secrets
 from kinetable.llm.subword import encode_and_check
-from kinetable.shipping import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it is trained on the labels that aren't held out."""
-    ship(spark)
+    ready(spark)
     return keep_good(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group: shingles of five words, similarity of 0.8 or more."""
-    ship(spark)
+    ready(spark)
     return drop_near_duplicates(docs, width=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item."""
-    ship(spark)
+    ready(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked, ``n_chars`` counted anew."""
-    ship(spark)
+    ready(spark)
     return redact_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and whether they decode to its text."""
-    ship(spark)
+    ready(spark)
     return encode_and_check(docs)
 
 

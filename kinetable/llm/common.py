@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinetable.scratch import new_folder, written
+from kinetable.shipping import ship
 
 __all__ = ["QUERIES", "ORACLES", "query", "table", "written", "new_folder", "two_columns", "blobs", "lowered_words", "mix64", "slices", "free_name", "ALNUM", "ascii_lower"]
 
@@ -22,9 +25,25 @@ ALNUM = bytes(
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Texts go to the Python workers in Arrow batches of this size, unless the application set another.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """Prepare a session for the operators: the package on the executors, and batches that long texts don't swell."""
+    ship(spark)
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ready(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -76,13 +95,18 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches with about ``limit`` bytes of text each (one row at least)."""
+    """Parts of the batches with about ``limit`` bytes of text each (one row at least).
+
+    Memory that Arrow no longer uses is given back at the end, as workers live on for other stages.
+    """
     for batch in batches:
         at = 0
-        sizes = np.asarray(batch.column(column).cast(pa.binary()).to_pandas().map(lambda x: len(x) if x is not None else 0), dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+    pa.default_memory_pool().release_unused()

@@ -35,7 +35,7 @@ from .common import blobs, free_name, lowered_words, query, slices, table, two_c
 
 WINDOW = 10
 #: Bytes of text in a segment, at most but for longer documents.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 #: Benchmark words broadcast at a time, and terms for which postings are filtered.
 BLOCK_WORDS, VOCABULARY = 4_000_000, 4_000_000
 #: A proximity match finds this share of a window's terms within so many positions of their places.
@@ -75,7 +75,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None, key: str = "doc_id", t
         known: dict[bytes, int] = {}
         ids: dict[int, int] = {}
         for batch in slices(batches, "_text", segment):
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
                 ids.clear()
             split = [lowered_words(x) for x in blobs(batch.column("_text"))]
@@ -217,7 +217,10 @@ def look_up(index: DataFrame, windows: Windows, near: bool = False) -> DataFrame
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: bool = False) -> DataFrame:
-    """One row per row of ``docs`` with all its matches (see ``look_up``)."""
+    """One row per row of ``docs`` with all its matches (see ``look_up``).
+
+    Where the benchmark takes several blocks, rows with equal ids are reported as one.
+    """
     words = benchmark.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n // 4 + 1
     terms = written(vocabulary(benchmark), "benchmark-terms")
     index = written(build_index(docs, terms if terms.count() <= VOCABULARY else None), "training-index")

@@ -120,7 +120,7 @@ def sketches(docs: DataFrame, width: int, bands: int, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = multipliers(ROWS * bands)
         salt = np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        for batch in slices(batches, "_text", 8 << 20):
+        for batch in slices(batches, "_text", 4 << 20):
             n, fp, regs, keys = [], [], [], []
             for data in blobs(batch.column("_text")):
                 items = shingles(data, width)

@@ -143,7 +143,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, accept: float = ACCEPT, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
+        for batch in slices(batches, text, 8 << 20):
             good = []
             for data in blobs(batch.column(at_text)):
                 at, n = features(data)

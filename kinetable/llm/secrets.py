@@ -26,7 +26,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blobs, query, table, two_columns
+from .common import blobs, query, slices, table, two_columns
 
 
 @dataclass(frozen=True)
@@ -290,7 +290,7 @@ def scan_secrets(docs: DataFrame, rules: Iterable[Rule] = RULES, key: str = "doc
     kind_of = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "_text", 8 << 20):
             out = []
             for data in blobs(batch.column("_text")):
                 out.append([{"kind": kinds[k], "start": s, "end": e} for s, k, e in code_points(data, scanner.spans(data))])
@@ -306,7 +306,7 @@ def redact_secrets(docs: DataFrame, rules: Iterable[Rule] = RULES, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = mask.encode()
-        for batch in batches:
+        for batch in slices(batches, text, 8 << 20):
             out = []
             for data in batch.column(at).cast(pa.binary()).to_pylist():
                 spans = scanner.spans(data) if data else []
