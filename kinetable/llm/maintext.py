@@ -8,7 +8,7 @@ of stop words is good and any other is bad.  Inside an article or main element a
 and the element itself speaks for it where none is decided.
 
 Edge cases: a null or empty page has the empty text; cut-off pages and unclosed or stray tags are read as far as
-they go (a tag that never ends is markup); repeated pages give equal rows; nothing is cut from long texts; extra
+they go (a tag that never ends is markup; controls, media and drawings end with their parent); repeated pages give equal rows; nothing is cut from long texts; extra
 columns play no part.
 """
 
@@ -34,8 +34,15 @@ STOP_WORDS = {
 EVERY = frozenset().union(*STOP_WORDS.values())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Content that is never text, whatever is in it.
-DROPPED = "script style noscript template textarea title select button iframe object canvas svg math audio video map".split()
+#: Content that is never text: raw text, which runs to its end tag or to the page's end, and elements, which end with their parent.
+RAW = "script style noscript template textarea title iframe".split()
+HIDDEN = frozenset("select button object canvas svg math audio video map".split())
+#: What a block's start tag ends (a paragraph, if not told otherwise), with a hidden element in it that has no end tag of its own.
+ENDED = {
+    "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "body": {"head"},
+    **{t: {"td", "th", "caption"} for t in ("td", "th")}, "tr": {"td", "th", "tr", "caption"}, **{t: {"td", "th", "tr", "thead", "tbody", "tfoot", "caption"} for t in ("thead", "tbody", "tfoot")},
+}
+SAME = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in HIDDEN}
 BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
 HINT = re.compile(
     r"(?<![a-z])(?<!has-)(?<!no-)(?<!with-)(ads?|advert\w*|banner|breadcrumbs?|captcha|carousel|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|legal|login|menu|modal|nav|navbar|navigation|newsletter|notices?|alert"
@@ -48,8 +55,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 ATTRIBUTE = re.compile(r"""\b(class|id|role|lang|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<drop>{'|'.join(DROPPED)})\b(?:[^>]*/>|[^>]*(?:>|\Z).*?(?:</(?P=drop)\s*(?:>|\Z)|\Z))"
+    rf"|<(?P<drop>{'|'.join(RAW)})(?=[\s/>])(?:[^>]*/>|[^>]*(?:>|\Z).*?(?:</(?P=drop)(?![^\s/>])[^>]*(?:>|\Z)|\Z))"
     r"""|<(?P<close>/?)(?P<tag>[a-z][^\s/><]*)(?P<attrs>(?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>"""
+    rf"|<(?P<odd>{'|'.join(sorted(HIDDEN))})(?=[\s/>])[^>]*>"  # with unpaired quotes
     r"|</?[a-z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -66,8 +74,8 @@ class Block:
 
 
 class Region:
-    def __init__(self, tag: str, kind: int, comments: bool, hidden: bool) -> None:
-        self.tag, self.kind, self.comments, self.hidden = tag, kind, comments, hidden
+    def __init__(self, tag: str, kind: int, comments: bool, hidden: bool, unclosed: bool = False) -> None:
+        self.tag, self.kind, self.comments, self.hidden, self.unclosed = tag, kind, comments, hidden, unclosed
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -77,7 +85,7 @@ def _attributes(text: str) -> dict[str, str]:
 def _region(tag: str, own: dict[str, str], outer: Region) -> Region:
     names = f"{own.get('class', '')} {own.get('id', '')}"
     if tag in ("html", "body"):
-        return Region(tag, 0, False, False)
+        return Region(tag, 0, False, outer.hidden)
     comments = outer.comments or bool(COMMENTS.search(names))
     bad = tag in BAD_TAGS or own.get("role", "").lower() in ROLES or bool(HINT.search(names))
     bad = bad or outer.kind <= 0 and (tag == "header" or bool(HEAD_HINT.search(names)))
@@ -87,7 +95,30 @@ def _region(tag: str, own: dict[str, str], outer: Region) -> Region:
         kind = 1
     else:
         kind = outer.kind
-    return Region(tag, kind, comments, outer.hidden or "hidden" in own)
+    if "hidden" in own:
+        kind, comments = outer.kind, outer.comments
+    return Region(tag, kind, comments, "hidden" in own)
+
+
+def _close(stack: list[Region], tag: str) -> None:
+    """End the innermost element of this name and what is in it."""
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k].tag == tag:
+            del stack[k:]
+            break
+
+
+def _stays_hidden(stack: list[Region], tag: str, close: bool) -> bool:
+    """Whether a tag inside a hidden region leaves the text before it going on; hidden elements that a start tag ends are taken off."""
+    if close:  # of something hidden, or of nothing that is open
+        return next((x.hidden for x in reversed(stack) if x.tag == tag), True)
+    if tag in BLOCKS:
+        k = len(stack) - 1
+        while stack[k].unclosed:
+            k -= 1
+        if stack[k].tag in ENDED.get(tag, {"p"}):
+            del stack[k + 1 :]
+    return stack[-1].hidden
 
 
 def blocks(page: str) -> tuple[list[Block], str]:
@@ -100,13 +131,15 @@ def blocks(page: str) -> tuple[list[Block], str]:
     def finish() -> None:
         nonlocal linked, heading
         text = " ".join("".join(parts).split()) if parts else ""
-        if text and not stack[-1].hidden:
+        if text:
             out.append(Block(text, min(linked, len(text)), stack[-1].kind, heading))
         parts.clear()
         linked, heading = 0, False
 
     def put(piece: str) -> None:
         nonlocal linked, breaks
+        if stack[-1].hidden:
+            return
         piece = unescape(piece) if "&" in piece else piece
         parts.append(piece)
         if piece.strip():
@@ -118,11 +151,24 @@ def blocks(page: str) -> tuple[list[Block], str]:
         if m.start() > at:
             put(page[at : m.start()])
         at = m.end()
-        tag = (m["tag"] or "").lower()
+        tag = (m["tag"] or m["odd"] or "").lower()
         if not tag:
             if m["drop"]:
                 parts.append(" ")
             continue
+        if tag in HIDDEN and not m["close"] and not (m["attrs"] or "").endswith("/"):
+            if stack[-1].tag == tag and tag in ("select", "button"):  # these end where the next begins
+                stack.pop()
+            parts.append(" ")
+            end = SAME[tag].search(page, at)
+            stack.append(Region(tag, stack[-1].kind, stack[-1].comments, True, not (end and end[1])))
+            continue
+        if stack[-1].hidden and _stays_hidden(stack, tag, bool(m["close"])):
+            if m["close"]:
+                _close(stack, tag)
+            elif tag in BLOCKS and tag not in VOID and not m["attrs"].endswith("/"):
+                stack.append(Region(tag, stack[-1].kind, stack[-1].comments, True))
+            continue
         if tag == "br":
             breaks += 1
             if breaks > 1:
@@ -136,10 +182,7 @@ def blocks(page: str) -> tuple[list[Block], str]:
             finish()
             in_link = in_link if tag != "p" else 0
         if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            _close(stack, tag)
         elif tag not in VOID and (tag in BLOCKS or m["attrs"]) and not m["attrs"].endswith("/"):
             own = _attributes(m["attrs"])
             lang = lang or (own.get("lang", "") if tag == "html" else "")

@@ -32,6 +32,31 @@ def test_pages(page, text):
     assert M.main_text(page) == text
 
 
+@pytest.mark.parametrize("tag", "video-js svg-icon button-group map-view select-box object-view script-box".split())
+def test_custom_elements_are_ordinary(tag):
+    assert M.main_text(f"<article><p>{LONG}</p><{tag} id=v></{tag}><p>{NEXT}</p></article>") == f"{LONG}\n{NEXT}"
+
+
+@pytest.mark.parametrize("tag", "select button object canvas svg math audio video map".split())
+def test_hidden_elements_end_with_their_parent(tag):
+    for page in (
+        f"<article><p>{LONG}</p><div><{tag} a='b > c'>no</div><p>{NEXT}</p></article>",
+        f"<article><p>{LONG}</p><table><tr><td><{tag}>no<td>{NEXT}</table></article>",
+        f"<article><p>{LONG}</p><p>{NEXT}<{tag} class=share><div>no</div>no</{tag}></p></article>",
+        f"<article><p>{LONG}<{tag} class=share>no<p>{NEXT}</article><footer><{tag}>no</{tag}></footer>",
+        f"<article><p>{LONG}</p><p>{NEXT}<{tag} a='b>no</{tag}></p></article>",
+    ):
+        assert M.main_text(page) == f"{LONG}\n{NEXT}"
+    assert M.main_text(f"<article><p>One <{tag} id=x><div>no<br><br>no</div></{tag}> two <{tag}/> three</p></article>") == "One two three"
+
+
+def test_ends_of_raw_text_and_of_unclosed_paragraphs():
+    assert M.main_text(f"<article><p>{LONG}</p><script>var a = '<p>{NEXT}</p>'</article>") == LONG
+    assert M.main_text(f"<article><p>{LONG}<video src=x>no<p>{NEXT}</article>") == f"{LONG}\n{NEXT}"
+    assert M.main_text(f"<article><p>{LONG}<object data=x><p>no</p></object></p><p>{NEXT}</article>") == f"{LONG}\n{NEXT}"
+    assert M.main_text(f"<article><p>One <object><object>no</object>no</object>two <span hidden>no</span>three</p></article>") == "One two three"
+
+
 def test_nothing_is_cut_from_long_pages():
     page = "<article>" + "".join(f"<p>{LONG} {k}</p>" for k in range(3000)) + "</article>"
     assert M.main_text(page) == "\n".join(f"{LONG} {k}" for k in range(3000))
