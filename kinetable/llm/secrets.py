@@ -4,7 +4,8 @@ Each rule's regular expression becomes a byte automaton (Thompson), the union of
 deterministic by subset construction, its states are merged by partition refinement, and the result is
 stored as rows of transitions.  A scan walks these rows over the UTF-8 bytes of a text, once for all
 rules.  Where the walk says that a match of a rule ends, the rule's backward automaton finds the
-leftmost start after the rule's last match and its forward automaton the longest end.
+leftmost start after the rule's last match and its forward automaton the longest end, which may lie
+behind the pattern where the rule says what follows it (the body of a key behind its header).
 
 Rules must be such that a match which begins later does not end before one that began earlier; all
 rules here are (their inner parts cannot hold a second head and separator).
@@ -31,12 +32,26 @@ from .common import blobs, query, slices, table, two_columns
 
 @dataclass(frozen=True)
 class Rule:
-    """``least`` bounds the length of the whole match, ``tail`` that from the first byte with which the rule can end."""
+    """``least`` bounds the length of the whole match, ``tail`` that from the first byte with which the rule can end.
+
+    ``more`` may follow the pattern, may be empty, and belongs to the match as far as it goes.
+    """
 
     kind: str
     pattern: str
     least: int = 1
     tail: int = 1
+    more: str = ""
+
+
+#: What follows a key's header: anything that armour, quoting or source code puts between it and the end line; or, if the end
+#: is missing, header lines, long runs of base64 and a last one.  Neither runs over a second header.
+BLANK = r"""(?:[\x20\t\r\n"',>|#*]|\\[nrt\r\n])"""
+GAP = rf"(?:{BLANK}+(?:[+]{BLANK}+)*)"
+KEY_BODY = (
+    r"""(?:(?:[A-Za-z0-9+/=\x20\t\r\n\\"'`,:;.()<>|#*&@_]|-[A-Za-z0-9])*-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----"""
+    rf"""|(?:{GAP}(?:Proc-Type|DEK-Info):\x20*(?:[A-Za-z0-9,]|-[A-Za-z0-9])*)*(?:(?:{GAP}[A-Za-z0-9+/=]{{16,}})+(?:{GAP}[A-Za-z0-9+/=]+)?|{BLANK}*(?:[\r\n]|\\n){BLANK}*[A-Za-z0-9+/=]+)?)?"""
+)
 
 
 #: The first three are the base rules.  A run of hexadecimal digits shorter than its bound can't match, so part of
@@ -49,7 +64,7 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=20),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", least=40),
     Rule("stripe", r"[rs]k_live_[0-9A-Za-z]+", least=24),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", more=KEY_BODY),
 )
 BASE = ("assign", "access", "hex")
 
@@ -220,7 +235,9 @@ class Scanner:
             own = Nfa()
             a = own.state()
             b = own.add(tree, a)
-            self.forward.append(Dfa(own, [a], {b: 0}, restart=False))
+            longer = Nfa()
+            longer.state()
+            self.forward.append(Dfa(longer, [0], {longer.add(P.parse(rule.pattern + rule.more), 0): 0}, restart=False))
             self.backward.append(Dfa(own.reversed(), [b], {a: 0}, restart=False))
         self.combined = Dfa(whole, starts, ends, restart=True)
 

@@ -30,6 +30,29 @@ def test_own_rules():
     assert kinds == ["github", "slack", "jwt", "stripe", "pem"]
 
 
+def test_keys_are_masked_with_body_and_end():
+    scanner, rng = S.Scanner(), random.Random(7)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    body = ["".join(rng.choice(signs) for _ in range(64)) for _ in range(12)] + ["qx7Zk+/A=="]
+
+    def left(text):
+        data, out, at = text.encode(), [], 0
+        for s, _, e in scanner.spans(data):
+            out, at = [*out, data[at:s]] if s >= at else out, max(at, e)
+        return b"".join([*out, data[at:]]).decode()
+
+    for kind in ("", "RSA ", "ENCRYPTED ", "OPENSSH "):
+        head, end = f"-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----"
+        for line in ("\n", "\r\n", "\\n", " ", "\n    ", '\\n" +\n  "', "\n> "):
+            for more in ((), ("Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,0123456789ABCDEF", "")):
+                key = line.join([head, *more, *body, end])
+                assert left(f"é before {key} after. {key}\nlast words") == "é before  after. \nlast words"
+                assert left(f"é before {line.join([head, *more, *body])}. after") == "é before . after"
+                assert left(f"cut {line.join([head, *more, *body])} {key}") in ("cut ", "cut  ")
+    assert left(f"The line {head} is followed by base64 (see below). Then come words.") == "The line  is followed by base64 (see below). Then come words."
+    assert left(f"x\n{head}\nMIIEpA") == "x\n"
+
+
 def test_minimised_automaton_has_no_equal_states():
     dfa = S.Scanner([S.Rule("a", "ab|cb"), S.Rule("b", "[0-9]{3,}")]).combined
     assert len({(m, tuple(t)) for m, t in zip(dfa.marks, dfa.transitions)}) == len(dfa.transitions)
