@@ -8,7 +8,8 @@ A test item is cut into windows of consecutive words.  For each window the segme
 from the rarest term on (rarest by occurrences in all documents): the rarest list gives the starts, shifted by
 the term's offset in the window, and each further term removes the starts that its own shifted list lacks.
 What is left after all terms is an exact phrase match; starts of which most terms are found
-within ``slack`` positions are proximity matches.
+within ``SLACK`` positions are proximity matches.  As some terms may be missing there, their starts come from the lists of
+as many of the rarest terms as must have one in any such place; each occurrence tells the best start around it.
 
 Benchmark terms and windows go to the tasks in blocks of at most ``BLOCK_WORDS`` words, each block of items in a pass
 over the stored index, so that what is broadcast is bounded however large the benchmark is; the vocabulary filter is
@@ -40,6 +41,8 @@ SEGMENT = 1 << 20
 BLOCK_WORDS, VOCABULARY = 4_000_000, 4_000_000
 #: A proximity match finds this share of a window's terms within so many positions of their places.
 SHARE, SLACK = 0.8, 2
+#: Candidate places that are judged at a time.
+PLACES = 1 << 18
 
 SEGMENTS = "doc_ids array<long>, n_words array<int>, terms array<long>, offsets array<int>, postings array<int>"
 
@@ -137,52 +140,79 @@ class Windows:
             self.offset[k, : len(w)] = order
 
     def matches(self, n_words: np.ndarray, terms: np.ndarray, offsets: np.ndarray, postings: np.ndarray, near: bool):
-        """(window, start, exact) of the places in one segment."""
+        """(window, document, start, exact) of the places in one segment; a proximity match may stand out over a document's ends."""
         total = int(n_words.sum())
         if not len(self.size) or not len(terms) or not total:
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
         by_name = np.argsort(terms, kind="stable")
         names = terms[by_name]
         spot = np.minimum(np.searchsorted(names, self.terms), len(names) - 1)
         local = np.where((names[spot] == self.terms) & (self.offset >= 0), by_name[spot], -1)
-        rare = np.flatnonzero(local[:, 0] >= 0)
-        if not near:
-            rare = rare[((local[rare] >= 0) | (self.offset[rare] < 0)).all(axis=1)]
-        if not len(rare):
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
-        # the rarest list of every window, shifted to the window's start
-        low, high = offsets[local[rare, 0]].astype(np.int64), offsets[local[rare, 0] + 1].astype(np.int64)
-        many = high - low
-        window = np.repeat(rare, many)
-        entry = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-        start = postings[entry].astype(np.int64) - self.offset[window, 0]
         # lists answer "is this place in the list of that term" by the term at each place
         at_place = np.full(total, -2, np.int64)
         at_place[postings] = np.repeat(np.arange(len(terms)), np.diff(offsets))
         doc_end = np.cumsum(n_words)
-        doc_of = np.searchsorted(doc_end, postings[entry], "right")
-        begin = doc_end[doc_of] - n_words[doc_of]
-        inside = (start >= begin) & (start + self.size[window] <= doc_end[doc_of])
-        keep = np.flatnonzero(inside)
+        rare = np.flatnonzero(((local >= 0) | (self.offset < 0)).all(axis=1))
+        found = [self._exact(part, places, local, at_place, doc_end, n_words) for part, places in _listed(rare, local[rare, 0], offsets, postings)]
+        if near:
+            most = np.maximum(2, np.ceil(SHARE * self.size)).astype(np.int64)
+            fit = ((local >= 0).sum(axis=1) >= most) & (self.size >= most)
+            for k in range(self.terms.shape[1]):
+                rare = np.flatnonzero(fit & (k <= self.size - most) & (local[:, k] >= 0))
+                found += [self._near(part, places, k, most, local, at_place, doc_end, n_words) for part, places in _listed(rare, local[rare, k], offsets, postings)]
+        window, doc, start, exact = (np.concatenate([np.zeros(0, t), *(f[c] for f in found)]) for c, t in enumerate((np.int64, np.int64, np.int64, bool)))
+        # one of each place, an exact match before a proximity match there
+        order = np.lexsort((~exact, start, doc, window))
+        window, doc, start, exact = window[order], doc[order], start[order], exact[order]
+        first = np.ones(len(window), bool)
+        first[1:] = (window[1:] != window[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+        return window[first], doc[first], start[first], exact[first]
+
+    def _exact(self, window, places, local, at_place, doc_end, n_words):
+        """Exact matches among the places of each window's rarest term."""
+        start = places - self.offset[window, 0]
+        doc = np.searchsorted(doc_end, places, "right")
+        keep = np.flatnonzero((start >= doc_end[doc] - n_words[doc]) & (start + self.size[window] <= doc_end[doc]))
         for k in range(1, self.terms.shape[1]):
             if not len(keep):
                 break
             off = self.offset[window[keep], k]
-            ok = (off < 0) | (at_place[np.minimum(start[keep] + off, total - 1)] == local[window[keep], k])
+            ok = (off < 0) | (at_place[np.minimum(start[keep] + off, len(at_place) - 1)] == local[window[keep], k])
             keep = keep[ok]
-        exact = np.zeros(len(window), bool)
-        exact[keep] = True
-        if near:
-            count = np.zeros(len(window), np.int64)
-            for k in range(self.terms.shape[1]):
-                off, hit = self.offset[window, k], np.zeros(len(window), bool)
-                for d in range(-SLACK, SLACK + 1):
-                    place = start + off + d
-                    fine = (off >= 0) & (place >= begin) & (place < doc_end[doc_of])
-                    hit |= fine & (at_place[np.clip(place, 0, total - 1)] == local[window, k]) & (local[window, k] >= 0)
-                count += hit
-            keep = np.flatnonzero(exact | (count >= np.maximum(2, np.ceil(SHARE * self.size[window]))))
-        return window[keep], start[keep], exact[keep]
+        return window[keep], doc[keep], start[keep], np.ones(len(keep), bool)
+
+    def _near(self, window, places, anchor, most, local, at_place, doc_end, n_words):
+        """The best start around each place of the windows' term ``anchor`` at which enough terms are found."""
+        start = places - self.offset[window, anchor]
+        doc = np.searchsorted(doc_end, places, "right")
+        begin, end = doc_end[doc] - n_words[doc], doc_end[doc]
+        shifts = range(-SLACK, SLACK + 1)
+        count = np.zeros((len(window), len(shifts)), np.int8)
+        for k in range(self.terms.shape[1]):
+            term, off = local[window, k], self.offset[window, k]
+            there = np.zeros((len(window), 4 * SLACK + 1), bool)
+            for d in range(-2 * SLACK, 2 * SLACK + 1):
+                place = start + off + d
+                there[:, d + 2 * SLACK] = (term >= 0) & (place >= begin) & (place < end) & (at_place[np.clip(place, 0, len(at_place) - 1)] == term)
+            for j in range(len(shifts)):
+                count[:, j] += there[:, j : j + 2 * SLACK + 1].any(axis=1)
+            # no start that has missed too many terms can be one
+            open_ = count.max(axis=1) + np.maximum(self.size[window] - k - 1, 0) >= most[window]
+            window, doc, start, begin, end, count = (x[open_] for x in (window, doc, start, begin, end, count))
+        rank = count.astype(np.int64) * (SLACK + 1) - np.abs(np.array(shifts))
+        return window, doc, start + np.argmax(rank, axis=1) - SLACK, np.zeros(len(window), bool)
+
+
+def _listed(windows: np.ndarray, lists: np.ndarray, offsets: np.ndarray, postings: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places in the list of each window, in parts of about ``PLACES`` (window, place) pairs."""
+    low, many = offsets[lists].astype(np.int64), (offsets[lists + 1] - offsets[lists]).astype(np.int64)
+    ends, at = np.cumsum(many), 0
+    while at < len(windows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PLACES, "right")))
+        n = many[at:to]
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)
+        yield np.repeat(windows[at:to], n), postings[entry].astype(np.int64)
+        at = to
 
 
 HITS = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<long>, exact array<boolean>"
@@ -198,19 +228,20 @@ def look_up(index: DataFrame, windows: Windows, near: bool = False) -> DataFrame
             for row in range(batch.num_rows):
                 ids, n, terms, offsets, postings = (batch.column(c)[row].values for c in range(5))
                 n = n.to_numpy()
-                window, start, exact = w.matches(n, terms.to_numpy(), offsets.to_numpy(), postings.to_numpy(), near)
+                window, doc, start, exact = w.matches(n, terms.to_numpy(), offsets.to_numpy(), postings.to_numpy(), near)
                 owners = [w.owners[k] for k in window]
                 many = np.array([len(o) for o in owners], np.int64)
                 item = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-                start, exact, size = np.repeat(start, many), np.repeat(exact, many), np.repeat(w.size[window], many)
+                doc, start, exact, size = np.repeat(doc, many), np.repeat(start, many), np.repeat(exact, many), np.repeat(w.size[window], many)
                 ends = np.cumsum(n)
-                doc = np.searchsorted(ends, start, "right")
                 order = np.lexsort((item, start, doc))
                 doc, start, item, exact, size = doc[order], start[order], item[order], exact[order], size[order]
                 first = start - (ends - n)[doc]
+                last = np.minimum(first + size, n[doc])
+                first = np.maximum(first, 0)
                 bounds = pa.array(np.searchsorted(doc, np.arange(len(n) + 1)).astype(np.int32))
                 names = pa.array(w.items, pa.int64()).take(pa.array(item))
-                lists = [pa.array(first.astype(np.int32)), pa.array((first + size).astype(np.int32)), names, pa.array(exact)]
+                lists = [pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), names, pa.array(exact)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *(pa.ListArray.from_arrays(bounds, x) for x in lists)], [f.split()[0] for f in HITS.split(", ")])
 
     return index.mapInArrow(run, HITS)
