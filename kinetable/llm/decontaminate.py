@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -44,7 +45,7 @@ SHARE, SLACK = 0.8, 2
 #: Candidate places that are judged at a time.
 PLACES = 1 << 18
 
-SEGMENTS = "doc_ids array<long>, n_words array<int>, terms array<long>, offsets array<int>, postings array<int>"
+SEGMENTS = "segment long, doc_ids array<long>, n_words array<int>, terms array<long>, offsets array<int>, postings array<int>"
 
 
 def vocabulary(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -77,7 +78,8 @@ def build_index(docs: DataFrame, terms: DataFrame | None, key: str = "doc_id", t
         keep = wanted.value if wanted is not None else None
         known: dict[bytes, int] = {}
         ids: dict[int, int] = {}
-        for batch in slices(batches, "_text", segment):
+        number = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(slices(batches, "_text", segment)):
             if len(known) > 200_000:
                 known.clear()
                 ids.clear()
@@ -93,7 +95,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None, key: str = "doc_id", t
             used, first = np.unique(local, return_index=True)
             names = np.fromiter(ids, np.int64, len(ids))[used]
             yield pa.RecordBatch.from_arrays(
-                [_one(batch.column("_id")), _one(n), _one(names), _one(np.append(first, len(places)).astype(np.int32)), _one(places.astype(np.int32))],
+                [pa.array([number + k], pa.int64()), _one(batch.column("_id")), _one(n), _one(names), _one(np.append(first, len(places)).astype(np.int32)), _one(places.astype(np.int32))],
                 [f.split()[0] for f in SEGMENTS.split(", ")],
             )
 
@@ -215,18 +217,18 @@ def _listed(windows: np.ndarray, lists: np.ndarray, offsets: np.ndarray, posting
         at = to
 
 
-HITS = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<long>, exact array<boolean>"
+HITS = "segment long, place int, doc_id long, n_words long, starts array<int>, ends array<int>, items array<long>, exact array<boolean>"
 
 
 def look_up(index: DataFrame, windows: Windows, near: bool = False) -> DataFrame:
-    """One row per document: the matched places (``starts``, ``ends``: words from 0) with the item and whether exact. Narrow."""
+    """One row per document, told apart by its segment and place in it: the matched places (``starts``, ``ends``: words from 0) with the item and whether exact. Narrow."""
     shared = index.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, n, terms, offsets, postings = (batch.column(c)[row].values for c in range(5))
+                ids, n, terms, offsets, postings = (batch.column(c)[row].values for c in range(1, 6))
                 n = n.to_numpy()
                 window, doc, start, exact = w.matches(n, terms.to_numpy(), offsets.to_numpy(), postings.to_numpy(), near)
                 owners = [w.owners[k] for k in window]
@@ -242,16 +244,13 @@ def look_up(index: DataFrame, windows: Windows, near: bool = False) -> DataFrame
                 bounds = pa.array(np.searchsorted(doc, np.arange(len(n) + 1)).astype(np.int32))
                 names = pa.array(w.items, pa.int64()).take(pa.array(item))
                 lists = [pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), names, pa.array(exact)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *(pa.ListArray.from_arrays(bounds, x) for x in lists)], [f.split()[0] for f in HITS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch.column(0)[row].as_py(), np.int64)), pa.array(np.arange(len(n), dtype=np.int32)), ids, pa.array(n.astype(np.int64)), *(pa.ListArray.from_arrays(bounds, x) for x in lists)], [f.split()[0] for f in HITS.split(", ")])
 
     return index.mapInArrow(run, HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: bool = False) -> DataFrame:
-    """One row per row of ``docs`` with all its matches (see ``look_up``).
-
-    Where the benchmark takes several blocks, rows with equal ids are reported as one.
-    """
+    """One row per row of ``docs`` with all its matches (see ``look_up``)."""
     words = benchmark.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n // 4 + 1
     terms = written(vocabulary(benchmark), "benchmark-terms")
     index = written(build_index(docs, terms if terms.count() <= VOCABULARY else None), "training-index")
@@ -266,13 +265,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
         rows = sorted(((r._id, r._text.encode()) for r in own.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         parts.append(look_up(index, Windows(rows, often, window), near))
     if blocks == 1:
-        return parts[0]
-    whole = parts[0].select("doc_id", F.lit(0).alias("_part"), *[c.split()[0] for c in HITS.split(", ")[1:]])
-    for k, part in enumerate(parts[1:], 1):
-        whole = whole.unionByName(part.withColumn("_part", F.lit(k)))
+        return parts[0].drop("segment", "place")
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
     lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items", "exact")]
-    # a document has as many rows as there are blocks
-    return whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *lists)
+    # a place in a segment has as many rows as there are blocks, all of one document
+    return whole.groupBy("segment", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists).drop("segment", "place")
 
 
 def summarised(hits: DataFrame) -> DataFrame:

@@ -69,6 +69,15 @@ def test_proximity(spark):
     assert got == {1: [(9, True)], 2: [(9, False)], 3: [], 4: []}
 
 
+def test_blocks_keep_rows_with_null_and_repeated_ids(spark, texts, items, monkeypatch):
+    some = [(i, t) for i, t in texts if t is None or len(t) < 10_000] + [(200, "the " * 40), (200, "x one TWO y"), (200, "clean"), (None, "the " * 12), (None, "clean too"), (None, None)]
+    table = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (4_000_000, 20):
+        monkeypatch.setattr(D, "BLOCK_WORDS", block)
+        assert rows(D.summarised(D.decontaminate(table, bench))) == brute(some, items)
+
+
 def test_empty_tables(spark, docs, empty):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert D.summarised(D.decontaminate(empty, bench)).count() == 0
