@@ -274,8 +274,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     return whole.groupBy("segment", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists).drop("segment", "place")
 
 
-def summarised(hits: DataFrame) -> DataFrame:
-    """Counts and digest of the exact matches: one row per document."""
+def _covered(n: int, start: np.ndarray, end: np.ndarray) -> int:
+    """Words of a document of ``n`` that lie in at least one place."""
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, start, 1)
+    np.add.at(cover, end, -1)
+    return int((np.cumsum(cover)[:n] > 0).sum())
+
+
+def summarised(hits: DataFrame, near: bool = False) -> DataFrame:
+    """Counts and digest of the exact matches: one row per document.
+
+    With ``near``, also those of the proximity matches: words in them, and items that are matched so and not exactly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,19 +294,22 @@ def summarised(hits: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 start, end, item, exact = (batch.column(c)[k].values for c in ("starts", "ends", "items", "exact"))
                 good = exact.to_numpy(zero_copy_only=False).astype(bool)
-                n, n_hit, told = batch.column("n_words")[k].as_py(), 0, []
-                if good.any():
-                    cover = np.zeros(n + 1, np.int64)
-                    np.add.at(cover, start.to_numpy()[good], 1)
-                    np.add.at(cover, end.to_numpy()[good], -1)
-                    n_hit = int((np.cumsum(cover)[:n] > 0).sum())
-                    told = sorted({str(i) for i, g in zip(item.to_pylist(), good, strict=True) if g and i is not None})
-                out.append((n_hit, len(told), hashlib.sha256(",".join(told).encode()).hexdigest(), n_hit > 0))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            types = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return hits.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+                n, n_hit, told, n_near, close = batch.column("n_words")[k].as_py(), 0, [], 0, []
+                if len(good):
+                    start, end, item = start.to_numpy(), end.to_numpy(), item.to_pylist()
+                    n_hit = _covered(n, start[good], end[good]) if good.any() else 0
+                    told = sorted({str(i) for i, g in zip(item, good, strict=True) if g and i is not None})
+                    if near:
+                        n_near = _covered(n, start[~good], end[~good])
+                        close = sorted({str(i) for i, g in zip(item, good, strict=True) if not g and i is not None} - set(told))
+                out.append((n_hit, len(told), hashlib.sha256(",".join(told).encode()).hexdigest(), n_hit > 0, n_near, ",".join(close)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            cols, types = cols[: 6 if near else 4], [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *(pa.array(c, t) for c, t in zip(cols, types))], names)
+
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + (", n_near long, near_items string" if near else "")
+    names = [f.split()[0] for f in schema.split(", ")]
+    return hits.mapInArrow(run, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -329,3 +343,9 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 @query("op6_decontaminate", SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarised(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op6_proximity")
+def op6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_decontaminate, with the proximity matches in two more."""
+    return summarised(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=True), near=True)

@@ -78,6 +78,31 @@ def test_blocks_keep_rows_with_null_and_repeated_ids(spark, texts, items, monkey
         assert rows(D.summarised(D.decontaminate(table, bench))) == brute(some, items)
 
 
+def test_proximity_without_the_rarest_words(spark):
+    w = [f"word{k}" for k in range(19)]
+    filler = " ".join(w[:9] + w[10:]) + " "
+    docs = [
+        (1, " ".join([*w[:9], "changed", *w[10:]])),  # no ten unchanged words in a row; word9 occurs nowhere
+        (2, " ".join(w[:4])), (3, filler.replace("word12 ", "").replace("word3 ", "") * 3), (4, "lead in " + " ".join(w[2:9]) + " lead out"),
+        (None, " ".join(w[2:9] + ["x"] + w[10:12])), (None, "clean"), (5, "end " + " ".join(w[:8])), (6, " ".join(w[11:])),
+    ]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(9, " ".join(w))], "item_id long, text string")
+    got = D.summarised(D.decontaminate(table, bench, near=True), near=True).collect()
+
+    def close(text):
+        have = text.split()
+        for a in range(10):
+            for s in range(-10, len(have)):
+                if sum(any(w[a + k] == have[p] for p in range(max(0, s + k - 2), min(len(have), s + k + 3))) for k in range(10)) >= 8:
+                    return "9"
+        return ""
+
+    want = [(d, False, close(t)) for d, t in docs]
+    assert sorted(map(str, ((r.doc_id, r.contaminated, r.near_items) for r in got))) == sorted(map(str, want))
+    assert [n for _, _, n in want] == ["9", "", "9", "", "9", "", "9", "9"] and all((r.n_near > 0) == (r.near_items != "") and r.n_near <= r.n_words for r in got)
+
+
 def test_empty_tables(spark, docs, empty):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert D.summarised(D.decontaminate(empty, bench)).count() == 0
