@@ -5,9 +5,10 @@ a response, the others as revisits that refer to it; digests of payload and bloc
 writer puts the records into files of at most ``RECORDS`` in any store that the engine can write.
 
 Reader: every record is checked (version line, headers, length, the two line ends behind the block, digests; a gzip
-member also its checksum).  Where a check fails, the reader searches on for the next version line or member from which a valid record
+member also its checksum, which is that of a record alone in it).  Where a check fails, the reader searches on for the next version line or member from which a valid record
 can be read, goes on there, and logs the bytes in between as quarantined.  Plain files, files with a gzip member per
-record and files with several records in a member are read.
+record and files with several records in a member are read; the content of such a member is searched in the same way.  Of one that
+is cut off, the whole records are kept, of one that can't be unpacked to its end those whose block digest holds.
 
 Edge cases: a null payload is empty; empty payloads are payloads like others; a null url gives a record without target;
 a null id is written as an empty one and read as null, and is no one's response unless all ids of its payload are null;
@@ -141,47 +142,90 @@ def payload_of(block: bytes) -> bytes:
     return block[block.find(b"\r\n\r\n") + 4 :] if b"\r\n\r\n" in block else block
 
 
-def _read_at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records that begin at ``at`` (one, or those of a gzip member) and the place behind them."""
-    if data[at : at + 3] != MEMBER:
+def _read_at(data: bytes, at: int, members: bool = True) -> tuple[list[Record | tuple[int, int, str]], int, str]:
+    """The records that begin at ``at`` (one, or those of a gzip member with the gaps between them), the place behind them, and what ends a member before its end."""
+    if not members or data[at : at + 3] != MEMBER:
         headers, block, end = read_record(data, at)
-        return [Record(at, end - at, headers, block)], end
+        return [Record(at, end - at, headers, block)], end, ""
     unzip = zlib.decompressobj(31)
     try:
         inner = unzip.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged("member") from e
-    if not unzip.eof:
-        raise Damaged("member")
-    end, k, out = len(data) - len(unzip.unused_data), 0, []
-    while k < len(inner):
-        headers, block, k = read_record(inner, k)
-        out.append(Record(at, end - at, headers, block))
-    return out, end
-
-
-def _next(data: bytes, at: int) -> int:
+        end, broken = len(data) - len(unzip.unused_data), not unzip.eof
+        garbled = False
+    except zlib.error:
+        inner, end = _unpacked(data, at)
+        broken = garbled = True
+    if broken:  # what was unpacked may run on into a whole member
+        start = _next(data, at, (MEMBER,))
+        while start < end:
+            try:
+                _read_at(data, start)
+            except Damaged:
+                start = _next(data, start, (MEMBER,))
+                continue
+            return _read_at(data[:start], at)
+    found = list(salvage(inner, members=False))
+    kept = [x for x in found if isinstance(x, Record) and (not garbled or x.headers.get("warc-block-digest", "").startswith("sha1:"))]
+    if not kept or broken and kept[0].length == len(inner):
+        raise Damaged("member" if broken else found[0][2] if found else "version line")
+    out: list[Record | tuple[int, int, str]] = []
+    done = 0
+    for x in [*kept, None]:  # what lies between the records that are kept
+        to = x.offset if x else len(inner)
+        if to > done:
+            why = next((y[2] for y in found if isinstance(y, tuple) and done <= y[0] < to), "member")
+            out.append((at, end - at, f"{why}: bytes {done} to {to} of the member's content"))
+        if x:
+            out.append(Record(at, end - at, x.headers, x.block))
+            done = x.offset + x.length
+    return out, end, f"member: content behind byte {len(inner)}" if broken else ""
+
+
+def _unpacked(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int]:
+    """Content of a damaged member as far as it can be unpacked, and the place at which that ends."""
+    unzip, out = zlib.decompressobj(31), []
+    while at < len(data):
+        before = unzip.copy()
+        try:
+            out.append(unzip.decompress(data[at : at + step]))
+        except zlib.error:
+            if step == 1:
+                break
+            unzip, step = before, 1  # byte by byte up to the error
+            continue
+        at += step
+    return b"".join(out), min(at, len(data))
+
+
+def _next(data: bytes, at: int, signs: tuple[bytes, ...] = (b"WARC/1.", MEMBER)) -> int:
     """Next place behind ``at`` at which a version line or a member may begin, or the end."""
-    places = [data.find(sign, at + 1) for sign in (b"WARC/1.", MEMBER)]
+    places = [data.find(sign, at + 1) for sign in signs]
     return min([x for x in places if x >= 0], default=len(data))
 
 
-def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Records of an archive in order, and (offset, length, reason) of the gaps between them."""
+def salvage(data: bytes, members: bool = True) -> Iterator[Record | tuple[int, int, str]]:
+    """Records of an archive in order, and (offset, length, reason) of the gaps between them.
+
+    Gaps in a member have the member's offset and length, and their place in its content in the reason.
+    """
     at, gap, reason = 0, -1, ""
     while at < len(data):
         try:
-            found, end = _read_at(data, at)
+            found, end, broken = _read_at(data, at, members)
         except Damaged as e:
             if gap < 0:
                 gap, reason = at, str(e)
-            at = _next(data, at)
+            at = _next(data, at, (b"WARC/1.", MEMBER) if members else (b"WARC/1.",))
             continue
         if gap >= 0:
             yield gap, at - gap, reason
             gap = -1
         yield from found
-        at = end
+        if broken:
+            gap, reason = at, broken
+            at = _next(data, end - 1)
+        else:
+            at = end
     if gap >= 0:
         yield gap, len(data) - gap, reason
 

@@ -46,6 +46,31 @@ def test_members_with_several_records_and_wrong_lengths():
     assert ids == [0, 2] and gaps[0][:2] == (len(RECORDS[0]), len(wrong))
 
 
+def test_members_with_damaged_records():
+    wrong = RECORDS[2].replace(b"page 2", b"page X", 1)
+    whole = b"".join([*RECORDS[:2], wrong, *RECORDS[3:]])
+    packed = gzip.compress(whole)
+    start = len(RECORDS[0] + RECORDS[1])
+    ids, gaps = read(RECORDS[0] + packed + RECORDS[1])
+    assert ids == [0, 0, 1, 3, 4, 5, 1]
+    assert gaps == [(len(RECORDS[0]), len(packed), f"block digest: bytes {start} to {start + len(wrong)} of the member's content")]
+    ids, gaps = read(gzip.compress(b"".join(RECORDS[:2]) + b"junk"))
+    assert ids == [0, 1] and "version line" in gaps[0][2]
+
+
+@pytest.mark.parametrize("level", [0, 9])
+def test_damaged_members_keep_what_was_unpacked(level):
+    noise = [record(k, base64.b64encode(hashlib.sha512(b"%d" % k).digest() * 20)) for k in range(8)]
+    packed = gzip.compress(b"".join(noise), level)
+    crc = bytearray(packed)
+    crc[-6] ^= 1
+    assert read(bytes(crc) + RECORDS[1])[0] == [*range(8), 1]
+    ids, gaps = read(packed[: len(packed) * 3 // 4])
+    assert ids and ids == list(range(len(ids))) and len(ids) < 8 and gaps
+    ids, gaps = read(packed[: len(packed) * 3 // 4] + gzip.compress(RECORDS[5]) + RECORDS[4])
+    assert ids[-2:] == [5, 4] and ids[:-2] == list(range(len(ids) - 2)) and len(ids) > 2 and gaps
+
+
 def b32(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
