@@ -6,6 +6,7 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
+from kinetable.plans import fixtures as fx
 
 QUERIES = entry.queries()
 
@@ -37,3 +38,9 @@ def test_scans_read_only_what_they_need(spark):
 
 def test_top_people_are_limited_before_the_exchange(spark):
     assert "WindowGroupLimit" in plan(spark, "keep_top_people")
+
+
+def test_calibration_stream_reads_all_frames(spark):
+    got = QUERIES["stream_calibration_fps"](spark, SF).select("session_id", "frame_idx")
+    want = fx.frames(spark, SF).select("session_id", "frame_idx")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
