@@ -43,10 +43,12 @@ _outlines: dict[bytes, int] = {}
 
 
 def _hash_outline(word: bytes) -> int:
+    if len(word) > 64:  # rarely met again
+        return xxh3_64_intdigest(RUN.sub(rb"\1", word), 7)
     if word not in _outlines:
         if len(_outlines) > 100_000:
             _outlines.clear()
-        _outlines[word] = xxh3_64_intdigest(RUN.sub(rb"\1", word[:64]), 7)
+        _outlines[word] = xxh3_64_intdigest(RUN.sub(rb"\1", word), 7)
     return _outlines[word]
 
 

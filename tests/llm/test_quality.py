@@ -43,3 +43,9 @@ def test_odd_rows(spark, docs, empty):
     nothing = Q.train(docs, labels.limit(0))
     assert {r.score for r in Q.scores(docs, nothing).collect()} == {0.5}
     assert Q.keep_good(docs, weights).schema == docs.schema
+
+
+def test_outlines_of_long_words_are_read_to_their_end():
+    words = ["aB1-" * 20 + end for end in ("xxx", "XXX", "x-9", "")]
+    assert len({Q._hash_outline(w.encode().translate(Q.OUTLINE)) for w in words}) == 4
+    assert not any(len(w) > 64 for w in Q._outlines)
