@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contexttree, decontaminate, embeddings, licenses, maintext, neardup, quality, secrets, substrings, subword, warc  # noqa: F401
+from . import collocations, contexttree, decontaminate, embeddings, licenses, maintext, neardup, quality, secrets, substrings, subword, variants, warc  # noqa: F401
 from .common import ORACLES, QUERIES
 
 

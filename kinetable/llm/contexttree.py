@@ -44,7 +44,7 @@ CHUNK, BUCKET = 16 << 20, 8 << 20
 #: Buckets of the families by two bytes (65,536 families at most).
 FEW = 64
 #: Positions that are looked up at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\n"
 HALF = math.log(0.5)
@@ -195,7 +195,8 @@ class Chunk:
                 counts.update(w)
         for w, held in zip(self.words, self.held.tolist(), strict=True):
             if held:
-                counts.update(dict.fromkeys(set(w) - counts.keys(), 0))
+                for x in set(w):
+                    counts.setdefault(x, 0)
         words = list(counts)
         digest = b"".join(xxh3_128_intdigest(w).to_bytes(16, "little") for w in words)
         halves = np.frombuffer(digest, "<u8").reshape(-1, 2)
