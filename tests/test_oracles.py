@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 SAMPLE = """frame_geometry fill_short_gaps session_baseline select_person_conf remap_skeleton person_iou keep_top_people
 ensemble_search3 stratified_split grid_peaks limb_match_greedy validate_turns projected_gravity natural_order""".split()
 CHUNKED = """extract_features fall_states session_summary threshold_sweep causal_fall_states engineered_features rolling_fps
-empty_runs classifier_hysteresis training_history_best clutch_delta latch_with_release fill_short_gaps grid_peaks""".split()
+empty_runs classifier_hysteresis training_history_best clutch_delta latch_with_release fill_short_gaps grid_peaks
+paced_features paced_fall_states paced_session_summary paced_threshold_sweep paced_causal_fall_states""".split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
