@@ -1,9 +1,4 @@
-"""Identity linking and the releasing alarm latch: scans in frame order with a few values of memory.
-
-Both recurrences are cut where the past cannot matter any more (nobody seen long enough, alarm
-released for certain), and every piece is scanned on its own from sorted partitions.  A piece is
-never gathered: rows stream through Arrow batches.
-"""
+"""Identity linking, a scan of pieces in frame order, and the releasing alarm latch, an automaton."""
 
 from __future__ import annotations
 
@@ -13,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import automata
 from .chunks import running_last, running_max_before, running_sum
 
 EXPIRE = 10
@@ -142,33 +138,25 @@ def link_track_ids(
 
 def latch_with_release(df: DataFrame, confirm: Column, upright: Column, hold: int, clear: int) -> DataFrame:
     """Alarm latch per frame: set by ``confirm``, released ``hold`` frames after the last one or by
-    ``clear`` consecutive upright frames; 0 switches a release off."""
-    marked = df.select("session_id", "frame_idx", confirm.alias("confirm"), upright.alias("upright"))
-    at = F.when(F.col("confirm"), F.col("frame_idx"))
-    after = running_max_before(marked, ["session_id"], "frame_idx", at, "_prev")
-    quiet = F.col("_prev").isNull() | (F.col("frame_idx") - F.col("_prev") > hold) if hold else F.col("_prev").isNull()
-    pieces = running_last(after, ["session_id"], "frame_idx", {"piece": F.when(F.col("confirm") & quiet, F.col("frame_idx"))})
-    idle = pieces.where("piece IS NULL").select("session_id", "frame_idx", F.lit(False).alias("latched"))
-    rows = pieces.where("piece IS NOT NULL").select("session_id", "piece", "frame_idx", "confirm", "upright").repartition(
-        "session_id", "piece"
-    ).sortWithinPartitions("session_id", "piece", "frame_idx")
+    ``clear`` consecutive upright frames; 0 switches a release off.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, latched, since, straight = None, False, 0, 0
-        for b in batches:
-            flags = np.zeros(len(b), dtype=bool)
-            for i, (s, piece, f, c, u) in enumerate(zip(b["session_id"], b["piece"], b["frame_idx"], b["confirm"], b["upright"])):
-                if (s, piece) != key:
-                    key, latched, straight = (s, piece), False, 0
-                if c:
-                    latched, since = True, f
-                if latched and clear:
-                    straight = straight + 1 if u else 0
-                    if straight >= clear:
-                        latched, straight = False, 0
-                if latched and hold and f - since >= hold:
-                    latched, straight = False, 0
-                flags[i] = latched
-            yield pd.DataFrame({"session_id": b["session_id"], "frame_idx": b["frame_idx"], "latched": flags})
-
-    return rows.mapInPandas(scan, "session_id bigint, frame_idx bigint, latched boolean").unionByName(idle)
+    Whether ``hold`` is over follows from the last confirmation alone, so the state is off, or on with the upright frames
+    so far: an automaton with ``clear`` + 1 states.
+    """
+    marked = df.select("session_id", "frame_idx", F.coalesce(confirm, F.lit(False)).alias("_c"), F.coalesce(upright, F.lit(False)).alias("_u"))
+    timed = running_last(marked, ["session_id"], "frame_idx", {"_since": F.when(F.col("_c"), F.col("frame_idx"))})
+    over = F.coalesce(F.col("frame_idx") - F.col("_since") >= hold, F.lit(False)) if hold else F.lit(False)
+
+    def step(state: int, code: int) -> int:
+        confirmed, straight, expired = code & 1, code & 2, code & 4
+        if not state and not confirmed:
+            return 0
+        so_far = max(state - 1, 0)
+        if clear:
+            so_far = so_far + 1 if straight else 0
+        released = (clear and so_far >= clear) or expired
+        return 0 if released else so_far + 1
+
+    code = F.col("_c").cast("int") + 2 * F.col("_u").cast("int") + 4 * over.cast("int")
+    states = automata.run(timed, ["session_id"], "frame_idx", code, automata.transition_table(step, 8, max(clear, 1) + 1))
+    return states.select("session_id", "frame_idx", (F.col("state") > 0).alias("latched"))

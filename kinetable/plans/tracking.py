@@ -26,15 +26,35 @@ def _(spark, sf):
     return T.link_track_ids(fx.people(spark, sf).where("c > 0"), 19, RADIUS)
 
 
-@query("latch_with_release", """WITH RECURSIVE f AS (SELECT session_id, frame_idx, event_type = 'error' AND value > 20 AS c, event_type IN ('view', 'click') AS u FROM frames_t),
+def latch_sql(hold: int, clear: int) -> str:
+    cleared = f"l1 AND st1 >= {clear}" if clear else "FALSE"
+    expired = f"f.frame_idx - s1 >= {hold}" if hold else "FALSE"
+    return f"""WITH RECURSIVE f AS (SELECT session_id, frame_idx, event_type = 'error' AND value > 20 AS c, event_type IN ('view', 'click') AS u FROM frames_t),
  w AS (SELECT session_id, CAST(-1 AS BIGINT) AS frame_idx, FALSE AS latched, CAST(0 AS BIGINT) AS since, 0 AS st FROM f WHERE frame_idx = 0
   UNION ALL SELECT f.session_id, f.frame_idx, l1 AND NOT cleared AND NOT expired, s1, CASE WHEN cleared OR (l1 AND expired) THEN 0 ELSE st1 END
   FROM w JOIN f ON f.session_id = w.session_id AND f.frame_idx = w.frame_idx + 1,
    LATERAL (SELECT w.latched OR f.c AS l1, CASE WHEN f.c THEN f.frame_idx ELSE w.since END AS s1),
    LATERAL (SELECT CASE WHEN NOT l1 THEN w.st WHEN f.u THEN w.st + 1 ELSE 0 END AS st1),
-   LATERAL (SELECT l1 AND st1 >= 3 AS cleared, f.frame_idx - s1 >= 8 AS expired))
-SELECT session_id, frame_idx, latched FROM w WHERE frame_idx >= 0""")
-def _(spark, sf):
+   LATERAL (SELECT {cleared} AS cleared, {expired} AS expired))
+SELECT session_id, frame_idx, latched FROM w WHERE frame_idx >= 0"""
+
+
+def latched(spark, sf, hold, clear):
     fr = fx.frames(spark, sf)
     confirm = (F.col("event_type") == "error") & (F.col("value") > 20)
-    return T.latch_with_release(fr, confirm, F.col("event_type").isin("view", "click"), 8, 3)
+    return T.latch_with_release(fr, confirm, F.col("event_type").isin("view", "click"), hold, clear)
+
+
+@query("latch_with_release", latch_sql(8, 3))
+def _(spark, sf):
+    return latched(spark, sf, 8, 3)
+
+
+@query("latch_until_upright", latch_sql(0, 4))
+def _(spark, sf):
+    return latched(spark, sf, 0, 4)
+
+
+@query("latch_for_ever", latch_sql(0, 0))
+def _(spark, sf):
+    return latched(spark, sf, 0, 0)

@@ -37,6 +37,7 @@ def duck():
 @pytest.fixture()
 def small_chunks(monkeypatch):
     """Sessions of the test data span many chunks."""
-    from kinetable.operators import chunks
+    from kinetable.operators import automata, chunks
 
     monkeypatch.setattr(chunks, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(automata, "ROWS", 4)
