@@ -19,7 +19,7 @@ rest of the exchange is proportional to the chunks' distinct contexts.  Training
 
 Edge cases: null and empty texts are the end alone; a null id is not held out (and learned from); rows with equal ids or
 equal texts are rows of their own and count as often as they occur; with nothing to learn from, every decision is even;
-extra columns play no part.  A chunk holds one text at least, so memory grows with the longest text (about 20 bytes a byte).
+extra columns play no part.  A chunk holds one text at least, so memory grows with the longest text (about 15 bytes a byte).
 ``docs`` should be read from files, as rows are dealt by their place.
 """
 
@@ -28,12 +28,12 @@ from __future__ import annotations
 import itertools
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from xxhash import xxh3_128_intdigest
+from xxhash import xxh3_128_digest
 
 from .common import blobs, mix64, query, table
 from .packing import ascending, by_bucket, chained, column, cut_at, lengths, runs, unascending, unvarint, varint
@@ -145,61 +145,68 @@ class Chunk:
     """The byte stream of some documents: each text behind DEPTH line feeds."""
 
     def __init__(self, docs: pa.Table) -> None:
-        held = np.array(column(docs, "_held"), bool)
-        words = [x.translate(LOWER).split() for x in blobs(docs.column("_text").combine_chunks())]
-        pad = END * DEPTH
-        stream = [pad + b" ".join(w) + END for w in words]
-        for w in words:
-            w.append(END)
-        self.held, self.words = held, words
-        self.tokens = np.array([len(w) for w in words], np.int64)
-        size = np.array([len(s) for s in stream], np.int64)
-        self.bytes = size - DEPTH
-        self.stream = np.frombuffer(b"".join(stream), np.uint8)
-        ends = np.cumsum(size)
-        self.real = np.ones(len(self.stream), bool)
-        for k in range(DEPTH):
-            self.real[ends - size + k] = False
-        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.held = np.array(column(docs, "_held"), bool)
+        pad, stream, tokens = END * DEPTH, [], []
+        for text in blobs(docs.column("_text").combine_chunks()):
+            words = text.translate(LOWER).split()
+            stream.append(pad + b" ".join(words) + END)
+            tokens.append(len(words) + 1)
+        self.tokens = np.array(tokens, np.int64)
+        self.size = np.array([len(x) for x in stream], np.int64)
+        self.bytes = self.size - DEPTH
+        self.ends = np.cumsum(self.size)
+        self.data = b"".join(stream)
+        self.stream = np.frombuffer(self.data, np.uint8)
+
+    def words(self) -> Iterator[list[bytes]]:
+        """Words of one text after the other, with the end."""
+        for end, size in zip(self.ends.tolist(), self.size.tolist(), strict=True):
+            words = self.data[end - size : end].split()
+            words.append(END)
+            yield words
 
     def keys(self, a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
-        """(context, byte) of the real positions from a to z, and their documents."""
-        at = slice(max(a, DEPTH), min(z, len(self.stream)))
-        n = max(0, at.stop - at.start)
-        key = np.zeros(n, np.uint64)
+        """(context, byte) of the positions from a to z that aren't padding, and their documents."""
+        a, z = max(a, DEPTH), min(z, len(self.stream))
+        if z <= a:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        key = self.stream[a:z].astype(np.uint64)
         for k in range(1, DEPTH + 1):
-            key |= self.stream[at.start - k : at.start - k + n].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
-        key |= self.stream[at]
-        real = self.real[at]
-        return key[real], self.doc[at][real]
+            key |= self.stream[a - k : z - k].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
+        from_, to = np.searchsorted(self.ends, [a, z - 1], "right").tolist()
+        inside = np.minimum(self.ends[from_ : to + 1], z) - np.maximum(self.ends[from_ : to + 1] - self.size[from_ : to + 1], a)
+        doc = np.repeat(np.arange(from_, to + 1), inside)
+        real = np.arange(a, z) - (self.ends - self.size)[doc] >= DEPTH
+        return key[real], doc[real]
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of all texts, sorted, and their counts in the training texts."""
-        key, doc = self.keys(0, len(self.stream))
-        key <<= np.uint64(1)
-        key |= self.held[doc]
-        del doc
+        key, at = np.empty(int(self.bytes.sum()), np.uint64), 0
+        for a in range(0, len(self.stream), SLICE):
+            some, doc = self.keys(a, a + SLICE)
+            key[at : at + len(some)] = some << np.uint64(1) | self.held[doc]
+            at += len(some)
         key.sort()
-        held = (key & np.uint64(1)).astype(np.int64)
+        held = np.empty(len(key), np.uint8)
+        for a in range(0, len(key), SLICE):
+            held[a : a + SLICE] = key[a : a + SLICE] & np.uint64(1)
         key >>= np.uint64(1)
         first = runs(key)
-        if not len(first):
-            return key, held
-        return key[first], lengths(first, len(key)) - np.add.reduceat(held, first)
+        known, n = key[first], lengths(first, len(key))
+        del key
+        return known, n - np.add.reduceat(held, first, dtype=np.int64) if len(first) else n
 
     def vocabulary(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct words, sorted by hash; both halves of their hashes; training counts (0: only in held-out texts)."""
         counts: Counter[bytes] = Counter()
-        for w, held in zip(self.words, self.held.tolist(), strict=True):
-            if not held:
-                counts.update(w)
-        for w, held in zip(self.words, self.held.tolist(), strict=True):
+        for words, held in zip(self.words(), self.held.tolist(), strict=True):
             if held:
-                for x in set(w):
-                    counts.setdefault(x, 0)
+                for w in set(words):
+                    counts.setdefault(w, 0)
+            else:
+                counts.update(words)
         words = list(counts)
-        digest = b"".join(xxh3_128_intdigest(w).to_bytes(16, "little") for w in words)
-        halves = np.frombuffer(digest, "<u8").reshape(-1, 2)
+        halves = np.frombuffer(b"".join(map(xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
         order = np.lexsort((halves[:, 1], halves[:, 0]))
         h, e = halves[order, 0], halves[order, 1]
         n = np.fromiter(counts.values(), np.int64, len(words))[order]
@@ -213,7 +220,7 @@ class Chunk:
         for b, a, z in parts:
             counts[order[a:z]] = counts_of(b)
         number = dict(zip(words, counts.tolist(), strict=True))
-        c = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(self.words)), np.int64, int(self.tokens.sum()))
+        c = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(self.words())), np.int64, int(self.tokens.sum()))
         of = np.repeat(np.arange(len(self.tokens)), self.tokens)
         n = len(self.tokens)
         return np.bincount(of, c > 0, n).astype(np.int64), np.bincount(of, np.log10((c + 0.1) / total), n)
