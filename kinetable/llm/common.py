@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -109,4 +111,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(at, to - at)
             at = to
         del batch
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give back what Arrow and the allocator hold but don't use, as workers live on for other stages."""
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)

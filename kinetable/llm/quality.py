@@ -39,27 +39,32 @@ OUTLINE = bytes(
     88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 or c >= 128 else 57 if 48 <= c <= 57 else c for c in range(256)
 )
 RUN = re.compile(rb"(X|x|9)\1+")
-_outlines: dict[bytes, int] = {}
+#: Most outlines that a task keeps, each of at most 64 bytes: some 8 MB.
+KEPT = 40_000
 
 
 def _hash_outline(word: bytes) -> int:
-    if len(word) > 64:  # rarely met again
-        return xxh3_64_intdigest(RUN.sub(rb"\1", word), 7)
-    if word not in _outlines:
-        if len(_outlines) > 100_000:
-            _outlines.clear()
-        _outlines[word] = xxh3_64_intdigest(RUN.sub(rb"\1", word), 7)
-    return _outlines[word]
+    return xxh3_64_intdigest(RUN.sub(rb"\1", word), 7)
 
 
-def features(text: bytes) -> tuple[np.ndarray, int]:
+class Outlines(dict):
+    """Hashes of outlines that a task met; long ones are rarely met again."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = _hash_outline(word)
+        if len(word) <= 64 and len(self) < KEPT:
+            self[word] = value
+        return value
+
+
+def features(text: bytes, outlines: Outlines) -> tuple[np.ndarray, int]:
     """Indices (repeated as often as they occur) and the number of words."""
     words = text.lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), 0
     own = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
-    shape = np.fromiter(map(_hash_outline, text.translate(OUTLINE).split()), np.uint64, n)
+    shape = np.fromiter(map(outlines.__getitem__, text.translate(OUTLINE).split()), np.uint64, n)
     same = np.zeros(n, np.uint64)
     same[1:] = own[1:] == own[:-1]
     shape = shape ^ (same * np.uint64(0x9E3779B97F4A7C15))
@@ -71,9 +76,9 @@ def features(text: bytes) -> tuple[np.ndarray, int]:
 def learn(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray:
     """Weights (the bias last) after FTRL-proximal updates over the rows in the given order."""
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
-    examples = []
+    examples, outlines = [], Outlines()
     for text, label in rows:
-        at, words = features(text)
+        at, words = features(text, outlines)
         at, counts = np.unique(at, return_counts=True)
         examples.append((np.append(at, SIZE), np.append(counts / max(1, words), 1.0), label))
 
@@ -127,11 +132,11 @@ def scores(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        w, outlines = shared.value, Outlines()
         for batch in slices(batches, "_text", 8 << 20):
             out = []
             for data in blobs(batch.column("_text")):
-                at, n = features(data)
+                at, n = features(data, outlines)
                 out.append(float(_logistic(w[at].sum() / max(1, n) + w[SIZE])))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
@@ -144,11 +149,11 @@ def keep_good(docs: DataFrame, weights: np.ndarray, accept: float = ACCEPT, text
     at_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        w, outlines = shared.value, Outlines()
         for batch in slices(batches, text, 8 << 20):
             good = []
             for data in blobs(batch.column(at_text)):
-                at, n = features(data)
+                at, n = features(data, outlines)
                 good.append(bool(_logistic(w[at].sum() / max(1, n) + w[SIZE]) >= accept))
             yield batch.filter(pa.array(good, pa.bool_()))
 

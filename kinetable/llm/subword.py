@@ -10,7 +10,7 @@ instead of log scores (a BPE vocabulary), ``scores="zipf"`` turns rank r into ``
 
 A piece holds the marker only at its front (checked when a model is loaded), so the best path of a text
 joins the best paths of its parts that begin with blanks.  Parts repeat, so their ids are kept in a
-bounded cache of the worker.
+cache of the task, bounded in bytes.
 
 Edge cases: null is encoded as the empty text and gives no ids; a literal U+2581 is the marker and comes
 back as a blank (``round_trip`` is then false); all other texts come back exactly, however long; repeated rows are
@@ -24,6 +24,7 @@ import hashlib
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ MARK = "▁".encode()
 PARTS = re.compile(rb" +[^ ]*")
 #: Parts longer than this are neither batched nor kept.
 LONG = 64
-#: Most parts kept by a worker.
-KEPT = 400_000
+#: Most parts kept by a task, each of at most LONG bytes: some 16 MB with their ids.
+KEPT = 60_000
 #: Bytes of text encoded at a time.
 STEP = 4 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -228,15 +229,19 @@ class Unigram:
         back[rows, end] = start
         token[rows, end] = piece[wins] if isinstance(piece, np.ndarray) else piece
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_lists"}
+
     @functools.cached_property
     def _lists(self):
-        return self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.scores.tolist()
+        """Trie and scores as views, whose items are plain numbers."""
+        return tuple(memoryview(np.ascontiguousarray(x)) for x in (self.trie.base, self.trie.check, self.trie.value, self.scores))
 
     def _one(self, w: bytes) -> bytes:
-        """The same for one part of any length."""
+        """The same for one part of any length; 20 bytes of memory a byte."""
         base, check, value, scores = self._lists
         n = len(w)
-        best, back, token = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best, back, token = array("d", [-math.inf]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
         best[0] = 0.0
         for i in range(n):
             if best[i] == -math.inf:
@@ -256,14 +261,15 @@ class Unigram:
                         best[j + 1], back[j + 1], token[j + 1] = score, i, piece
             if not single and (score := best[i] + self.missing) > best[i + own]:
                 best[i + own], back[i + own], token[i + own] = score, i, -1
-        ids = []
+        ids = array("i")
         while n > 0:
             if token[n] >= 0:
                 ids.append(token[n])
             else:
-                ids += [self.byte_ids[c] for c in reversed(w[back[n] : n])]
+                ids.extend([self.byte_ids[c] for c in reversed(w[back[n] : n])])
             n = back[n]
-        return struct.pack(f"<{len(ids)}i", *reversed(ids))
+        ids.reverse()
+        return ids.tobytes()
 
     def encode(self, texts: list[bytes], cache: dict[bytes, bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8)."""
@@ -272,16 +278,13 @@ class Unigram:
             x = b" " + (x.replace(MARK, b" ") if MARK in x else x) if x else b""
             split.append([x] if self.whole and x else PARTS.findall(x))
         wanted = set().union(*split) if split else set()
-        fresh = self.encode_parts(wanted - cache.keys())
-        if len(cache) + len(fresh) > KEPT:
-            for w in cache.keys() - wanted:
-                del cache[w]
-        cache.update(fresh)
-        out = [np.frombuffer(b"".join(map(cache.__getitem__, parts)), np.int32) for parts in split]
-        for w in [w for w in fresh if len(w) > LONG]:
-            del cache[w]
-        if len(cache) > KEPT:
-            cache.clear()
+        fresh = self.encode_parts(w for w in wanted if w not in cache)
+        del wanted
+        fresh_or = fresh.get
+        out = [np.frombuffer(b"".join([cache.get(w) or fresh_or(w) for w in parts]), np.int32) for parts in split]
+        for w, ids in fresh.items():
+            if len(cache) < KEPT and len(w) <= LONG:
+                cache[w] = ids
         return out
 
     # decoding
@@ -299,17 +302,13 @@ def load(path: str = MODEL, scores: str = "zipf") -> Unigram:
     return Unigram(pieces, zipf_scores(pieces) if scores == "zipf" else [s for _, s, _ in pieces])
 
 
-#: What a worker keeps between tasks, by model.
-_caches: dict[str, dict[bytes, bytes]] = {}
-
-
 def encode_texts(docs: DataFrame, model: Unigram | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of each row. Narrow; the model is broadcast (its size is that of the vocabulary)."""
     shared = docs.sparkSession.sparkContext.broadcast(model or load())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        cache = _caches.setdefault(m.name, {})
+        cache: dict[bytes, bytes] = {}
         for batch in slices(batches, "_text", STEP):
             ids = m.encode(blobs(batch.column("_text")), cache)
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
@@ -347,7 +346,7 @@ def encode_and_check(docs: DataFrame, model: Unigram | None = None, key: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        cache = _caches.setdefault(m.name, {})
+        cache: dict[bytes, bytes] = {}
         for batch in slices(batches, "_text", STEP):
             texts = blobs(batch.column("_text"))
             ids = m.encode(texts, cache)
