@@ -57,14 +57,18 @@ class Outlines(dict):
         return value
 
 
-def features(text: bytes, outlines: Outlines) -> tuple[np.ndarray, int]:
+#: Emptied at the end of every task.
+_outlines = Outlines()
+
+
+def features(text: bytes) -> tuple[np.ndarray, int]:
     """Indices (repeated as often as they occur) and the number of words."""
     words = text.lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), 0
     own = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
-    shape = np.fromiter(map(outlines.__getitem__, text.translate(OUTLINE).split()), np.uint64, n)
+    shape = np.fromiter(map(_outlines.__getitem__, text.translate(OUTLINE).split()), np.uint64, n)
     same = np.zeros(n, np.uint64)
     same[1:] = own[1:] == own[:-1]
     shape = shape ^ (same * np.uint64(0x9E3779B97F4A7C15))
@@ -76,9 +80,9 @@ def features(text: bytes, outlines: Outlines) -> tuple[np.ndarray, int]:
 def learn(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray:
     """Weights (the bias last) after FTRL-proximal updates over the rows in the given order."""
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
-    examples, outlines = [], Outlines()
+    examples = []
     for text, label in rows:
-        at, words = features(text, outlines)
+        at, words = features(text)
         at, counts = np.unique(at, return_counts=True)
         examples.append((np.append(at, SIZE), np.append(counts / max(1, words), 1.0), label))
 
@@ -116,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
     rows = two_columns(docs, key, text).join(F.broadcast(chosen), "_id").withColumn("_shard", F.pmod(F.xxhash64("_h"), F.lit(SHARDS)))
 
     def run(group: pa.Table) -> pa.Table:
+        _outlines.clear()
         group = group.sort_by([("_h", "ascending"), ("_text", "ascending")])
         w = learn(list(zip(blobs(group.column("_text").combine_chunks()), group.column("_label").to_pylist(), strict=True)))
         return pa.table({"n": pa.array([group.num_rows], pa.int64()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
@@ -132,13 +137,14 @@ def scores(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, outlines = shared.value, Outlines()
+        w = shared.value
         for batch in slices(batches, "_text", 8 << 20):
             out = []
             for data in blobs(batch.column("_text")):
-                at, n = features(data, outlines)
+                at, n = features(data)
                 out.append(float(_logistic(w[at].sum() / max(1, n) + w[SIZE])))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+        _outlines.clear()
 
     return two_columns(docs, key, text).mapInArrow(run, "doc_id long, score double")
 
@@ -149,13 +155,14 @@ def keep_good(docs: DataFrame, weights: np.ndarray, accept: float = ACCEPT, text
     at_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, outlines = shared.value, Outlines()
+        w = shared.value
         for batch in slices(batches, text, 8 << 20):
             good = []
             for data in blobs(batch.column(at_text)):
-                at, n = features(data, outlines)
+                at, n = features(data)
                 good.append(bool(_logistic(w[at].sum() / max(1, n) + w[SIZE]) >= accept))
             yield batch.filter(pa.array(good, pa.bool_()))
+        _outlines.clear()
 
     return docs.mapInArrow(run, docs.schema)
 
