@@ -57,10 +57,14 @@ class Outlines(dict):
         return value
 
 
-#: Emptied at the end of every task.
 _outlines = Outlines()
 
 
+def forget() -> None:
+    """At the end of every task, as workers live on."""
+    _outlines.clear()
+
+
 def features(text: bytes) -> tuple[np.ndarray, int]:
     """Indices (repeated as often as they occur) and the number of words."""
     words = text.lower().split()
@@ -120,9 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
     rows = two_columns(docs, key, text).join(F.broadcast(chosen), "_id").withColumn("_shard", F.pmod(F.xxhash64("_h"), F.lit(SHARDS)))
 
     def run(group: pa.Table) -> pa.Table:
-        _outlines.clear()
         group = group.sort_by([("_h", "ascending"), ("_text", "ascending")])
         w = learn(list(zip(blobs(group.column("_text").combine_chunks()), group.column("_label").to_pylist(), strict=True)))
+        forget()
         return pa.table({"n": pa.array([group.num_rows], pa.int64()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
     parts = rows.groupBy("_shard").applyInArrow(run, "n long, w binary").collect()  # SHARDS rows of fixed size
@@ -144,7 +148,7 @@ def scores(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str
                 at, n = features(data)
                 out.append(float(_logistic(w[at].sum() / max(1, n) + w[SIZE])))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
-        _outlines.clear()
+        forget()
 
     return two_columns(docs, key, text).mapInArrow(run, "doc_id long, score double")
 
@@ -162,7 +166,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, accept: float = ACCEPT, text
                 at, n = features(data)
                 good.append(bool(_logistic(w[at].sum() / max(1, n) + w[SIZE]) >= accept))
             yield batch.filter(pa.array(good, pa.bool_()))
-        _outlines.clear()
+        forget()
 
     return docs.mapInArrow(run, docs.schema)
 
