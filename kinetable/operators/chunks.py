@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .quantiles import exact_percentiles as by_rank
+
 CHUNK_ROWS = 4096
 BUCKET_SECONDS = 600
 
@@ -251,39 +253,6 @@ def reflected_walk(
     )
 
 
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], width: float
-) -> DataFrame:
-    """Linearly interpolated percentiles by rank.
-
-    ``percentile`` keeps every distinct value of a group in one buffer; here values are ranked
-    inside value ranges of ``width`` and only the rows next to each wanted rank remain.  Choose the width well below the
-    spread of a key's values: a range is sorted in one task, and a key may fill as many ranges as it likes.
-    """
-    keys = list(keys)
-    known = df.where(F.col(value).isNotNull()).select(*keys, value)
-    ranked = dense_index(known, keys, [value], F.floor(F.col(value) / width), "_rank")
-    totals = known.groupBy(*keys).agg(F.count("*").alias("_n"))
-    wanted = totals.select(
-        *keys,
-        "_n",
-        F.inline(
-            F.array(*[
-                F.struct(F.lit(n).alias("_point"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("_pos"))
-                for n, q in points.items()
-            ])
-        ),
-    ).select(
-        *keys, "_n", "_point",
-        F.inline(
-            F.array(
-                F.struct(F.floor("_pos").alias("_rank"), (1.0 - (F.col("_pos") - F.floor("_pos"))).alias("_w")),
-                F.struct((F.floor("_pos") + 1).alias("_rank"), (F.col("_pos") - F.floor("_pos")).alias("_w")),
-            )
-        ),
-    ).where("_w > 0")
-    return (
-        ranked.join(wanted, [*keys, "_rank"])
-        .groupBy(*keys, F.col("_n").alias("n"))
-        .agg(*[F.sum(F.when(F.col("_point") == n, F.col("_w") * F.col(value))).alias(n) for n in points])
-    )
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], width: float | None = None) -> DataFrame:
+    """Linearly interpolated percentiles by rank (see ``quantiles``); ranges follow the values, ``width`` plays no part."""
+    return by_rank(df, keys, value, points)

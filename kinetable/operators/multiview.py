@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..scratch import written
+from .quantiles import trimmed_mean_limit
 
 POINT = ("session_id", "frame_idx", "joint")
 
@@ -151,28 +151,13 @@ def reject_outlier_points(points: DataFrame, limit: float) -> DataFrame:
     ).drop("_mean")
 
 
-def iterative_outlier_removal(obs: DataFrame, floor: float = 5.0) -> tuple[DataFrame, list[float]]:
+def iterative_outlier_removal(obs: DataFrame, floor: float = 5.0) -> tuple[DataFrame, DataFrame]:
     """Drop observations above max(2 x mean error, floor) until no more are dropped.
 
-    Survivors are always ``error <= threshold`` of the same table, so a round is one aggregate
-    with a pushed filter; only the mean comes back to the driver and no lineage builds up.
+    Gives the observations left and, as one row, the limit at which it ends.  Nothing runs while the query is planned.
     """
-    obs = written(obs, "observations")
-
-    def measured(df):
-        return df.agg(F.avg("error").alias("mean"), F.count("error").alias("n")).first()
-
-    kept, (current, n), used = obs, measured(obs), []
-    while current is not None:
-        limit = max(2 * current, floor)
-        limit = min(limit, used[-1]) if used else limit
-        used.append(limit)
-        kept = obs.where(F.col("error") <= limit)
-        current, after = measured(kept)
-        if after == n:  # counts are exact, means of equal rows need not be
-            break
-        n = after
-    return kept, used
+    limit = trimmed_mean_limit(obs, "error", 2.0, floor)
+    return obs.where(F.col("error") <= limit.scalar()), limit
 
 
 def multi_view_mask(obs: DataFrame) -> DataFrame:

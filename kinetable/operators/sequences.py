@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..scratch import written
 from .chunks import (
-    by_chunk, core, dense_index, exact_percentiles, halo, join_per_key, last_positions, reflected_walk, running_last, running_max_before,
+    by_chunk, core, dense_index, halo, join_per_key, last_positions, reflected_walk, running_last, running_max_before,
 )
+from .quantiles import exact_percentiles
 
 
 def legacy_features(keypoints: DataFrame, width: str, height: str) -> DataFrame:
@@ -55,7 +56,7 @@ def _body_frame(keypoints: DataFrame) -> DataFrame:
             )
         ),
     ).where("v IS NOT NULL")
-    med = exact_percentiles(stacked, ["session_id", "series"], "v", {"m": 0.5}, 0.25)
+    med = exact_percentiles(stacked, ["session_id", "series"], "v", {"m": 0.5})
 
     def one(name):
         return F.max(F.when(F.col("series") == name, F.col("m")))
@@ -77,7 +78,7 @@ def _body_frame(keypoints: DataFrame) -> DataFrame:
                 )
             ),
         )
-        spare = exact_percentiles(spare, ["session_id", "series"], "v", {"m": 0.5}, 0.25).groupBy("session_id").agg(
+        spare = exact_percentiles(spare, ["session_id", "series"], "v", {"m": 0.5}).groupBy("session_id").agg(
             one("ax").alias("ax"), one("ay").alias("ay")
         )
         found = found.join(spare, "session_id", "left")
@@ -221,7 +222,7 @@ def estimate_fps(
     wide = halo(frames.select("session_id", "frame_idx", seconds.alias("_t")), "frame_idx", 1, 0)
     gap = F.col("_t") - F.lag("_t").over(by_chunk(["session_id"], "frame_idx"))
     gaps = core(wide.withColumn("_gap", gap)).where((F.col("_gap") > 0.001) & (F.col("_gap") < longest))
-    med = exact_percentiles(gaps, ["session_id"], "_gap", {"_m": 0.5}, 0.0005).drop("n")
+    med = exact_percentiles(gaps, ["session_id"], "_gap", {"_m": 0.5}).drop("n")
     return (
         last_positions(frames, ["session_id"], "frame_idx")
         .join(med, "session_id", "left")
@@ -312,7 +313,7 @@ def latency_summary(frames: DataFrame, value: str, seconds: Column) -> DataFrame
     steady = frames.where("frame_idx > 0")
     lone = whole.where("frames = 1").select("session_id", F.col("warmup").alias(value))
     steady = steady.select("session_id", value).unionByName(lone)
-    q = exact_percentiles(steady, ["session_id"], value, {"median": 0.5, "p95": 0.95}, 0.05).drop("n")
+    q = exact_percentiles(steady, ["session_id"], value, {"median": 0.5, "p95": 0.95}).drop("n")
     return whole.join(q, "session_id")
 
 
