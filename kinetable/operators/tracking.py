@@ -1,17 +1,21 @@
-"""Identity linking, a scan of pieces in frame order, and the releasing alarm latch, an automaton."""
+"""Identity linking, by speculative scans of chunks, and the releasing alarm latch, an automaton."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..scratch import written
 from . import automata
-from .chunks import running_last, running_max_before, running_sum
+from .chunks import running_last, running_sum
 
 EXPIRE = 10
+#: Frames that a task scans, and times that a track can be out of sight for which it starts early.
+SPAN, WARM = 1024, 3
 
 
 def match_radius(width: int, height: int, distance: float = 30.0) -> float:
@@ -44,96 +48,202 @@ def track_pair_scores(people: DataFrame, previous: DataFrame, radius: float, con
     return measured.withColumn("score", F.col("inliers") / F.col("active")).where(F.col("score") >= least)
 
 
-def _assign(now: np.ndarray, seen: np.ndarray, tracks: dict, radius: float, least: float) -> dict[int, int]:
-    """Row of ``now`` -> track, best share first, nearer first among equals, one to one."""
-    options = []
-    for track, (xy, ok, _) in tracks.items():
-        both = seen & ok
-        active = both.sum(axis=1)
-        dist = np.where(both, np.hypot(now[..., 0] - xy[:, 0], now[..., 1] - xy[:, 1]), 0.0)
-        close = (both & (dist < radius)).sum(axis=1)
-        for p in np.flatnonzero(active):
-            share = close[p] / active[p]
-            if share >= least:
-                options.append((-share, dist[p].sum(), p, track))
-    taken: dict[int, int] = {}
-    for _, _, p, track in sorted(options):
-        if p not in taken and track not in taken.values():
-            taken[p] = track
-    return taken
+class _Tracks:
+    """Live tracks of a scan: last joints, which were seen, and when and as whom the track was last met."""
+
+    def __init__(self, radius: float, confidence: float, least: float, expire: int) -> None:
+        self.live: dict[int, tuple[np.ndarray, np.ndarray, int, int]] = {}
+        self.radius, self.confidence, self.least, self.expire = radius, confidence, least, expire
+        self.opened = 0
+
+    def meet(self, frame: int, people: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, bool]]:
+        """(person, track, whether it is new) of a frame's people: best share of close joints first, then the nearest,
+        one to one.  Nothing depends on the tracks' numbers, so scans with the same live tracks go on alike."""
+        self.forget(frame)
+        kps = np.stack([k for _, k in people])
+        seen = kps[..., 2] >= self.confidence
+        options = []
+        for track, (xy, ok, last, as_) in self.live.items():
+            both = seen & ok
+            active = both.sum(axis=1)
+            dist = np.where(both, np.hypot(kps[..., 0] - xy[:, 0], kps[..., 1] - xy[:, 1]), 0.0)
+            close = (both & (dist < self.radius)).sum(axis=1)
+            for p in np.flatnonzero(active):
+                share = close[p] / active[p]
+                if share >= self.least:
+                    options.append((-share, dist[p].sum(), p, -last, as_, track))
+        taken: dict[int, int] = {}
+        used = set()
+        for *_, p, _, _, track in sorted(options):
+            if p not in taken and track not in used:
+                taken[p] = track
+                used.add(track)
+        out = []
+        for p, (person, _) in enumerate(people):
+            track = taken.get(p, self.opened)
+            self.opened += p not in taken
+            self.live[track] = (kps[p, :, :2], seen[p], frame, person)
+            out.append((person, track, p not in taken))
+        return out
+
+    def forget(self, frame: int) -> None:
+        for t in [t for t, v in self.live.items() if frame - v[2] > self.expire + 1]:
+            del self.live[t]
+
+    def carry(self, frame: int, people: list[tuple[int, np.ndarray]], wanted: set) -> None:
+        """Tracks that were last met at this frame, as a scan before has left them."""
+        for person, k in people:
+            if (frame, person) in wanted:
+                self.live[self.opened] = (k[:, :2], k[:, 2] >= self.confidence, frame, person)
+                self.opened += 1
+
+    def sightings(self, border: int) -> list[tuple[int, int, int]]:
+        """(frame, person, track) of the tracks that can still be met from ``border`` on."""
+        self.forget(border)
+        return sorted((last, person, t) for t, (_, _, last, person) in self.live.items())
+
+
+SCANNED = "session_id bigint, chunk bigint, kind string, frame_idx bigint, person_idx int, local bigint, is_new boolean"
+
+
+def _scan(joints: int, radius: float, confidence: float, least: float, expire: int, span: int):
+    """Rows sorted by session, chunk, frame and person to ``SCANNED``; holds a frame and the live tracks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, frame, early, wanted, people, tracks, out = None, None, True, None, [], None, []
+
+        def border(kind: str, at: int) -> None:
+            out.extend((*key, kind, f, p, t, False) for f, p, t in tracks.sightings(at))
+
+        def close_frame() -> None:
+            if people and early and wanted is not None:
+                tracks.carry(frame, people, wanted)
+            elif people:
+                met = tracks.meet(frame, people)
+                if not early:
+                    out.extend((*key, "row", frame, person, t, new) for person, t, new in met)
+            people.clear()
+
+        def close_chunk() -> None:
+            if key is not None:
+                close_frame()
+                if early:
+                    border("start", key[1] * span)
+                border("end", (key[1] + 1) * span)
+
+        for b in batches:
+            for s, c, f, p, first, k, given in zip(b["session_id"], b["chunk"], b["frame_idx"], b["person_idx"], b["early"], b["kps"], b["given"], strict=True):
+                if (s, c) != key:
+                    close_chunk()
+                    key, frame, early = (s, c), f, True
+                    tracks = _Tracks(radius, confidence, least, expire)
+                    wanted = None if given is None else {(g["f"], g["p"]) for g in given}
+                if f != frame:
+                    close_frame()
+                    frame = f
+                if early and not first:
+                    close_frame()
+                    early = False
+                    border("start", c * span)
+                people.append((p, np.asarray(k, dtype=float).reshape(joints, 3)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCANNED.split(", ")])
+            out.clear()
+        close_chunk()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SCANNED.split(", ")])
+
+    return run
+
+
+def _borders(scanned: DataFrame) -> DataFrame:
+    """(session_id, chunk, starts, ends): sets of sightings that a chunk starts from and leaves."""
+    def sightings(kind: str):
+        seen = F.when(F.col("kind") == kind, F.struct(F.col("frame_idx").alias("f"), F.col("person_idx").alias("p")))
+        return F.array_sort(F.collect_list(seen)).alias(kind + "s")
+
+    return scanned.groupBy("session_id", "chunk").agg(sightings("start"), sightings("end"))
+
+
+def _origins(carried: DataFrame) -> DataFrame:
+    """(session_id, chunk, local, of_chunk, of_local): the track of an earlier chunk, not carried itself, that each carried one goes on."""
+    node, further = ["session_id", "chunk", "local"], ["session_id", "of_chunk", "of_local"]
+    now = written(carried, "track-links")
+    while True:
+        on = now.select("session_id", F.col("chunk").alias("of_chunk"), F.col("local").alias("of_local"), F.col("of_chunk").alias("_c"), F.col("of_local").alias("_l"))
+        step = now.join(on, further, "left").select(
+            *node, F.coalesce("_c", "of_chunk").alias("of_chunk"), F.coalesce("_l", "of_local").alias("of_local"), F.col("_c").isNotNull().alias("moved")
+        )
+        step = written(step, "track-links")
+        if step.where("moved").isEmpty():
+            return now
+        now = step.drop("moved")
 
 
 def link_track_ids(
     people: DataFrame, joints: int, radius: float, confidence: float = 0.1, least: float = 0.5, expire: int = EXPIRE
 ) -> DataFrame:
-    """Identity of every person, frame to frame.
+    """Identity of every person, frame to frame, numbered by session in the order of first meeting.
+
+    A session is scanned in chunks of ``SPAN`` frames, all at the same time.  A chunk starts from nothing some frames early, as
+    tracks not met for ``expire`` + 1 frames are forgotten.  A scan goes on from the last sightings of its live tracks
+    alone, so where a chunk arrives at its first own frame with the sightings that the chunk before leaves, its rows are
+    right but for the numbers.  Only chunks that don't are scanned again, from what was left to them, until all agree.  Numbers
+    come last: tracks that a chunk opened are counted on from the chunks before, others take that of the track they go on.
 
-    A session is cut after ``expire`` + 1 frames without people: no track outlives that.  Ids start
-    from 0 in every piece and are shifted by the number opened in the earlier pieces.
+    Exact ties of share and distance go to the person first in the frame, then to the track met last.  Repeated
+    (session, frame, person, joint) rows are not expected.
     """
+    span, warm = SPAN, WARM * (expire + 1)
+    if span <= warm:
+        raise ValueError(f"SPAN must be above {warm}")
     slot = F.transform(
         F.sequence(F.lit(0), F.lit(joints - 1)), lambda j: F.array(*[F.coalesce(F.try_element_at("_k", j)[n], F.lit(0.0)) for n in "xyc"])
     )
     person = people.groupBy("session_id", "frame_idx", "person_idx").agg(
         F.map_from_entries(F.collect_list(F.struct("joint", F.struct("x", "y", "c")))).alias("_k")
     ).select("session_id", "frame_idx", "person_idx", F.flatten(slot).alias("kps"))
-    busy = person.groupBy("session_id", "frame_idx").agg(F.count("*").alias("_n"))
-    gaps = running_max_before(busy, ["session_id"], "frame_idx", F.col("frame_idx"), "_prev")
-    cut = F.when(F.coalesce(F.col("frame_idx") - F.col("_prev") > expire + 1, F.lit(True)), F.col("frame_idx"))
-    pieces = running_last(gaps, ["session_id"], "frame_idx", {"piece": cut}).select("session_id", "frame_idx", "piece")
-    rows = person.join(pieces, ["session_id", "frame_idx"]).repartition("session_id", "piece").sortWithinPartitions(
-        "session_id", "piece", "frame_idx", "person_idx"
-    )
+    own, reach = F.floor(F.col("frame_idx") / F.lit(span)), F.floor((F.col("frame_idx") + F.lit(warm)) / F.lit(span))
+    person = written(person.withColumn("chunk", F.explode(F.sequence(own, reach))).withColumn("early", F.col("chunk") > own), "people")
+    given_type = "array<struct<f:bigint,p:int>>"
+    scan = _scan(joints, radius, confidence, least, expire, span)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, frame, held = None, None, []
-        tracks: dict[int, tuple] = {}
-        opened = 0
-
-        def close():
-            """Assign ids to the people of the frame that just ended."""
-            nonlocal opened
-            if not held:
-                return []
-            kps = np.array([h[1] for h in held], dtype=float).reshape(len(held), joints, 3)
-            seen = kps[..., 2] >= confidence
-            for t in [t for t, v in tracks.items() if frame - v[2] > expire + 1]:
-                del tracks[t]
-            taken = _assign(kps, seen, tracks, radius, least)
-            out = []
-            for p, (person_idx, _) in enumerate(held):
-                new = p not in taken
-                track = opened if new else taken[p]
-                opened += new
-                tracks[track] = (kps[p, :, :2], seen[p], frame)
-                out.append((key[0], key[1], frame, person_idx, track, bool(new)))
-            held.clear()
-            return out
-
-        names = ["session_id", "piece", "frame_idx", "person_idx", "local_id", "is_new"]
-        for b in batches:
-            out = []
-            for s, piece, f, p, k in zip(b["session_id"], b["piece"], b["frame_idx"], b["person_idx"], b["kps"]):
-                if (s, piece) != key or f != frame:
-                    out += close()
-                    if (s, piece) != key:
-                        key, opened = (s, piece), 0
-                        tracks.clear()
-                    frame = f
-                held.append((p, np.asarray(k, dtype=float)))
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(close(), columns=names)
+    def scanned(rows: DataFrame, turn: int) -> DataFrame:
+        dealt = rows.select("session_id", "chunk", "frame_idx", "person_idx", "early", "kps", "given").repartition("session_id", "chunk")
+        out = dealt.sortWithinPartitions("session_id", "chunk", "frame_idx", "person_idx").mapInPandas(scan, SCANNED)
+        return written(out.withColumn("turn", F.lit(turn)), "tracks")
 
-    local = rows.select("session_id", "piece", "frame_idx", "person_idx", "kps").mapInPandas(
-        scan, "session_id bigint, piece bigint, frame_idx bigint, person_idx int, local_id bigint, is_new boolean"
-    )
-    counts = local.groupBy("session_id", "piece").agg(F.count_if("is_new").alias("_new"))
-    shift = running_sum(counts, ["session_id"], "piece", {"_upto": F.col("_new")}).select(
-        "session_id", "piece", (F.col("_upto") - F.col("_new")).alias("_shift")
+    turns = scanned(person.withColumn("given", F.lit(None).cast(given_type)), 0)
+    latest = written(turns.select("session_id", "chunk", "turn").distinct(), "turns")
+    borders = written(_borders(turns), "borders")
+    for turn in itertools.count(1):
+        left = borders.select("session_id", (F.col("chunk") + 1).alias("chunk"), F.col("ends").alias("given"))
+        empty = F.array().cast(given_type)
+        wrong = borders.join(left, ["session_id", "chunk"], "left").where(F.col("starts") != F.coalesce("given", empty))
+        wrong = written(wrong.select("session_id", "chunk", F.coalesce("given", empty).alias("given")), "disagreeing")
+        if wrong.isEmpty():
+            break
+        again = scanned(person.join(wrong, ["session_id", "chunk"]), turn)
+        rest = wrong.select("session_id", "chunk")
+        borders = written(borders.join(rest, ["session_id", "chunk"], "left_anti").unionByName(_borders(again)), "borders")
+        latest = written(latest.join(rest, ["session_id", "chunk"], "left_anti").unionByName(again.select("session_id", "chunk", "turn").distinct()), "turns")
+        turns = turns.unionByName(again)
+    final = turns.join(latest, ["session_id", "chunk", "turn"])
+
+    new = final.where("kind = 'row' AND is_new").select("session_id", "chunk", "local")
+    counts = new.groupBy("session_id", "chunk").agg(F.count("*").alias("_new"))
+    shift = running_sum(counts, ["session_id"], "chunk", {"_upto": F.col("_new")}).select("session_id", "chunk", (F.col("_upto") - F.col("_new")).alias("_shift"))
+    order = F.row_number().over(W.partitionBy("session_id", "chunk").orderBy("local")) - 1
+    opened = new.withColumn("_order", order).join(shift, ["session_id", "chunk"]).select(
+        "session_id", F.col("chunk").alias("of_chunk"), F.col("local").alias("of_local"), (F.col("_order") + F.col("_shift")).alias("track_id")
     )
-    return local.join(shift, ["session_id", "piece"]).select(
-        "session_id", "frame_idx", "person_idx", (F.col("local_id") + F.col("_shift")).alias("track_id")
+    opened = written(opened, "opened")
+    sighting = ["session_id", "frame_idx", "person_idx"]
+    before = final.where("kind = 'end'").select(*sighting, (F.col("chunk") + 1).alias("chunk"), F.col("chunk").alias("of_chunk"), F.col("local").alias("of_local"))
+    carried = final.where("kind = 'start'").select(*sighting, "chunk", "local").join(before, [*sighting, "chunk"]).select("session_id", "chunk", "local", "of_chunk", "of_local")
+    ids = _origins(carried).join(opened, ["session_id", "of_chunk", "of_local"]).select("session_id", "chunk", "local", "track_id").unionByName(
+        opened.select("session_id", F.col("of_chunk").alias("chunk"), F.col("of_local").alias("local"), "track_id")
     )
+    rows = final.where("kind = 'row'").select("session_id", "chunk", "frame_idx", "person_idx", "local")
+    return rows.join(ids, ["session_id", "chunk", "local"]).select("session_id", "frame_idx", "person_idx", "track_id")
 
 
 def latch_with_release(df: DataFrame, confirm: Column, upright: Column, hold: int, clear: int) -> DataFrame:
