@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import candidates, datasets, io, paced, people, pose, sequences, stream, tracking, views  # noqa: F401
+from . import candidates, datasets, documents, io, paced, people, pose, sequences, stream, tracking, views  # noqa: F401
 from . import registry
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.strings import last_number
+
 FRAME = ("session_id", "frame_idx")
 
 # Export order of the joints by variant, for the 25-part skeleton.
@@ -14,6 +16,23 @@ EXPORT_ORDER = {
     "foot": (19, 20, 21, 22, 23, 24),
 }
 
+# First parts of the hands and of the face, and the wrists, in the skeleton with 135 parts.
+HANDS_135, FACE_135, LEFT_WRIST, RIGHT_WRIST = 25, 65, 9, 10
+
+#: The same for the skeleton with 135 parts.
+EXPORT_135 = {
+    "body": tuple(range(17)),
+    "foot": tuple(range(19, 25)),
+    "face": tuple(range(FACE_135, FACE_135 + 68)),
+    "hand21": (RIGHT_WRIST, *range(HANDS_135 + 20, HANDS_135 + 40)),
+    "hand42": (LEFT_WRIST, *range(HANDS_135, HANDS_135 + 20), RIGHT_WRIST, *range(HANDS_135 + 20, HANDS_135 + 40)),
+}
+
+
+def image_id(variant: str, name: Column, frame: Column) -> Column:
+    """Body and foot records are named by the image file's last number, the others by the frame's."""
+    return last_number(name) if variant in ("body", "foot") else frame
+
 
 def _flat(kps: Column, parts: int) -> Column:
     """x, y, c of every part in order, zeros where the person lacks it."""
@@ -60,10 +79,10 @@ def write_people_json(frames: DataFrame, path: str) -> None:
     frames.select("session_id", "value").write.partitionBy("session_id").text(path)
 
 
-def coco_results(people: DataFrame, image_id: Column, variant: str = "body") -> DataFrame:
+def coco_results(people: DataFrame, image_id: Column, variant: str = "body", orders: Mapping[str, Sequence[int]] = EXPORT_ORDER) -> DataFrame:
     """One record per person: re-ordered joints as (x, y, 1), unseen ones (-1, -1, 0); people
-    without any joint of the variant are left out."""
-    order = F.array(*[F.lit(j) for j in EXPORT_ORDER[variant]])
+    without any joint of the variant are left out.  ``orders`` are those of the skeleton."""
+    order = F.array(*[F.lit(j) for j in orders[variant]])
     point = F.transform(order, lambda j: F.try_element_at(F.col("kps"), j))
     shown = lambda p: F.coalesce(p["c"] > 0, F.lit(False))
     triple = F.transform(
