@@ -43,14 +43,31 @@ ENDED = {
     **{t: {"td", "th", "caption"} for t in ("td", "th")}, "tr": {"td", "th", "tr", "caption"}, **{t: {"td", "th", "tr", "thead", "tbody", "tfoot", "caption"} for t in ("thead", "tbody", "tfoot")},
 }
 SAME = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in HIDDEN}
-BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
-HINT = re.compile(
-    r"(?<![a-z])(?<!has-)(?<!no-)(?<!with-)(ads?|advert\w*|banner|breadcrumbs?|captcha|carousel|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|legal|login|menu|modal|nav|navbar|navigation|newsletter|notices?|alert"
-    r"|pager|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])",
-    re.I,
+BAD_TAGS = frozenset("nav footer aside menu dialog".split())
+#: Words that name parts of a page which are no article.
+HINTS = (
+    r"ads?|advert\w*|banner|breadcrumbs?|captcha|carousel|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|legal|login|menu|modal|nav|navbar|navigation|newsletter|notices?|alert"
+    r"|pager|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget"
 )
-HEAD_HINT = re.compile(r"(?<![a-z])(header|masthead|topbar)(?![a-z])", re.I)
-COMMENTS = re.compile(r"(?<![a-z])(comments?|disqus|replies|respond)(?![a-z])", re.I)
+HEAD_HINTS = r"header|masthead|topbar"
+COMMENT_HINTS = r"comments?|disqus|replies|respond"
+
+
+def _names(hints: str) -> re.Pattern:
+    """A class or id, or part of one between double marks, that begins or ends with one of the words."""
+    return re.compile(rf"(?<![^\s])(?:{hints})(?![a-z])|(?<![a-z])(?<!has-)(?<!no-)(?<!with-)(?:{hints})(?=[-_]?\d*(?:\s|$))", re.I)
+
+
+HINT, HEAD_HINT, COMMENTS = _names(HINTS), _names(HEAD_HINTS), _names(COMMENT_HINTS)
+#: Names of topics and of settings say nothing about the part that carries them.
+TOPICS = re.compile(r"(?<![^\s])(?:(?:category|categories|cat|tag|topic|term|tax|series|format|keyword)[-_]\S*|\S*[-_](?:open|closed|enabled|disabled|on|off))(?=\s|$)", re.I)
+#: Words for the build of a page behind which the name proper ends.
+BUILD = re.compile(
+    r"(?:[-_](?:inner|outer|wrap|wrapper|container|content|contents|list|items?|links?|box|block|area|section|column|col|row|group|title|text|body|buttons?|bar|panel|desktop|mobile|top|bottom|left|right|main|primary|secondary))+"
+    r"(?=[-_]?\d*(?:\s|$))", re.I,
+)
+#: One reader's comment, where an article element holds it.
+COMMENT = re.compile(r"(?<![^\s])(?:comment|reply)(?:[-_](?:body|item|content|entry|\d+))?(?=\s|$)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|lang|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 TOKEN = re.compile(
@@ -70,34 +87,42 @@ class Block:
     linked: int
     region: int  # 1 in an article, -1 in a part that is none, 0 elsewhere
     heading: bool
+    doubt: int = 0  # number of the part that only a name or a form speaks against
     label: str = ""
 
 
 class Region:
-    def __init__(self, tag: str, kind: int, comments: bool, hidden: bool, unclosed: bool = False) -> None:
-        self.tag, self.kind, self.comments, self.hidden, self.unclosed = tag, kind, comments, hidden, unclosed
+    def __init__(self, tag: str, kind: int, comments: bool, hidden: bool, unclosed: bool = False, doubt: int = 0) -> None:
+        self.tag, self.kind, self.comments, self.hidden, self.unclosed, self.doubt = tag, kind, comments, hidden, unclosed, doubt
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(text)} if text else {}
 
 
-def _region(tag: str, own: dict[str, str], outer: Region) -> Region:
-    names = f"{own.get('class', '')} {own.get('id', '')}"
+def _region(tag: str, own: dict[str, str], outer: Region, number: int) -> Region:
+    """Elements and roles decide at once; a name or a form only raises a doubt, which the text may overrule."""
     if tag in ("html", "body"):
         return Region(tag, 0, False, outer.hidden)
-    comments = outer.comments or bool(COMMENTS.search(names))
-    bad = tag in BAD_TAGS or own.get("role", "").lower() in ROLES or bool(HINT.search(names))
-    bad = bad or outer.kind <= 0 and (tag == "header" or bool(HEAD_HINT.search(names)))
+    role = own.get("role", "").lower()
+    names = f"{own.get('class', '')} {own.get('id', '')}"
+    article = tag in ("article", "main") or role in ("main", "article")
+    if names.strip():
+        names = BUILD.sub("", TOPICS.sub("", names.replace("__", " ").replace("--", " ")))
+    comments = outer.comments or bool((COMMENT if tag == "article" else COMMENTS).search(names)) and (tag == "article" or not article)
+    bad = tag in BAD_TAGS or role in ROLES or outer.kind <= 0 and tag == "header"
+    doubt = 0
     if comments or bad:
         kind = -1
-    elif tag in ("article", "main") or own.get("role", "").lower() in ("main", "article"):
+    elif article:
         kind = 1
+    elif tag == "form" or HINT.search(names) or outer.kind <= 0 and HEAD_HINT.search(names):
+        kind, doubt = -1, number
     else:
-        kind = outer.kind
+        kind, doubt = outer.kind, outer.doubt
     if "hidden" in own:
-        kind, comments = outer.kind, outer.comments
-    return Region(tag, kind, comments, "hidden" in own)
+        kind, comments, doubt = outer.kind, outer.comments, outer.doubt
+    return Region(tag, kind, comments, "hidden" in own, doubt=doubt)
 
 
 def _close(stack: list[Region], tag: str) -> None:
@@ -132,7 +157,7 @@ def blocks(page: str) -> tuple[list[Block], str]:
         nonlocal linked, heading
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            out.append(Block(text, min(linked, len(text)), stack[-1].kind, heading))
+            out.append(Block(text, min(linked, len(text)), stack[-1].kind, heading, stack[-1].doubt))
         parts.clear()
         linked, heading = 0, False
 
@@ -161,13 +186,13 @@ def blocks(page: str) -> tuple[list[Block], str]:
                 stack.pop()
             parts.append(" ")
             end = SAME[tag].search(page, at)
-            stack.append(Region(tag, stack[-1].kind, stack[-1].comments, True, not (end and end[1])))
+            stack.append(Region(tag, stack[-1].kind, stack[-1].comments, True, not (end and end[1]), stack[-1].doubt))
             continue
         if stack[-1].hidden and _stays_hidden(stack, tag, bool(m["close"])):
             if m["close"]:
                 _close(stack, tag)
             elif tag in BLOCKS and tag not in VOID and not m["attrs"].endswith("/"):
-                stack.append(Region(tag, stack[-1].kind, stack[-1].comments, True))
+                stack.append(Region(tag, stack[-1].kind, stack[-1].comments, True, doubt=stack[-1].doubt))
             continue
         if tag == "br":
             breaks += 1
@@ -189,7 +214,7 @@ def blocks(page: str) -> tuple[list[Block], str]:
             if tag in ("p", "li") and stack[-1].tag == tag:  # these end where the next begins
                 stack.pop()
             if tag in BLOCKS or "class" in own or "id" in own or "role" in own or "hidden" in own:
-                stack.append(_region(tag, own, stack[-1]))
+                stack.append(_region(tag, own, stack[-1], m.start() + 1))
         if tag in BLOCKS and not m["close"]:
             heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
     if at < len(page):
@@ -198,6 +223,25 @@ def blocks(page: str) -> tuple[list[Block], str]:
     return out, lang[:2].lower()
 
 
+def _density(text: str, stop: frozenset[str] | set[str]) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?") in stop for w in words) / len(words)
+
+
+def _overrule(found: list[Block], stop: frozenset[str] | set[str]) -> None:
+    """A doubted part that holds most of the page's prose (long blocks dense in stop words, hardly linked) is judged by its text."""
+    if not any(b.doubt for b in found) or any(b.region > 0 for b in found):  # a page that names its article means it
+        return
+    prose: dict[int, int] = {}
+    for b in found:
+        if (b.region >= 0 or b.doubt) and len(b.text) > LONG and b.linked <= LINK_DENSITY * len(b.text) and _density(b.text, stop) >= HIGH:
+            prose[b.doubt] = prose.get(b.doubt, 0) + len(b.text)
+    most = next((d for d, n in prose.items() if d and 2 * n > sum(prose.values())), None)
+    for b in found:
+        if most is not None and b.doubt == most:
+            b.region = 0
+
+
 def _first_pass(b: Block, stop: frozenset[str] | set[str]) -> str:
     if b.region < 0:
         return "bad"
@@ -205,12 +249,11 @@ def _first_pass(b: Block, stop: frozenset[str] | set[str]) -> str:
         return "bad"
     if b.region > 0 and (b.heading or len(b.text) < SHORT):
         return "short"
-    if "©" in b.text:
+    if "©" in b.text and len(b.text) < LONG:
         return "bad"
     if len(b.text) < SHORT or b.heading:
         return "short"
-    words = b.text.lower().split()
-    density = sum(w.strip(".,;:!?") in stop for w in words) / len(words)
+    density = _density(b.text, stop)
     if density >= HIGH:
         return "good" if len(b.text) > LONG else "fair"
     if density >= LOW or b.region > 0:
@@ -258,6 +301,7 @@ def main_text(page: str) -> str:
     """Main text of a page: good blocks in page order, one a line."""
     found, lang = blocks(page)
     stop = set(STOP_WORDS[lang]) if lang in STOP_WORDS else EVERY
+    _overrule(found, stop)
     for b in found:
         b.label = _first_pass(b, stop)
     _second_pass(found)

@@ -69,3 +69,41 @@ def test_table(spark):
     one = str((1, "u", f"é {LONG}", len(LONG) + 2))
     assert got == sorted([one, one, str((2, None, "", 0)), str((None, "v", "", 0))])
     assert M.extract_text(pages.limit(0)).count() == 0
+
+
+PROSE = [
+    f"The committee said that it was going to look at the plans for the canal, and that they had been in the works for a long time because of the many rules that apply to it in this part of the country, number {k}."
+    for k in range(4)
+]
+ARTICLES = [
+    '<article class="post category-legal tag-social">', '<main class="site-main comments-open">', '<article id="related-work">', '<div class="article-body restaurant-menu-review">',
+    '<form id="f" action="x">', '<article class="hentry tag-newsletter tag-cookies has-sidebar">', '<div class="post-content no-sidebar">', '<div id="content" class="with-share">',
+    '<section class="entry category_navigation">', '<div class="story topic-advertising">', '<main id="login-guide">', '<div class="popup-story">', '<div class="page comments-closed">',
+    '<article class="post format-alert">', '<div role="main" class="menu-open">', '<article class="post-1 related">', '<div class="term-footer body">', '<div class="the-social-network review">',
+    '<div class="entry-content"><div class="series-notices">', '<div class="l-share-price-report">',
+]
+
+
+@pytest.mark.parametrize("start", ARTICLES)
+def test_names_do_not_outrank_article_text(start):
+    tag = start[1:].split()[0].rstrip(">")
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    page = f'<html><body class="home comments-open"><nav>Home About Contact</nav>{start}{body}</{tag}><div class="site-footer-inner">© 2020 The company</div></body></html>'
+    assert M.main_text(page) == "\n".join(PROSE)
+
+
+@pytest.mark.parametrize("start", [
+    '<div class="site-footer">', '<div class="c-nav__list">', '<div id="main-sidebar-2">', '<div class="newsletter-signup-box">', '<section class="post-share-buttons">', '<div class="comments-area">', '<aside>',
+])
+def test_other_parts_stay_out(start):
+    tag = start[1:].split()[0].rstrip(">")
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    page = f"<html><body><div>{body}</div>{start}<p>{PROSE[0].replace('committee', 'reader')}</p></{tag}></body></html>"
+    assert M.main_text(page) == "\n".join(PROSE)
+
+
+def test_long_reader_comments_stay_out():
+    story = "<p>" + "It was the best of the times for the people in the town. " * 8 + "</p>"
+    comments = "".join(f'<article class="comment-{k}"><p>{p * 4}</p></article>' for k, p in enumerate(PROSE))
+    for page in (f'<body><div>{story}</div><div class="comments">{comments}</div></body>', f"<body><div>{story}</div>{comments}</body>"):
+        assert "committee" not in M.main_text(page) and "best of the times" in M.main_text(page)
