@@ -297,12 +297,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     sketch = written(sketches(docs, width, bands, key, text), "sketches")
     known = sketch.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(known.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = written(known.join(classes.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"]).select("doc_id", "n", "bands", "regs"), "class-sketches")
+    reps = written(known.join(classes.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"]).dropDuplicates(["fp", "doc_id"]).select("doc_id", "n", "bands", "regs"), "class-sketches")
 
     buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     leaders = written(buckets.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_max"), F.count(F.lit(1)).alias("size")).where("b <> _max").drop("_max"), "leaders")
     shared = written(buckets.join(leaders, "key").select("key", "band", "size", "doc_id", "b"), "shared-buckets")
     texts = two_columns(docs, key, text).join(shared.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_semi")
+    texts = texts.withColumn("_same", F.xxhash64("_text")).dropDuplicates(["_id", "_same"]).drop("_same")  # repeated rows once
     texts = written(texts, "candidate-texts")
 
     pairs = shared.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()

@@ -100,3 +100,22 @@ def test_common_shingles():
     left, right = [[np.array(sorted(rng.sample(range(60), rng.randint(0, 30))), np.uint64) for _ in range(n)] for n in (7, 5)]
     assert N.common_shingles(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
     assert N.common_shingles([], right).shape == (0, 5)
+
+
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    """Two near documents, fifty rows each: one pair is verified, and every row is answered."""
+    from samples import sentence
+
+    words = sentence(random.Random(2), 60).split()
+    rows = [(1, " ".join(words))] * 50 + [(2, " ".join([*words[:-1], "other"]))] * 50
+    sizes, write = {}, N.written
+
+    def noted(df, name):
+        out = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(N, "written", noted)
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True)] * 50 + [(2, 1, False)] * 50
+    assert sizes["class-sketches"] == 2 and sizes["candidate-texts"] == 2 and sizes["star-links"] == 1
