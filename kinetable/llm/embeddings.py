@@ -12,7 +12,8 @@ vector: the number of links and the smallest id it reaches within the pair, neve
 thousands of near copies costs comparisons but no rows.  Components follow from these rows.
 
 Edge cases: a null label or id and vectors that are null, empty, zero or hold null or non-finite components link with
-nothing and are kept; vectors of different lengths don't link; repeated rows count as further vectors;
+nothing and are kept; vectors of different lengths don't link; repeated rows count as further vectors,
+and so do rows with one id and different vectors, each with links of its own;
 extra columns play no part.
 """
 
@@ -33,31 +34,43 @@ from .components import components, least_reached
 COSINE = 0.98
 #: Projections, vectors in an interval and in a leaf, vectors in a sorted partition.
 AXES, INTERVAL, LEAF, SORTED = 8, 1024, 128, 8192
+#: Largest components between which squares and their sums are far from the ends of the doubles.
+LEAST, MOST = 1e-120, 1e120
 #: Rows to which the tasks' second moments are added up before they are collected.
 MOMENTS = 16
 
 
-def valid_vectors(vectors: DataFrame, key: str, label: str, embedding: str) -> DataFrame:
-    """_id, _label, fp and vec (doubles, as bytes) of the rows that can link. Narrow."""
+def fingerprinted(vectors: DataFrame, key: str, label: str, embedding: str) -> DataFrame:
+    """_id, _label, fp and vec (doubles, as bytes) of every row; fp and vec are null for those that link with nothing. Narrow.
+
+    Vectors whose squares would leave the doubles are scaled by a power of two, which changes no cosine.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, fp, out = [], [], []
+            fp, out = [], []
             for k, x in enumerate(batch.column("_vec")):
                 v = x.values
-                if not x.is_valid or not len(v) or v.null_count:
+                fp.append(None)
+                out.append(None)
+                if not x.is_valid or not len(v) or v.null_count or not (batch.column("_id")[k].is_valid and batch.column("_label")[k].is_valid):
                     continue
                 a = v.to_numpy(zero_copy_only=False)
-                norm = math.sqrt(float(a @ a)) if np.isfinite(a).all() else 0.0
-                if norm > 0 and math.isfinite(norm):
-                    keep.append(k)
-                    out.append(a.tobytes())
-                    fp.append(xxh3_128_digest(out[-1]))
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(at), batch.column("_label").take(at), pa.array(fp, pa.binary()), pa.array(out, pa.binary())], ["_id", "_label", "fp", "vec"])
+                most = float(np.abs(a).max())
+                if most > 0 and np.isfinite(a).all():
+                    fp[-1] = xxh3_128_digest(a.tobytes())
+                    if not LEAST < most < MOST:
+                        a = np.ldexp(a, -math.frexp(most)[1])
+                    out[-1] = a.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array(fp, pa.binary()), pa.array(out, pa.binary())], ["_id", "_label", "fp", "vec"])
 
     some = vectors.select(F.col(key).cast("long").alias("_id"), F.col(label).cast("long").alias("_label"), F.col(embedding).cast("array<double>").alias("_vec"))
-    return some.where("_id IS NOT NULL AND _label IS NOT NULL").mapInArrow(run, "_id long, _label long, fp binary, vec binary")
+    return some.mapInArrow(run, "_id long, _label long, fp binary, vec binary")
+
+
+def valid_vectors(vectors: DataFrame, key: str, label: str, embedding: str) -> DataFrame:
+    """The fingerprinted rows that can link."""
+    return fingerprinted(vectors, key, label, embedding).where("fp IS NOT NULL")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -212,20 +225,22 @@ def links_between(pairs: DataFrame, cut: DataFrame, eps: float, cosine: float) -
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", label: str = "label", embedding: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id (smallest id reachable) and kept."""
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    valid = valid_vectors(vectors, key, label, embedding)
-    sized = written(valid.groupBy("_label", "fp").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("vec").alias("vec")), "vector-classes")
+    rows = fingerprinted(vectors, key, label, embedding)
+    classes = rows.where("fp IS NOT NULL").groupBy("_label", "fp").agg(F.min("_id").alias("least_id"), F.count(F.lit(1)).alias("n"), F.min("vec").alias("vec"))
+    # classes have numbers of their own, as two of them may hold the same id; the numbers are written with them
+    sized = written(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     shape = sized.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("vec")).alias("width")).first()
     cut = written(intervals(sized, principal_axes(sized, (shape.width or 8) // 8), eps, shape.n), "grid-order")
     pairs = written(near_intervals(cut, eps), "interval-pairs")
     found = written(links_between(pairs.repartition(max(1, pairs.count() // 16), "x", "y"), cut, eps, cosine), "links")
     comps = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = sized.select("_label", "fp", "rep", "n").join(totals, "rep", "left").join(comps, "rep", "left")
-    classes = classes.select("_label", "fp", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    classes = sized.select("_label", "fp", "rep", "least_id", "n").join(totals, "rep", "left").join(comps, "rep", "left")
+    classes = classes.select("_label", "fp", "least_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("of"))
     classes = written(classes, "vector-components")
-    linked = valid.select("_id", "_label", "fp").join(classes, ["_label", "fp"]).select("_id", "links", "component")
-    linked = written(linked, "linked-vectors").dropDuplicates(["_id"])  # rows with equal ids share the first answer
-    out = vectors.select(F.col(key).cast("long").alias("vec_id")).join(linked, F.col("vec_id") == F.col("_id"), "left")
+    names = classes.groupBy("of").agg(F.min("least_id").alias("component"))
+    linked = classes.join(names, "of").select("_label", "fp", "links", "component")
+    out = rows.select(F.col("_id").alias("vec_id"), "_label", "fp").join(linked, ["_label", "fp"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 

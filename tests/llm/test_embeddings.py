@@ -66,3 +66,24 @@ def test_distant_intervals_are_skipped(spark):
     cut = E.intervals(classes, axes, 0.2, 200 * E.SORTED // 20).cache()
     n = cut.count()
     assert E.near_intervals(cut, 0.2).count() < n * (n + 1) / 4
+
+
+def answers(spark, rows):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(2)
+    return sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicate_vectors(table).collect())
+
+
+def test_one_id_with_two_vectors(spark):
+    """Each row has the links of its own vector."""
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1)]
+    assert answers(spark, rows) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1)]
+    assert answers(spark, rows) == [(2, 1, 2, True), (3, 1, 3, True), (5, 1, 2, False), (5, 1, 3, False)]
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e300, 1e-200, 1e-300])
+def test_norms_outside_the_doubles(spark, scale):
+    rows = [(1, [scale, 0.0], 1), (2, [scale, scale * 0.01], 1), (3, [0.0, scale], 1), (4, [1.0, 0.0], 1), (None, [scale, 0.0], 1), (6, [scale, 0.0], None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in E.near_duplicate_vectors(table).collect())
+    assert got == [("1", 2, "1"), ("2", 2, "1"), ("3", 0, "3"), ("4", 2, "1"), ("6", 0, "6"), ("None", 0, "None")]
