@@ -216,15 +216,15 @@ def _(spark, sf):
 
 @query(
     "backproject_affine",
-    """SELECT k.session_id, k.frame_idx, k.person_idx, joint, ROUND(box_w/368*x + 0.1E0*y + box_x, 6) + 0.0E0 AS x,
+    """SELECT k.session_id, k.frame_idx, k.person_idx, side, joint, ROUND(box_w/368*x + 0.1E0*y + box_x, 6) + 0.0E0 AS x,
   ROUND(box_h/368*y + box_y, 6) + 0.0E0 AS y FROM people_t k JOIN hands_t h ON h.session_id = k.session_id AND h.frame_idx = k.frame_idx
-   AND h.person_idx = k.person_idx AND side = 'left' AND box_w > 0""",
+   AND h.person_idx = k.person_idx AND box_w > 0""",
 )
 def _(spark, sf):
     ppl = fx.people(spark, sf)
     zero = F.lit(0.0)
-    affine = P.hand_boxes(ppl).where("side = 'left' AND box_w > 0").select(
-        *P.PERSON, (F.col("box_w") / 368).alias("m00"), F.lit(0.1).alias("m01"), F.col("box_x").alias("m02"),
+    affine = P.hand_boxes(ppl).where("box_w > 0").select(
+        *P.PERSON, "side", (F.col("box_w") / 368).alias("m00"), F.lit(0.1).alias("m01"), F.col("box_x").alias("m02"),
         zero.alias("m10"), (F.col("box_h") / 368).alias("m11"), F.col("box_y").alias("m12"),
     )
     return rounded(P.backproject_affine(ppl.drop("c"), affine, P.PERSON), "x", "y")
@@ -314,12 +314,13 @@ def _(spark, sf):
     return rounded(P.track_hand_boxes(P.hand_boxes(ppl), P.confident_hands(hands)), *BOX)
 
 
+_before = "SELECT *, LAG({'frame_idx': frame_idx, 'x': x, 'y': y, 'c': c}) OVER (PARTITION BY session_id, person_idx, joint ORDER BY frame_idx) AS old FROM people_t"
+
+
 @query(
     "merge_best_keypoint",
-    f"""SELECT session_id, frame_idx, person_idx, joint, t AS replaced, {', '.join(f'ROUND(CASE WHEN t THEN new_{v} ELSE old_{v} END, 6) + 0.0E0 AS {v}' for v in 'xyc')} FROM (
- SELECT a.session_id, a.frame_idx, a.person_idx, a.joint, a.x AS old_x, a.y AS old_y, a.c AS old_c, b.x AS new_x, b.y AS new_y, b.c AS new_c, COALESCE(b.c - a.c > 0.05E0, FALSE) AS t
- FROM people_t a LEFT JOIN (SELECT *, frame_idx + 1 AS next FROM people_t) b
-  ON a.session_id = b.session_id AND a.frame_idx = b.next AND a.person_idx = b.person_idx AND a.joint = b.joint)""",
+    f"""SELECT session_id, frame_idx, person_idx, joint, t AS replaced, {', '.join(f'ROUND(CASE WHEN t THEN old.{v} ELSE {v} END, 6) + 0.0E0 AS {v}' for v in 'xyc')} FROM (
+ SELECT *, COALESCE(old.frame_idx = frame_idx - 1 AND old.c - c > 0.05E0, FALSE) AS t FROM ({_before}))""",
 )
 def _(spark, sf):
     ppl = fx.people(spark, sf)
@@ -330,12 +331,10 @@ def _(spark, sf):
 @query(
     "blend_tracked",
     f"""SELECT session_id, frame_idx, person_idx, joint, c >= 0.6E0 AS active, {', '.join(
-        f"ROUND(CASE WHEN before IS NULL THEN {v} WHEN c < 0.6E0 THEN p{v} WHEN d < 5 THEN p{v} WHEN d < 10 THEN FLOOR((p{v} + o{v})/2.0E0 + 0.5E0) ELSE o{v} END, 6) + 0.0E0 AS {v}" for v in 'xy')}
+        f"ROUND(CASE WHEN old.frame_idx IS NULL THEN {v} WHEN c < 0.6E0 THEN p{v} WHEN d < 5 THEN p{v} WHEN d < 10 THEN FLOOR((p{v} + o{v})/2.0E0 + 0.5E0) ELSE o{v} END, 6) + 0.0E0 AS {v}" for v in 'xy')}
 FROM (SELECT *, SQRT(POWER(px - ox, 2) + POWER(py - oy, 2)) AS d FROM (
- SELECT o.session_id, o.frame_idx, o.person_idx, o.joint, o.x, o.y, o.c, p.next AS before, ROUND_EVEN(p.x, 0) AS px, ROUND_EVEN(p.y, 0) AS py,
-  FLOOR(o.x + 0.5E0) AS ox, FLOOR(o.y + 0.5E0) AS oy
- FROM people_t o LEFT JOIN (SELECT *, frame_idx + 1 AS next FROM people_t) p
-  ON o.session_id = p.session_id AND o.frame_idx = p.next AND o.person_idx = p.person_idx AND o.joint = p.joint))""",
+ SELECT * REPLACE (CASE WHEN old.frame_idx = frame_idx - 1 THEN old END AS old), ROUND_EVEN(CASE WHEN old.frame_idx = frame_idx - 1 THEN old.x END, 0) AS px,
+  ROUND_EVEN(CASE WHEN old.frame_idx = frame_idx - 1 THEN old.y END, 0) AS py, FLOOR(x + 0.5E0) AS ox, FLOOR(y + 0.5E0) AS oy FROM ({_before})))""",
 )
 def _(spark, sf):
     ppl = fx.people(spark, sf)

@@ -128,12 +128,12 @@ def _(spark, sf):
 
 
 @query("stream_reorder", """SELECT session_id, event_id AS payload_id, frame_idx, CAST(v AS INTEGER) AS view_idx,
-  ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY frame_idx, v) - 1 AS seq, FALSE AS late FROM frames_t JOIN (SELECT UNNEST(RANGE(4)) AS v) ON v <= event_id % 4 WHERE frame_idx % 17 <> 5""")
+  ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY frame_idx, v) - 1 AS seq, FALSE AS late FROM frames_t JOIN (SELECT UNNEST(RANGE(4)) AS v) ON v <= event_id % 4""")
 def _(spark, sf):
     views = fx.frames(spark, sf).select(
         "session_id", "frame_idx", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 4).cast("int"))).alias("view_idx"),
         (F.col("event_id") % 4 + 1).cast("int").alias("n_views"), F.col("event_id").cast("string").alias("payload"),
-    ).where("frame_idx % 17 <> 5").orderBy(F.xxhash64("payload", "view_idx"))  # some frames never come
+    ).orderBy(F.xxhash64("payload", "view_idx"))
     ends = views.select("session_id").distinct().select("session_id", *[F.lit(None).cast(t).alias(c) for c, t in views.dtypes if c != "session_id"])
     views = views.unionByName(ends)
     out = drained(flows.reorder_stream(replay(views, "shuffled")), "ordered")
@@ -141,7 +141,7 @@ def _(spark, sf):
 
 
 @query("stream_assemble_views", """SELECT session_id, frame_idx, CAST(event_id % 4 + 1 AS INTEGER) AS n_views, STRING_AGG(v::VARCHAR, ',' ORDER BY v) AS views
-FROM frames_t JOIN (SELECT UNNEST(RANGE(4)) AS v) ON v <= event_id % 4 WHERE (event_id*(v + 1)) % 11 <> 0 AND ts < (SELECT MAX(ts) - INTERVAL 10 SECONDS FROM frames_t WHERE event_id % 11 <> 0)
+FROM frames_t JOIN (SELECT UNNEST(RANGE(4)) AS v) ON v <= event_id % 4 WHERE (event_id*(v + 1)) % 11 <> 0
 GROUP BY ALL HAVING COUNT(*) = event_id % 4 + 1""")
 def _(spark, sf):
     e = F.col("event_id")
@@ -149,7 +149,7 @@ def _(spark, sf):
         "session_id", "frame_idx", F.col("ts").cast("timestamp").alias("ts"), (e % 4 + 1).cast("int").alias("n_views"), e,
         F.explode(F.sequence(F.lit(0), (e % 4).cast("int"))).alias("view_idx"),
     ).where((e * (F.col("view_idx") + 1)) % 11 != 0)
-    out = drained(flows.assemble_views_stream(replay(views, "views")), "frames")
+    out = drained(flows.assemble_views_stream(replay(flows.with_end(views, "1 HOUR"), "views")), "frames")
     return out.select("session_id", "frame_idx", "n_views", F.array_join(F.transform("views", lambda v: v.cast("string")), ",").alias("views"))
 
 
@@ -166,10 +166,27 @@ def _(spark, sf):
     return drained(flows.status_events(replay(timed, "decisions")), "status")
 
 
+def windows(spark, sf, kind: str, length: str, slide_or_gap: str):
+    events = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    out = drained(flows.status_windows(replay(flows.with_end(events, "30 DAYS"), "events"), kind, length, slide_or_gap), "windows")
+    return rounded(out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}), "mean_value")
+
+
 @query("stream_session_windows", """SELECT user_id AS session_id, s AS "start", s + INTERVAL 6 HOURS AS "end", COUNT(*) AS events, ROUND(AVG(value), 6) AS mean_value
-FROM (SELECT *, TIME_BUCKET(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS s FROM events) WHERE s + INTERVAL 6 HOURS <= (SELECT MAX(ts) - INTERVAL 1 MINUTE FROM events) GROUP BY ALL""")
+FROM (SELECT *, TIME_BUCKET(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS s FROM events) GROUP BY ALL""")
 def _(spark, sf):
-    events = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    out = drained(flows.status_windows(replay(events, "events"), "tumbling", "6 hours", ""), "windows")
-    out = out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
-    return rounded(out, "mean_value")
+    return windows(spark, sf, "tumbling", "6 hours", "")
+
+
+@query("stream_sliding_windows", """SELECT user_id AS session_id, s AS "start", s + INTERVAL 6 HOURS AS "end", COUNT(*) AS events, ROUND(AVG(value), 6) AS mean_value
+FROM (SELECT *, TIME_BUCKET(INTERVAL 2 HOURS, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 2 HOURS AS s FROM events, (SELECT UNNEST([0, 1, 2]) AS k)) GROUP BY ALL""")
+def _(spark, sf):
+    return windows(spark, sf, "sliding", "6 hours", "2 hours")
+
+
+@query("stream_gap_windows", """SELECT session_id, MIN(ts) AS "start", MAX(ts) + INTERVAL 8 HOURS AS "end", COUNT(*) AS events, ROUND(AVG(value), 6) AS mean_value FROM (
+ SELECT *, SUM(fresh) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM (
+  SELECT user_id AS session_id, ts, event_id, value, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 8 HOURS THEN 0 ELSE 1 END AS fresh FROM events))
+GROUP BY session_id, n""")
+def _(spark, sf):
+    return windows(spark, sf, "session", "", "8 hours")
