@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .chunks import by_chunk, chunked, core, halo
 
@@ -15,15 +15,18 @@ def _with_previous_role(turns: DataFrame) -> DataFrame:
     return core(wide.withColumn("_before", F.lag("role").over(by_chunk(["conv_id"], "turn")))).drop("_chunk")
 
 
-def validate_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, error) for every broken turn."""
-    error = (
+def _error() -> Column:
+    return (
         F.when(F.col("role").isNull() | ~F.col("role").isin(*ROLES), "unknown role")
         .when(F.col("text").isNull() | ~F.col("text").rlike(r"\S"), "no text")
         .when((F.col("role") == "assistant") & ~F.coalesce(F.col("_before") == "user", F.lit(False)),
               "answer without a question before it")
     )
-    return _with_previous_role(turns).select("conv_id", "turn", error.alias("error")).where("error IS NOT NULL")
+
+
+def validate_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, error) for every broken turn."""
+    return _with_previous_role(turns).select("conv_id", "turn", _error().alias("error")).where("error IS NOT NULL")
 
 
 def empty_conversations(conversations: DataFrame, turns: DataFrame) -> DataFrame:
@@ -48,9 +51,10 @@ def expand_assistant_turns(turns: DataFrame) -> DataFrame:
     (conversation, block) and is put together from them.  No task sees a whole conversation unless
     it is the prompt of one sample.
     """
-    turns = valid_conversations(turns)
-    rows = _with_previous_role(turns)
-    targets = rows.where((F.col("role") == "assistant") & (F.col("_before") == "user")).select(
+    rows = _with_previous_role(turns).withColumn("_error", _error())
+    broken = rows.where("_error IS NOT NULL").select("conv_id").distinct()
+    # conversations without samples ask for no blocks, so only the targets are filtered
+    targets = rows.where("role = 'assistant' AND _error IS NULL").join(broken, "conv_id", "left_anti").select(
         "conv_id", F.col("turn").alias("target"), F.col("text").alias("completion")
     )
     asked = targets.withColumn(

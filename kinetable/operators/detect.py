@@ -128,7 +128,7 @@ def fall_evidence(
     keypoints: DataFrame, fps: float, frame_height: int, config: RuleConfig, threshold: float = 0.2
 ) -> DataFrame:
     """Core rows with inputs, score, predicates and pre-fall state, partitioned by (session, chunk)."""
-    geometry = written(frame_geometry(keypoints, threshold), "geometry")
+    geometry = frame_geometry(keypoints, threshold)  # its exchange is shared by all that reads it
     series = features_with_halo(geometry, fps, frame_height, evidence_reach(fps, config))
     scored = fall_score(evidence_inputs(series), threshold_columns(config))
     return core(evidence(scored, fps, config))
@@ -139,7 +139,7 @@ def fall_states(
 ) -> DataFrame:
     """State and score of every frame."""
     config = config or RuleConfig()
-    found = fall_evidence(keypoints, fps, frame_height, config, threshold)
+    found = written(fall_evidence(keypoints, fps, frame_height, config, threshold), "evidence")  # read by both sides of the join
     falls = spread_to_chunks(first_fallen(found, fps, config), "_last")
     return (
         found.join(falls, ["session_id", "_chunk"])
@@ -159,7 +159,11 @@ def session_summary(
     Reads chunk summaries only; the frames are never joined with a per-session value.
     """
     config = config or RuleConfig()
-    found = fall_evidence(keypoints, fps, frame_height, config, threshold)
+    found = fall_evidence(keypoints, fps, frame_height, config, threshold).select(
+        "session_id", "_chunk", "frame_idx", "detected", "recent", "_lying", "lost", "motion", "score",
+        "hip_speed", "head_speed", "torso_angle", "bbox_aspect",
+    )
+    found = written(found, "evidence")
     peaks = found.groupBy("session_id").agg(
         F.min(F.when(F.col("motion"), F.col("frame_idx"))).alias("first_falling_frame"),
         F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"),

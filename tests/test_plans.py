@@ -44,3 +44,14 @@ def test_calibration_stream_reads_all_frames(spark):
     got = QUERIES["stream_calibration_fps"](spark, SF).select("session_id", "frame_idx")
     want = fx.frames(spark, SF).select("session_id", "frame_idx")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("name", ["fall_states", "session_summary"])
+def test_evidence_is_worked_out_once(spark, name):
+    """Both sides of the final join read the written evidence."""
+    text = plan(spark, name)
+    assert text.count("FileScan parquet") >= 2 and "joint" not in text and text.count("Window [") < 8
+
+
+def test_roles_are_looked_up_once(spark):
+    assert plan(spark, "expand_assistant_turns").count("windowspecdefinition") <= 2
