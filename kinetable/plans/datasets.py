@@ -89,10 +89,10 @@ def _(spark, sf):
 
 
 @query("pivot_variants", """SELECT user_id, MAX(event_id) FILTER (event_type = 'click')::VARCHAR AS click, MAX(event_id) FILTER (event_type = 'view')::VARCHAR AS view,
-  MAX(event_id) FILTER (event_type = 'error')::VARCHAR AS error FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY user_id""")
+  MAX(event_id) FILTER (event_type = 'error')::VARCHAR AS error, MAX(event_id) FILTER (event_type = 'signup')::VARCHAR AS signup, MAX(event_id) FILTER (event_type = 'purchase')::VARCHAR AS purchase FROM events GROUP BY user_id""")
 def _(spark, sf):
-    variants = ["click", "view", "error"]
-    answers = table(spark, sf, "events").where(F.col("event_type").isin(*variants)).groupBy("user_id", "event_type").agg(
+    variants = ["click", "view", "error", "signup", "purchase"]
+    answers = table(spark, sf, "events").groupBy("user_id", "event_type").agg(
         F.max("event_id").cast("string").alias("response")
     )
     return D.pivot_variants(answers, "user_id", "event_type", "response", variants)

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from ..operators import metrics
 from ..operators.detect import RuleConfig
 from ..scratch import new_folder, written
-from ..sources import readers as R, writers as Wr
+from ..sources import artefacts as A, readers as R, writers as Wr
 from . import fixtures as fx
 from .pose import metrics_sql, verdicts, M, _vg
 from .registry import query, rounded, table
 from .stream import drained
 
+KINDS = ("click", "view", "error", "signup", "purchase")
 _empty = "frame_idx % 13 = 7"  # frames in which nobody is seen
 _rows = f"""SELECT p.session_id, p.frame_idx, p.person_idx, CAST(j AS INTEGER) AS joint, ROUND(COALESCE(x, 0), 6) AS x, ROUND(COALESCE(y, 0), 6) + 0.0E0 AS y, ROUND(COALESCE(c, 0), 6) AS c
 FROM (SELECT DISTINCT session_id, frame_idx, person_idx FROM people_t WHERE NOT {_empty}) p CROSS JOIN (SELECT UNNEST(RANGE(19)) AS j)
@@ -62,7 +63,7 @@ def _(spark, sf):
 @query(
     "src_keypoint_csv",
     f"""WITH r AS (SELECT session_id, frame_idx, joint, x, y, c FROM kp_t WHERE c > 0 AND joint NOT IN (1, 8)),
- g AS (SELECT session_id, f AS frame_idx, CAST(j AS INTEGER) AS joint FROM (SELECT session_id, UNNEST(RANGE(MAX(frame_idx) + 1)) AS f FROM r GROUP BY 1), (SELECT UNNEST(RANGE(25)) AS j)),
+ g AS (SELECT session_id, f AS frame_idx, CAST(j AS INTEGER) AS joint FROM (SELECT session_id, UNNEST(RANGE(MAX(frame_idx) + 1)) AS f FROM kp_t GROUP BY 1), (SELECT UNNEST(RANGE(25)) AS j)),
  t AS (SELECT session_id, frame_idx, joint AS dst, x, y, c FROM r UNION ALL SELECT session_id, frame_idx, CASE WHEN joint IN (2, 5) THEN 1 ELSE 8 END, x, y, c FROM r WHERE joint IN (2, 5, 9, 12)),
  m AS (SELECT session_id, frame_idx, dst, SUM(x*c)/SUM(c) AS x, SUM(y*c)/SUM(c) AS y, AVG(c) AS c FROM t GROUP BY ALL)
 SELECT g.session_id, g.frame_idx, joint, ROUND(x, 6) AS x, ROUND(y, 6) AS y, ROUND(COALESCE(c, 0), 6) AS c FROM g LEFT JOIN m ON m.session_id = g.session_id AND m.frame_idx = g.frame_idx AND dst = joint""",
@@ -70,7 +71,7 @@ SELECT g.session_id, g.frame_idx, joint, ROUND(x, 6) AS x, ROUND(y, 6) AS y, ROU
 def _(spark, sf):
     path = new_folder(spark, "keypoint-csv")
     names = F.create_map(*[v for n, j in R.CSV_PARTS.items() for v in (F.lit(j), F.lit(n))])
-    fx.keypoints(spark, sf).where("c > 0 AND joint NOT IN (1, 8)").select(
+    fx.keypoints(spark, sf).where("joint NOT IN (1, 8)").select(
         "session_id", (F.col("frame_idx") + 1).alias("Frame"), names[F.col("joint")].alias("Keypoint"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("c").alias("Confidence")
     ).repartition("session_id", F.floor(F.col("Frame") / 4096)).write.partitionBy("session_id").option("header", True).csv(path)
     out = R.read_keypoint_csv(spark, path, ["session_id"]).withColumn("session_id", F.col("session_id").cast("bigint"))
@@ -199,11 +200,21 @@ def _(spark, sf):
     return spark.read.schema("session_id bigint, frame_idx bigint, event_type string, value double").parquet(path)
 
 
-@query("sink_comparison_jsonl", "SELECT user_id, MAX(event_id) FILTER (event_type = 'click') AS click, MAX(event_id) FILTER (event_type = 'view') AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
+@query("sink_artefacts", "SELECT session_id, frame_idx, event_type, value, CASE WHEN session_id % 2 = 0 THEN 1 ELSE 2 END AS turn FROM frames_t")
+def _(spark, sf):
+    """Every second session first, then all: the second run writes only what is missing."""
+    path = new_folder(spark, "artefacts")
+    rows = fx.frames(spark, sf).select("session_id", "frame_idx", "event_type", "value")
+    A.write_artefacts(rows.where("session_id % 2 = 0").withColumn("turn", F.lit(1)), path)
+    A.write_artefacts(rows.withColumn("turn", F.lit(2)), path, existing="skip")
+    return A.read_artefacts(spark, path).drop("run")
+
+
+@query("sink_comparison_jsonl", f"SELECT user_id, {', '.join(f"MAX(event_id) FILTER (event_type = '{k}') AS {k}" for k in KINDS)} FROM events GROUP BY user_id")
 def _(spark, sf):
     from ..operators.datasets import pivot_variants
 
     path = new_folder(spark, "comparison")
-    answers = table(spark, sf, "events").where("event_type IN ('click', 'view')").groupBy("user_id", "event_type").agg(F.max("event_id").alias("response"))
-    Wr.write_json(pivot_variants(answers, "user_id", "event_type", "response", ["click", "view"]), path)
-    return spark.read.schema("user_id bigint, click bigint, view bigint").json(path)
+    answers = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("response"))
+    Wr.write_json(pivot_variants(answers, "user_id", "event_type", "response", list(KINDS)), path)
+    return spark.read.schema(", ".join(["user_id bigint", *[f"{k} bigint" for k in KINDS]])).json(path)
