@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import metrics, paced, timeseries
+from ..streaming import detector
 from . import fixtures as fx, pose, stream
 from .registry import cte, query, rounded
 
@@ -129,3 +130,11 @@ FROM (SELECT w.*, COALESCE(frame_idx >= f, FALSE) AS fallen FROM pcwalk_t w JOIN
 @query("paced_causal_fall_states", stream.LIVE_SQL.replace("cstates_t", "pcstates_t"))
 def _(spark, sf):
     return rounded(paced.causal_fall_states(fx.keypoints(spark, sf), sessions(spark, sf)), *stream.OUT)
+
+
+@query("stream_paced_detector", stream.LIVE_SQL.replace("cstates_t", "pcstates_t"))
+def _(spark, sf):
+    """One stream of sessions that name their own rate and height."""
+    own = sessions(spark, sf).select("session_id", "fps", "frame_height")
+    live = stream.live_frames(spark, sf).drop("seconds").join(own, "session_id").withColumn("seconds", F.col("frame_idx") / F.col("fps"))
+    return rounded(stream.drained(detector.detect_stream(stream.replay(live, "paced-frames"), detector.LiveConfig()), "paced-states"), *stream.OUT)

@@ -36,12 +36,19 @@ def _mentions(sql: str) -> set[str]:
 
 
 def resolved(sql: str, recursive: bool = False) -> str:
-    """Prefix ``sql`` with the building blocks it mentions, in definition order."""
-    need, todo = set(), _mentions(sql)
-    while todo:
-        need |= todo
-        todo = set().union(*[_mentions(CTES[n]) for n in todo]) - need
-    parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in need]
+    """Prefix ``sql`` with the building blocks it mentions, each behind those that it builds on."""
+    ordered: dict[str, None] = {}
+
+    def place(name: str) -> None:
+        for other in CTES:
+            if other in _mentions(CTES[name]) - {name} and other not in ordered:
+                place(other)
+        ordered[name] = None
+
+    for name in CTES:
+        if name in _mentions(sql) and name not in ordered:
+            place(name)
+    parts = [f"{n} AS ({CTES[n]})" for n in ordered]
     body = sql.strip()
     head = re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.I)
     if head:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.detect import RuleConfig
@@ -63,14 +63,14 @@ class FallProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.memory = handle.getValueState("memory", "fps double, buffer string, machine string, newest bigint")
+        self.memory = handle.getValueState("memory", "fps double, height double, buffer string, machine string, newest bigint")
 
     def _load(self):
-        return self.memory.get() if self.memory.exists() else (self.config.fps, "[]", None, -1)
+        return self.memory.get() if self.memory.exists() else (None, None, "[]", None, -1)
 
-    def _decide(self, key, fps: float, memory: str | None, newest: int, queue: list[dict]):
+    def _decide(self, key, fps: float, height: float, memory: str | None, newest: int, queue: list[dict]):
         c = self.config
-        rule = LiveRule(fps, c.frame_height, c.rule, c.calibration_seconds, c.auto_clear_seconds, c.fall_hold_seconds)
+        rule = LiveRule(fps, height, c.rule, c.calibration_seconds, c.auto_clear_seconds, c.fall_hold_seconds)
         m, out = Memory.load(memory) if memory else Memory(), []
         for r in queue:
             if r["control"] == "force":
@@ -85,27 +85,34 @@ class FallProcessor(StatefulProcessor):
                 newest = r["frame_idx"]
         return m.dump(), newest, out
 
+    def _height(self, height: float | None, queue: list[dict]) -> float:
+        return height or next((r["frame_height"] for r in queue if r["frame_height"]), None) or self.config.frame_height
+
     def _rate(self, queue: list[dict], ended: bool) -> float | None:
+        """The rate that the session's rows or the settings name; else that of the first frames, once there are enough."""
+        named = next((r["fps"] for r in queue if r["fps"]), None) or self.config.fps
+        if named:
+            return named
         times = [r["seconds"] for r in queue if r["control"] is None]
         if len(times) >= PROBE_FRAMES or ended:
             return probe_fps(times[:PROBE_FRAMES], self.config.fallback_fps)
         return None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fps, buffer, memory, newest = self._load()
+        fps, height, buffer, memory, newest = self._load()
         arrived = pd.concat(list(rows)).astype(object)
         arrived = arrived.where(arrived.notna(), None)
         arrived["_after"] = arrived["control"].notna()
         queue = json.loads(buffer) + arrived.sort_values(["frame_idx", "_after"]).to_dict("records")
         ended = any(r["control"] == "end" for r in queue)
-        fps, out = fps or self._rate(queue, ended), []
+        fps, height, out = fps or self._rate(queue, ended), self._height(height, queue), []
         if fps is not None:
-            memory, newest, out = self._decide(key, fps, memory, newest, queue)
+            memory, newest, out = self._decide(key, fps, height, memory, newest, queue)
             queue = []
         if ended:
             self.memory.clear()
         else:
-            self.memory.update((fps, json.dumps(queue), memory, newest))
+            self.memory.update((fps, float(height), json.dumps(queue), memory, newest))
         if self.config.idle_ms is not None:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
@@ -114,10 +121,10 @@ class FallProcessor(StatefulProcessor):
         yield pd.DataFrame(out, columns=COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        fps, buffer, memory, newest = self._load()
+        fps, height, buffer, memory, newest = self._load()
         queue = json.loads(buffer)
         self.memory.clear()
-        out = self._decide(key, fps or self._rate(queue, True), memory, newest, queue)[2] if queue else []
+        out = self._decide(key, fps or self._rate(queue, True), self._height(height, queue), memory, newest, queue)[2] if queue else []
         yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
@@ -125,13 +132,16 @@ class FallProcessor(StatefulProcessor):
 
 
 INPUT_COLUMNS = ("session_id", "frame_idx", "seconds", "detected", *SIGNALS, "body_height", "control")
+#: What a session may say of itself; the settings hold where it doesn't.
+OWN_COLUMNS = ("fps", "frame_height")
 
 
 def detect_stream(frames: DataFrame, config: LiveConfig) -> DataFrame:
-    """Decisions for a stream of frame geometry (``INPUT_COLUMNS``), optionally unioned with commands."""
+    """Decisions for a stream of frame geometry (``INPUT_COLUMNS``, ``OWN_COLUMNS`` if there are any), optionally unioned with commands."""
     use_rocksdb(frames.sparkSession)
+    own = [(F.col(c) if c in frames.columns else F.lit(None)).cast("double").alias(c) for c in OWN_COLUMNS]
     return (
-        frames.select(*INPUT_COLUMNS)
+        frames.select(*INPUT_COLUMNS, *own)
         .groupBy("session_id")
         .transformWithStateInPandas(
             FallProcessor(config), OUTPUT, "append", "none" if config.idle_ms is None else "processingTime"
