@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -35,19 +36,23 @@ def _mentions(sql: str) -> set[str]:
     return {n for n in CTES if re.search(rf"\b{n}\b", sql)}
 
 
+@functools.lru_cache(maxsize=None)
+def mentioned(text: str) -> frozenset[str]:
+    """Building blocks in a text; all of them are defined by the time this is asked."""
+    return frozenset(_mentions(text)) - {n for n, body in CTES.items() if body == text}
+
+
 def resolved(sql: str, recursive: bool = False) -> str:
     """Prefix ``sql`` with the building blocks it mentions, each behind those that it builds on."""
     ordered: dict[str, None] = {}
 
-    def place(name: str) -> None:
+    def place(text: str) -> None:
         for other in CTES:
-            if other in _mentions(CTES[name]) - {name} and other not in ordered:
-                place(other)
-        ordered[name] = None
+            if other in mentioned(text) and other not in ordered:
+                place(CTES[other])
+                ordered[other] = None
 
-    for name in CTES:
-        if name in _mentions(sql) and name not in ordered:
-            place(name)
+    place(sql)
     parts = [f"{n} AS ({CTES[n]})" for n in ordered]
     body = sql.strip()
     head = re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.I)
