@@ -27,12 +27,15 @@ def assemble_views(views: DataFrame, keys: Sequence[str], view: str, total: str)
 
 
 def valid_view_keypoints(obs: DataFrame, cameras: DataFrame, score: float = 0.35, border: float = 8.0) -> DataFrame:
-    """Observations that are confident and away from the image border, with the camera attached."""
+    """Observations that are confident and away from the image border, with the camera attached.
+
+    The few cameras are broadcast: of their size nothing may be known, and the observations must not be taken instead.
+    """
     inside = (
         (F.col("c") > score) & (F.col("x") > border) & (F.col("x") < F.col("width") - border)
         & (F.col("y") > border) & (F.col("y") < F.col("height") - border)
     )
-    return obs.join(cameras, "camera_id").where(inside)
+    return obs.join(F.broadcast(cameras), "camera_id").where(inside)
 
 
 def default_min_views(n_cameras: int) -> int:

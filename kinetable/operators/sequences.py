@@ -161,7 +161,8 @@ def resample_sequence(
     """Linear resampling of dense sequences to ``n`` steps.
 
     Each target step asks for its two source frames by an equi-join on (key, frame): the lookups
-    spread over all frames, whatever the length of a session.
+    spread over all frames, whatever the length of a session.  They are many times the rows the engine
+    expects of them, so the join is by sorting.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -182,7 +183,7 @@ def resample_sequence(
         )
         .where("_w > 0")
     )
-    return asked.join(rows, [*keys, idx]).groupBy(*keys, "step").agg(
+    return asked.hint("merge").join(rows, [*keys, idx]).groupBy(*keys, "step").agg(
         *[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values]
     )
 

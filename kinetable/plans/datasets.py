@@ -258,7 +258,7 @@ _names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(model.PART_NAMES["parts
 FROM kp_t JOIN (VALUES {_names}) AS t(part, name) ON joint = part WHERE name IN ('Nose', 'LWrist', 'RWrist', 'MidHip')""")
 def _(spark, sf):
     parts = model.skeleton_parts(spark).where("model = 'parts25'").select(F.col("part").alias("joint"), "name")
-    out = fx.keypoints(spark, sf).join(parts, "joint").where(F.col("name").isin("Nose", "LWrist", "RWrist", "MidHip"))
+    out = fx.keypoints(spark, sf).join(F.broadcast(parts), "joint").where(F.col("name").isin("Nose", "LWrist", "RWrist", "MidHip"))
     return rounded(out.select("session_id", "frame_idx", "joint", "name", F.col("name").startswith("L").alias("is_left"), "c"), "c")
 
 

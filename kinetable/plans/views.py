@@ -39,7 +39,7 @@ def observations(spark, sf, disturbed: str = "all") -> DataFrame:
     """
     e, j, k = F.col("event_id"), F.col("joint"), F.col("camera_id")
     seen = world(spark, sf).withColumn("camera_id", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-    seen = seen.join(cameras(spark).select("camera_id", "p"), "camera_id")
+    seen = seen.join(F.broadcast(cameras(spark).select("camera_id", "p")), "camera_id")
     u, v = V.projected(seen)
     noise = ((e * (j + 1) * (k + 2)) % 7 - 3) * 0.25
     jump = F.when((e + j * k) % 41 == 0, F.lit(60.0)).otherwise(F.lit(0.0))
