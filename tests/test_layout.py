@@ -14,7 +14,7 @@ from kinetable.sources import writers as Wr
 def events(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("events"))
     start = datetime.datetime(2024, 1, 1)
-    rows = [(i, start + datetime.timedelta(seconds=977 * i), i % 60, ("click", "view", "error")[i % 3], i % 50 / 2.0, None) for i in range(3000)]
+    rows = [(i, start + datetime.timedelta(seconds=977 * i), i % 60, ("click", "view", "error")[i % 3], i % 50 / 2.0, None) for i in range(12000)]
     spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
     return folder
 
