@@ -62,3 +62,31 @@ def test_results_can_be_packed(spark, tmp_path):
     Wr.write_json(rows, f"{tmp_path}/packed", "gzip")
     assert all(f.endswith(".json.gz") for f in os.listdir(f"{tmp_path}/packed") if f.startswith("part-"))
     assert sorted(map(tuple, spark.read.schema(rows.schema).json(f"{tmp_path}/packed").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_a_folder_per_key_has_few_files(spark, tmp_path):
+    """Rows of a key come together, however many tasks hold some of them."""
+    rows = spark.range(0, 4000, 1, 16).select((F.col("id") % 40).alias("session_id"), F.col("id").cast("string").alias("value"))
+    Wr.write_people_json(rows, f"{tmp_path}/people")
+    Wr.write_detections(rows, f"{tmp_path}/detections")
+    for path in (f"{tmp_path}/people", f"{tmp_path}/detections"):
+        files = [f for folder, _, names in os.walk(path) for f in names if f.startswith("part-")]
+        assert len(files) == len([d for d in os.listdir(path) if d.startswith("session_id=")]) == 40
+    assert spark.read.text(f"{tmp_path}/people").count() == 4000
+
+
+def test_documents_are_made_without_exchange(spark, events):
+    """Frames are dealt out once; their people, their numbers and the texts stay there."""
+    from kinetable.plans.documents import full_documents
+
+    lines = plan_lines(full_documents(spark, events))
+    assert not [line for _, line in lines if "Exchange hashpartitioning" in line and ("person_idx#" in line or "name#" in line)]
+
+
+def test_keys_gathered_at_once(spark):
+    from kinetable.sources import documents as D
+
+    rows = spark.createDataFrame([("f", 0, 0, 1.0, 2.0, 3.0, 0.5), ("f", 0, 2, 4.0, 5.0, 6.0, 0.7), ("f", 1, 0, 7.0, 8.0, 9.0, 0.9)], "name string, person_idx int, part int, x double, y double, z double, c double")
+    out = D.flat_keys(rows, ["name", "person_idx"], {"all": (F.lit(True), 0, 3, 3), "hand": (F.expr("part = 2"), 2, 1, 4)}).orderBy("person_idx").collect()
+    assert [r["all"] for r in out] == [[1.0, 2.0, 0.5, 0.0, 0.0, 0.0, 4.0, 5.0, 0.7], [7.0, 8.0, 0.9] + [0.0] * 6]
+    assert [r["hand"] for r in out] == [[4.0, 5.0, 6.0, 0.7], None]
