@@ -166,7 +166,7 @@ def part_rows(spark, sf):
     ppl = fx.people(spark, sf).where("c > 0")
     ev = fx.frames(spark, sf).select("session_id", "frame_idx", "event_id")
     e, j = F.col("event_id"), F.col("joint")
-    kept = ppl.join(ev, ["session_id", "frame_idx"]).where(
+    kept = ppl.join(ev.hint("merge"), ["session_id", "frame_idx"]).where(  # a row a frame: not to be broadcast
         (e % 4 != 1) | j.between(10, F.col("person_idx") + 12) | (j >= e % 3 + 13)
     )
     rows = kept.select(*P.PERSON, (j + F.when(e % 2 == 1, 6).otherwise(0)).alias("part"), "c")

@@ -39,6 +39,17 @@ def test_keypoints_are_not_broadcast(spark, events, name):
             assert not (any("FileScan" in t for t in below) and any("joint#" in t for t in below)), line
 
 
+@pytest.mark.parametrize("name", ["backproject_affine", "filter_people", "min_views", "part_lookup", "people_to_keypoints"])
+def test_positions_are_not_broadcast(spark, events, name):
+    """A session may have as many time slices as frames: their counts are joined by sorting."""
+    lines = plan_lines(catalog.queries()[name](spark, events))
+    for k, (depth, line) in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = [text for d, text in lines[k + 1:k + 2] if d > depth]
+            assert not any("_bucket" in text or "_shift" in text or "frame_idx" in text for text in below), line
+    assert any("SortMergeJoin" in line and "_bucket" in line for _, line in lines)
+
+
 @pytest.mark.parametrize("name", ["remap_skeleton", "select_person_conf"])
 def test_people_stay_with_their_frame(spark, events, name):
     """What is grouped by person or frame is dealt out once, as frames."""
