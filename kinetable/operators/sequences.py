@@ -160,31 +160,31 @@ def resample_sequence(
 ) -> DataFrame:
     """Linear resampling of dense sequences to ``n`` steps.
 
-    Each target step asks for its two source frames by an equi-join on (key, frame): the lookups
-    spread over all frames, whatever the length of a session.  They are many times the rows the engine
-    expects of them, so the join is by sorting.
+    A frame knows from its key's last position which steps it serves, so rows meet one row per (key, chunk), not the steps
+    that ask for them, and the two frames of a step are mostly added up where they are.  The rows are not sorted: the
+    short side is hashed.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     keys = list(keys)
+    gaps = max(n - 1, 1)
     sizes = last_positions(rows, keys, idx)
-    pos = F.col("step") * F.col("_last") / F.lit(float(max(n - 1, 1)))
-    asked = (
-        sizes.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        .withColumn("_pos", pos)
-        .select(
-            *keys, "step",
-            F.inline(
-                F.array(
-                    F.struct(F.floor("_pos").alias(idx), (F.floor("_pos") + 1 - F.col("_pos")).alias("_w")),
-                    F.struct((F.floor("_pos") + 1).alias(idx), (F.col("_pos") - F.floor("_pos")).alias("_w")),
-                )
-            ),
-        )
+    i, last = F.col(idx), F.greatest(F.col("_last"), F.lit(1))
+    # the steps between the frame before and the frame after
+    first = F.greatest(F.floor((i - 1) * F.lit(gaps) / last), F.lit(0)).cast("int")
+    final = F.least(F.ceil((i + 1) * F.lit(gaps) / last), F.lit(n - 1)).cast("int")
+    below = F.floor("_pos")
+    weight = F.when(below == i, below + 1 - F.col("_pos")).when(below + 1 == i, F.col("_pos") - below)
+    return (
+        join_per_key(rows, sizes.withColumn("_to", F.col("_last")).hint("shuffle_hash"), keys, idx, "_to")
+        .withColumns({"_a": first, "_b": final})
+        .where("_a <= _b")
+        .withColumn("step", F.explode(F.sequence("_a", "_b")))
+        .withColumn("_pos", F.col("step") * F.col("_last") / F.lit(float(gaps)))
+        .withColumn("_w", weight)
         .where("_w > 0")
-    )
-    return asked.hint("merge").join(rows, [*keys, idx]).groupBy(*keys, "step").agg(
-        *[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values]
+        .groupBy(*keys, "step")
+        .agg(*[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
     )
 
 

@@ -101,3 +101,39 @@ def test_keys_gathered_at_once(spark):
     out = D.flat_keys(rows, ["name", "person_idx"], {"all": (F.lit(True), 0, 3, 3), "hand": (F.expr("part = 2"), 2, 1, 4)}).orderBy("person_idx").collect()
     assert [r["all"] for r in out] == [[1.0, 2.0, 0.5, 0.0, 0.0, 0.0, 4.0, 5.0, 0.7], [7.0, 8.0, 0.9] + [0.0] * 6]
     assert [r["hand"] for r in out] == [[4.0, 5.0, 6.0, 0.7], None]
+
+
+def test_resampling_sends_no_row_a_step(spark, events):
+    """Rows meet one row per (key, chunk); a step's two frames are added up before they are sent."""
+    lines = plan_lines(catalog.queries()["resample_sequence"](spark, events))
+    assert not [line for _, line in lines if "Exchange hashpartitioning" in line and "frame_idx#" in line]
+    assert [line for _, line in lines if "ShuffledHashJoin" in line and "_chunk#" in line and "BuildRight" in line]
+
+
+@pytest.mark.parametrize("n, last", [(1, 0), (1, 5), (2, 1), (4, 0), (5, 3), (16, 6), (16, 66), (40, 7)])
+def test_resampled_steps(spark, small_chunks, n, last):
+    from kinetable.operators.sequences import resample_sequence
+
+    rows = spark.createDataFrame([(1, i, float(i * i)) for i in range(last + 1)] + [(None, 0, 1.0), (2, None, 1.0)], "session_id bigint, frame_idx bigint, v double")
+    want = []
+    for k in range(n):
+        at = k * last / max(n - 1, 1)
+        a, w = int(at), at - int(at)
+        want.append(a * a * (1 - w) + min(a + 1, last) ** 2 * w)
+    got = resample_sequence(rows, ["v"], n).orderBy("step").collect()
+    assert [(r["session_id"], r["step"]) for r in got] == [(1, k) for k in range(n)] and [r["v"] for r in got] == pytest.approx(want)
+
+
+def test_live_rows_are_plain_records():
+    import numpy as np
+    import pandas as pd
+
+    from kinetable.streaming import detector
+
+    batch = pd.DataFrame({"frame_idx": [2.0, np.nan, 1.0, 2.0], "control": ["force", "end", None, None], "hip_y": [np.nan, np.nan, 3.0, 4.0]})
+    rows = sorted(detector.records(batch), key=detector.place)
+    assert rows == [
+        {"frame_idx": 1.0, "control": None, "hip_y": 3.0}, {"frame_idx": 2.0, "control": None, "hip_y": 4.0},
+        {"frame_idx": 2.0, "control": "force", "hip_y": None}, {"frame_idx": None, "control": "end", "hip_y": None},
+    ]
+    assert list(detector.table([]).columns) == detector.COLUMNS and detector.table([{"frame_idx": 3}])["state"].isna().all()
