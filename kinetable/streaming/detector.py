@@ -49,6 +49,22 @@ def probe_fps(times: list[float], fallback: float) -> float:
     return min(max(1.0 / mid, 1.0), 60.0)
 
 
+def records(batch: pd.DataFrame) -> list[dict]:
+    """Rows as dicts, unknown values as None, column by column: a session's rows are few, so what a data frame costs by itself counts."""
+    columns = [[None if v is None or v != v else v for v in batch[c].tolist()] for c in batch.columns]
+    return [dict(zip(batch.columns, values)) for values in zip(*columns)]
+
+
+def place(row: dict) -> tuple:
+    """Commands come after the frame of the same index, rows without an index last."""
+    at = row["frame_idx"]
+    return at is None, at or 0, row["control"] is not None
+
+
+def table(out: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame({c: [r.get(c) for r in out] for c in COLUMNS})
+
+
 class FallProcessor(StatefulProcessor):
     """One value per session: the rule's memory, or the probe buffer before it starts.
 
@@ -100,10 +116,7 @@ class FallProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fps, height, buffer, memory, newest = self._load()
-        arrived = pd.concat(list(rows)).astype(object)
-        arrived = arrived.where(arrived.notna(), None)
-        arrived["_after"] = arrived["control"].notna()
-        queue = json.loads(buffer) + arrived.sort_values(["frame_idx", "_after"]).to_dict("records")
+        queue = json.loads(buffer) + sorted((r for b in rows for r in records(b)), key=place)
         ended = any(r["control"] == "end" for r in queue)
         fps, height, out = fps or self._rate(queue, ended), self._height(height, queue), []
         if fps is not None:
@@ -118,14 +131,14 @@ class FallProcessor(StatefulProcessor):
                 self.handle.deleteTimer(old)
             if not ended:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.config.idle_ms)
-        yield pd.DataFrame(out, columns=COLUMNS)
+        yield table(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         fps, height, buffer, memory, newest = self._load()
         queue = json.loads(buffer)
         self.memory.clear()
         out = self._decide(key, fps or self._rate(queue, True), self._height(height, queue), memory, newest, queue)[2] if queue else []
-        yield pd.DataFrame(out, columns=COLUMNS)
+        yield table(out)
 
     def close(self) -> None:
         pass

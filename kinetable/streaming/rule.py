@@ -117,12 +117,15 @@ class LiveRule:
             raise ValueError(f"a frame rate above 0 is needed, not {fps}")
         self.fps, self.height, self.config = float(fps), frame_height, config or RuleConfig()
         self.calibration_seconds = calibration_seconds
+        self.spans: dict[float, int] = {}
         # releases are off at 0 seconds
         self.clear_frames = py_round(fps * max(0.0, auto_clear_seconds))
         self.hold_frames = py_round(fps * max(0.0, fall_hold_seconds))
 
     def span(self, seconds: float) -> int:
-        return frames(self.fps, seconds)
+        if seconds not in self.spans:
+            self.spans[seconds] = frames(self.fps, seconds)
+        return self.spans[seconds]
 
     def step(self, m: Memory, frame: Frame) -> tuple[Memory, dict]:
         m = replace(m, frame=m.frame + 1, tracks={s: self.tracked(m.tracks[s], frame.signals[s]) for s in SIGNALS})
