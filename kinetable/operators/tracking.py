@@ -63,15 +63,18 @@ class _Tracks:
         kps = np.stack([k for _, k in people])
         seen = kps[..., 2] >= self.confidence
         options = []
-        for track, (xy, ok, last, as_) in self.live.items():
-            both = seen & ok
-            active = both.sum(axis=1)
-            dist = np.where(both, np.hypot(kps[..., 0] - xy[:, 0], kps[..., 1] - xy[:, 1]), 0.0)
-            close = (both & (dist < self.radius)).sum(axis=1)
-            for p in np.flatnonzero(active):
-                share = close[p] / active[p]
+        if self.live:  # all tracks against all people at once; a frame has few of both
+            xy, ok, last, as_ = zip(*self.live.values(), strict=True)
+            track, old = list(self.live), np.stack(xy)[:, None]
+            both = np.stack(ok)[:, None] & seen
+            active = both.sum(axis=2)
+            dist = np.where(both, np.hypot(kps[..., 0] - old[..., 0], kps[..., 1] - old[..., 1]), 0.0)
+            close = (both & (dist < self.radius)).sum(axis=2).tolist()
+            total, met = dist.sum(axis=2).tolist(), active.tolist()
+            for t, p in np.argwhere(active).tolist():
+                share = close[t][p] / met[t][p]
                 if share >= self.least:
-                    options.append((-share, dist[p].sum(), p, -last, as_, track))
+                    options.append((-share, total[t][p], p, -last[t], as_[t], track[t]))
         taken: dict[int, int] = {}
         used = set()
         for *_, p, _, _, track in sorted(options):

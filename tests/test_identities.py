@@ -89,3 +89,15 @@ def test_long_tracks_over_many_chunks(spark, monkeypatch):
 def test_nobody(spark):
     df = spark.createDataFrame([], "session_id long, frame_idx long, person_idx int, joint int, x double, y double, c double")
     assert T.link_track_ids(df, JOINTS, RADIUS).count() == 0
+
+
+def test_a_frame_is_matched_at_once(monkeypatch):
+    """All live tracks are measured against all people together; the work of a frame is not a round of calls per track."""
+    calls, hypot = [], np.hypot
+    monkeypatch.setattr(T.np, "hypot", lambda *a: calls.append(1) or hypot(*a))
+    tracks = T._Tracks(30.0, 0.1, 0.5, 10)
+    person = lambda at: np.stack([np.full(3, at), np.arange(3.0), np.ones(3)], axis=1)
+    assert tracks.meet(0, [(p, person(100.0 * p)) for p in range(4)]) == [(p, p, True) for p in range(4)]
+    assert tracks.meet(1, [(p, person(100.0 * (3 - p) + 2)) for p in range(4)]) == [(p, 3 - p, False) for p in range(4)]
+    assert tracks.meet(2, [(0, person(1000.0)), (1, person(101.0))]) == [(0, 4, True), (1, 1, False)]
+    assert len(calls) == 2
