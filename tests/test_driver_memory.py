@@ -28,6 +28,7 @@ def broadcast(df):
 
 NAMES = [
     "blend_tracked",
+    "drop_worst_view",
 ]
 
 
