@@ -29,6 +29,7 @@ def broadcast(df):
 NAMES = [
     "blend_tracked",
     "drop_worst_view",
+    "drop_worst_view_disturbed",
 ]
 
 
