@@ -30,6 +30,7 @@ NAMES = [
     "blend_tracked",
     "drop_worst_view",
     "drop_worst_view_disturbed",
+    "filter_people",
 ]
 
 
