@@ -31,6 +31,7 @@ NAMES = [
     "drop_worst_view",
     "drop_worst_view_disturbed",
     "filter_people",
+    "iterative_outlier_removal",
 ]
 
 
