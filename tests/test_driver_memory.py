@@ -33,6 +33,7 @@ NAMES = [
     "filter_people",
     "iterative_outlier_removal",
     "merge_best_keypoint",
+    "min_views",
 ]
 
 
