@@ -34,6 +34,7 @@ NAMES = [
     "iterative_outlier_removal",
     "merge_best_keypoint",
     "min_views",
+    "multi_view_mask",
 ]
 
 
