@@ -35,6 +35,7 @@ NAMES = [
     "merge_best_keypoint",
     "min_views",
     "multi_view_mask",
+    "part_lookup",
 ]
 
 
