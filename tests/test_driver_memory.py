@@ -36,6 +36,7 @@ NAMES = [
     "min_views",
     "multi_view_mask",
     "part_lookup",
+    "person_distance",
 ]
 
 
