@@ -37,6 +37,7 @@ NAMES = [
     "multi_view_mask",
     "part_lookup",
     "person_distance",
+    "reject_outlier_points",
 ]
 
 
