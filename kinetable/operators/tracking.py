@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,19 +22,23 @@ def match_radius(width: int, height: int, distance: float = 30.0) -> float:
     return max(10.0, distance * (width * height) ** 0.5 / 960.0)
 
 
-def track_pair_scores(people: DataFrame, previous: DataFrame, radius: float, confidence: float = 0.1, least: float = 0.5) -> DataFrame:
+def track_pair_scores(
+    people: DataFrame, previous: DataFrame, radius: float, confidence: float = 0.1, least: float = 0.5, frame: Sequence[str] = ("session_id", "frame_idx"),
+) -> DataFrame:
     """Share of common joints within ``radius`` for pairs of people that reach ``least``.
 
     Close joints are found by an equi-join on image cells; only pairs with at least one of them
-    are measured, so the people of a frame are not all paired.
+    are measured, so the people of a frame are not all paired.  Cells are four times the radius wide: a
+    joint of the frame before has its surroundings in one or two a side, so it is copied 2.25 times in the mean.
+    ``frame`` identifies the frame.
     """
-    frame = ["session_id", "frame_idx"]
+    frame, cell = list(frame), 4 * radius
     cur = people.where(F.col("c") >= confidence).select(*frame, "joint", F.col("person_idx").alias("person_a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     old = previous.where(F.col("c") >= confidence).select(*frame, "joint", F.col("person_idx").alias("person_b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / radius) - 1, F.floor(F.col(c) / radius) + 1))
+    around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / cell), F.floor((F.col(c) + radius) / cell)))
     near = (
-        cur.withColumns({"_cx": F.floor(F.col("ax") / radius), "_cy": F.floor(F.col("ay") / radius)})
+        cur.withColumns({"_cx": F.floor(F.col("ax") / cell), "_cy": F.floor(F.col("ay") / cell)})
         .join(old.withColumn("_cx", around("bx")).withColumn("_cy", around("by")), [*frame, "joint", "_cx", "_cy"])
         .where(d < radius)
         .groupBy(*frame, "person_a", "person_b")

@@ -16,8 +16,8 @@ RADIUS = T.match_radius(fx.WIDTH, fx.HEIGHT)
  FROM people_t a JOIN people_t b ON a.session_id = b.session_id AND a.frame_idx = b.frame_idx + 1 AND a.joint = b.joint AND a.c >= 0.1E0 AND b.c >= 0.1E0,
   LATERAL (SELECT SQRT(POWER(a.x - b.x, 2) + POWER(a.y - b.y, 2)) AS d) GROUP BY ALL) WHERE inliers >= 1 AND inliers/CAST(active AS DOUBLE) >= 0.5E0""")
 def _(spark, sf):
-    ppl = fx.people(spark, sf)
-    out = T.track_pair_scores(ppl, ppl.withColumn("frame_idx", F.col("frame_idx") + 1), RADIUS)
+    ppl, before = fx.dealt_people(spark, sf), fx.dealt_people(spark, sf, 1)
+    out = T.track_pair_scores(ppl, before, RADIUS, frame=("session_id", "frame_idx", "_deal")).drop("_deal")
     return rounded(rounded(out, "score"), "distance", digits=5)
 
 
