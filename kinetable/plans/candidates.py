@@ -194,12 +194,12 @@ SELECT p.session_id, p.frame_idx, p.person_idx, CAST(j AS INTEGER) AS part, ROUN
 FROM p CROSS JOIN (SELECT UNNEST(RANGE(25)) AS j) LEFT JOIN people_t k ON k.session_id = p.session_id AND k.frame_idx = p.frame_idx AND k.person_idx = p.person_idx AND k.joint = j AND k.c > 0""",
 )
 def _(spark, sf):
-    seen = fx.people(spark, sf).where("c > 0").withColumnRenamed("joint", "part")
-    keys = list(P.PERSON)
+    seen = fx.dealt_people(spark, sf).where("c > 0").withColumnRenamed("joint", "part")
+    keys = ["session_id", "frame_idx", "_deal", "person_idx"]
     total = seen.groupBy(*keys).agg(F.sum("c").alias("score"))
     parts = seen.select(*keys, "part", F.col("person_idx").alias("cand_idx")).join(total, keys)
-    spots = seen.select("session_id", "frame_idx", "part", F.col("person_idx").alias("cand_idx"), "x", "y", "c")
-    out = G.people_to_keypoints(parts, spots, keys, 25, len(model.PART_PAIRS["parts25"]), 2.0)
+    spots = seen.select(*keys[:-1], "part", F.col("person_idx").alias("cand_idx"), "x", "y", "c")
+    out = G.people_to_keypoints(parts, spots, keys, 25, len(model.PART_PAIRS["parts25"]), 2.0).drop("_deal")
     return rounded(out, "person_score", "x", "y", "c")
 
 
