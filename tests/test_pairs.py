@@ -12,6 +12,7 @@ from kinetable.plans import catalog, fixtures as fx
 
 NAMES = [
     "people_to_keypoints",
+    "person_distance",
     "track_pair_scores",
 ]
 
@@ -31,7 +32,7 @@ def test_dealt_people_are_the_people(spark, events):  # noqa: F811
 
 def test_pairs_by_cells_are_those_of_all_pairs(spark):
     mix = random.Random(7)
-    spot = lambda: mix.choice([mix.uniform(-90, 90), 10.0 * mix.randrange(-9, 10)])
+    spot = lambda: mix.choice([mix.uniform(-40, 40), 10.0 * mix.randrange(-4, 5)])
     rows = [[(s, f, p, j, spot(), spot(), mix.choice([0.05, 0.5])) for s in range(2) for f in range(4) for p in range(6) for j in range(3)] for _ in range(2)]
     a, b = [spark.createDataFrame(r, "session_id bigint, frame_idx bigint, person_idx int, joint int, x double, y double, c double") for r in rows]
     want = {}
