@@ -11,6 +11,7 @@ from kinetable.operators import tracking as T
 from kinetable.plans import catalog, fixtures as fx
 
 NAMES = [
+    "blend_tracked",
     "merge_best_keypoint",
     "people_to_keypoints",
     "person_distance",
