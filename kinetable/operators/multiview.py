@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .quantiles import trimmed_mean_limit
@@ -68,45 +69,82 @@ def _view_lists(valid: DataFrame, minimum: int) -> DataFrame:
     )
 
 
-def _solve(points: pd.Series) -> np.ndarray:
-    """Null vectors of the stacked 2-rows-per-view systems, one batched SVD per view count."""
-    out = np.full((len(points), 3), np.nan)
-    counts = points.map(len).to_numpy()
-    for n in np.unique(counts):
-        at = np.flatnonzero(counts == n)
-        xy = np.array([[(v["x"], v["y"]) for v in points.iloc[i]] for i in at], dtype=float)
-        p = np.array([[np.asarray(v["p"], dtype=float).reshape(3, 4) for v in points.iloc[i]] for i in at])
-        rows = np.concatenate(
-            [xy[:, :, :1] * p[:, :, 2] - p[:, :, 0], xy[:, :, 1:] * p[:, :, 2] - p[:, :, 1]], axis=1
-        )
-        h = np.linalg.svd(rows)[2][:, -1]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out[at] = h[:, :3] / h[:, 3:]
+def _null_points(x: np.ndarray, y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Null vectors of the stacked 2-rows-per-view systems as points: x, y (n, views), p (n, views, 12) to (n, 3)."""
+    p = p.reshape(*x.shape, 3, 4)
+    rows = np.concatenate([x[..., None] * p[:, :, 2] - p[:, :, 0], y[..., None] * p[:, :, 2] - p[:, :, 1]], axis=1)
+    h = np.linalg.svd(rows, full_matrices=rows.shape[1] < 4)[2][:, -1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return h[:, :3] / h[:, 3:]
+
+
+def _flat(views: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Where each row's views begin, how many they are, and number of the camera (-1: none), x, y, p of all views."""
+    lengths = pc.fill_null(pc.list_value_length(views), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    view = views.flatten()
+    camera = pc.rank(view.field("camera_id"), tiebreaker="dense", null_placement="at_start").to_numpy(zero_copy_only=False).astype(np.int64) if len(view) else np.zeros(0, np.int64)
+    camera = np.where(view.field("camera_id").is_valid().to_numpy(zero_copy_only=False), camera, -1)
+    x, y = [view.field(n).to_numpy(zero_copy_only=False).astype(float) for n in ("x", "y")]
+    p = view.field("p").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(view), 12)
+    return np.cumsum(lengths) - lengths, lengths, camera, x, y, p
+
+
+def _solve(views: pa.ListArray) -> np.ndarray:
+    """Points of all rows, one batched SVD per view count."""
+    begin, lengths, _, x, y, p = _flat(views)
+    out = np.full((len(lengths), 3), np.nan)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        cell = begin[at, None] + np.arange(n)
+        out[at] = _null_points(x[cell], y[cell], p[cell])
     return out
 
 
-def solve_points(points: DataFrame) -> DataFrame:
-    """px, py, pz of every row's ``views`` over Arrow batches."""
+def _solve_without(views: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of all rows without the camera of one view, for every view in order; and how many each row has."""
+    begin, lengths, camera, x, y, p = _flat(views)
+    row = np.repeat(np.arange(len(lengths)), lengths)  # of each view that is left out
+    out = np.full((len(row), 3), np.nan)
+    for n in np.unique(lengths):
+        left_out = np.flatnonzero(lengths[row] == n)
+        cell = begin[row[left_out], None] + np.arange(n)
+        stay = (camera[cell] != camera[left_out, None]) & (camera[cell] >= 0) & (camera[left_out, None] >= 0)
+        for m in np.unique(stay.sum(1)):
+            some = stay.sum(1) == m
+            kept = cell[some][stay[some]].reshape(-1, m)
+            out[left_out[some]] = _null_points(x[kept], y[kept], p[kept])
+    return out, lengths
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            xyz = _solve(b["views"]) if len(b) else np.empty((0, 3))
-            yield b.assign(px=xyz[:, 0], py=xyz[:, 1], pz=xyz[:, 2])
 
-    schema = T.StructType([*points.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("px", "py", "pz")]])
-    return points.mapInPandas(run, schema)
+def _with_columns(points: DataFrame, run, **more: T.DataType) -> DataFrame:
+    """``run`` gives these columns of an Arrow batch; the others go on as they are."""
 
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            yield pa.RecordBatch.from_arrays([*b.columns, *run(b)], names=[*b.schema.names, *more])
 
-def with_mean_error(points: DataFrame) -> DataFrame:
-    """Mean reprojection error over the row's views, as an array expression."""
+    return points.mapInArrow(batches, T.StructType([*points.schema.fields, *[T.StructField(n, t) for n, t in more.items()]]))
+
+
+def solve_points(points: DataFrame) -> DataFrame:
+    """px, py, pz of every row's ``views`` over Arrow batches."""
+    return _with_columns(points, lambda b: [pa.array(v) for v in _solve(b.column("views")).T], px=T.DoubleType(), py=T.DoubleType(), pz=T.DoubleType())
+
+
+def _mean_error(views: Column, px: Column, py: Column, pz: Column) -> Column:
+    """Mean reprojection error of a point over its views, as an array expression."""
 
     def err(v):
         p = v["p"]
-        row = lambda r: p[4 * r] * F.col("px") + p[4 * r + 1] * F.col("py") + p[4 * r + 2] * F.col("pz") + p[4 * r + 3]
+        row = lambda r: p[4 * r] * px + p[4 * r + 1] * py + p[4 * r + 2] * pz + p[4 * r + 3]
         return F.sqrt(F.pow(F.try_divide(row(0), row(2)) - v["x"], 2) + F.pow(F.try_divide(row(1), row(2)) - v["y"], 2))
 
-    total = F.aggregate("views", F.lit(0.0), lambda acc, v: acc + err(v))
-    return points.withColumn("error", total / F.size("views"))
+    return F.aggregate(views, F.lit(0.0), lambda acc, v: acc + err(v)) / F.size(views)
+
+
+def with_mean_error(points: DataFrame) -> DataFrame:
+    """Mean reprojection error over the row's views."""
+    return points.withColumn("error", _mean_error(F.col("views"), F.col("px"), F.col("py"), F.col("pz")))
 
 
 def triangulate(valid: DataFrame, minimum: int) -> DataFrame:
@@ -121,24 +159,31 @@ def max_acceptable_error(width: int, height: int) -> float:
 def drop_worst_view(solved: DataFrame, limit: float) -> DataFrame:
     """Leave one view out where that cuts a large error below 0.9 of it.
 
-    Only points with four or more views and an error over half the limit are solved again; the
-    others pass through.
+    Only points with four or more views and an error over half the limit are solved again, in the row they come in; the
+    others pass through.  ``solved`` has one row per point; points without a key pass through too.
     """
     suspect = (F.size("views") >= 4) & (F.col("error") > 0.5 * limit)
-    tries = solved.where(suspect).select(
-        *POINT, F.col("error").alias("full_error"), F.posexplode("views").alias("left_out", "_v"), F.col("views").alias("_all")
-    ).select(
-        *POINT, "full_error", "left_out",
-        F.filter("_all", lambda v: v["camera_id"] != F.col("_v.camera_id")).alias("views"),
-    )
-    better = with_mean_error(solve_points(tries)).where(F.col("error") < 0.9 * F.col("full_error"))
-    best = better.groupBy(*POINT).agg(
-        F.min_by(F.struct("px", "py", "pz", "error", "left_out", "views"), F.struct("error", "left_out")).alias("_b")
-    )
+    for n in POINT:
+        suspect = suspect & F.col(n).isNotNull()
+
+    def tries(b: pa.RecordBatch) -> list[pa.Array]:
+        again = b.column("_again")
+        xyz, n = _solve_without(b.column("views").filter(again))
+        ends = np.zeros(b.num_rows + 1, np.int64)
+        ends[1:][again.to_numpy(zero_copy_only=False)] = n
+        one = pa.StructArray.from_arrays([pa.array(v) for v in xyz.T], ["px", "py", "pz"])
+        return [pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), one)]
+
+    point = T.StructType([T.StructField(n, T.DoubleType()) for n in ("px", "py", "pz")])
+    tried = _with_columns(solved.select("*", F.coalesce(suspect, F.lit(False)).alias("_again")), tries, _tries=T.ArrayType(point))
+    rest = lambda i: F.filter("views", lambda v: v["camera_id"] != F.get("views", i)["camera_id"])
+    left = F.transform("_tries", lambda t, i: F.struct(_mean_error(rest(i), t["px"], t["py"], t["pz"]).alias("error"), i.alias("left_out"), *[t[n].alias(n) for n in ("px", "py", "pz")]))
     b = F.col("_b")
-    return solved.join(best, list(POINT), "left").select(
+    best = tried.withColumn("_b", F.array_min(F.filter(left, lambda t: t["error"] < 0.9 * F.col("error"))))
+    return best.select(
         *POINT,
-        *[F.when(b.isNotNull(), b[n]).otherwise(F.col(n)).alias(n) for n in ("px", "py", "pz", "error", "views")],
+        *[F.when(b.isNotNull(), b[n]).otherwise(F.col(n)).alias(n) for n in ("px", "py", "pz", "error")],
+        F.when(b.isNotNull(), rest(b["left_out"])).otherwise(F.col("views")).alias("views"),
         b["left_out"].alias("dropped_view"),
     )
 

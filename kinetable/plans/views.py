@@ -24,8 +24,8 @@ def cameras(spark: SparkSession) -> DataFrame:
 
 
 def world(spark, sf) -> DataFrame:
-    """3-D joints of every frame."""
-    kp = fx._figure(fx.frames(spark, sf))
+    """3-D joints of every frame, which stay together in a task with what cameras see of them."""
+    kp = fx._figure(fx.by_frame(spark, sf, fx.FRAMES_JOINED))
     return kp.where("x IS NOT NULL").select(
         "session_id", "frame_idx", "event_id", "joint", "c", ((F.col("x") - 320) / 100).alias("px"),
         ((F.col("y") - 260) / 100).alias("py"), ((F.col("joint") % 5) / 10.0).alias("pz"),
