@@ -10,7 +10,7 @@ from test_driver_memory import events  # noqa: F401
 from kinetable.operators import multiview as V
 from kinetable.plans import catalog, views
 
-NAMES = ["drop_worst_view", "drop_worst_view_disturbed", "triangulate_disturbed"]
+NAMES = ["drop_worst_view", "drop_worst_view_disturbed", "triangulate", "triangulate_disturbed"]
 
 
 @pytest.mark.parametrize("name", NAMES)
