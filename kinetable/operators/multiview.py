@@ -73,7 +73,7 @@ def _null_points(x: np.ndarray, y: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Null vectors of the stacked 2-rows-per-view systems as points: x, y (n, views), p (n, views, 12) to (n, 3)."""
     p = p.reshape(*x.shape, 3, 4)
     rows = np.concatenate([x[..., None] * p[:, :, 2] - p[:, :, 0], y[..., None] * p[:, :, 2] - p[:, :, 1]], axis=1)
-    h = np.linalg.svd(rows, full_matrices=rows.shape[1] < 4)[2][:, -1]
+    h = np.linalg.svd(rows)[2][:, -1]
     with np.errstate(divide="ignore", invalid="ignore"):
         return h[:, :3] / h[:, 3:]
 
@@ -127,8 +127,8 @@ def _with_columns(points: DataFrame, run, **more: T.DataType) -> DataFrame:
 
 
 def solve_points(points: DataFrame) -> DataFrame:
-    """px, py, pz of every row's ``views`` over Arrow batches."""
-    return _with_columns(points, lambda b: [pa.array(v) for v in _solve(b.column("views")).T], px=T.DoubleType(), py=T.DoubleType(), pz=T.DoubleType())
+    """px, py, pz of every row's ``views`` over Arrow batches; NULL where it is no number."""
+    return _with_columns(points, lambda b: [pa.array(v, from_pandas=True) for v in _solve(b.column("views")).T], px=T.DoubleType(), py=T.DoubleType(), pz=T.DoubleType())
 
 
 def _mean_error(views: Column, px: Column, py: Column, pz: Column) -> Column:
@@ -171,7 +171,7 @@ def drop_worst_view(solved: DataFrame, limit: float) -> DataFrame:
         xyz, n = _solve_without(b.column("views").filter(again))
         ends = np.zeros(b.num_rows + 1, np.int64)
         ends[1:][again.to_numpy(zero_copy_only=False)] = n
-        one = pa.StructArray.from_arrays([pa.array(v) for v in xyz.T], ["px", "py", "pz"])
+        one = pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in xyz.T], ["px", "py", "pz"])
         return [pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), one)]
 
     point = T.StructType([T.StructField(n, T.DoubleType()) for n in ("px", "py", "pz")])

@@ -46,3 +46,10 @@ def test_the_worst_view_is_the_one_without_which_the_error_is_least(spark):
     assert got.keys() == want.keys() and any(v[0] is not None for v in want.values())
     for k, v in want.items():
         assert got[k][:2] == v[:2] and np.allclose(got[k][2:], v[2:], atol=1e-6)
+
+
+def test_a_point_that_is_no_number_is_null(spark):
+    p = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]  # both cameras stand in one place and look along the same ray
+    obs = spark.createDataFrame([(1, 1, 1, k, 0.0, 0.0, p) for k in range(2)], "session_id bigint, frame_idx bigint, joint int, camera_id int, x double, y double, p array<double>")
+    row = V.triangulate(obs, 2).first()
+    assert not any(v is not None and v != v for v in (row.px, row.py, row.pz, row.error))
